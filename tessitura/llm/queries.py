@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tessitura.llm import packing, url_filters
+from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, url_filters, warc
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+    "op5_warc_derivatives": warc.op5_warc_derivatives,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
+    "op10_language_id": lang_id.op10_language_id,
 }
 #: Where SQL can express a query.
-ORACLE_SQL = {"op6_url_filters": url_filters.SQL}
+ORACLE_SQL = {"op5_warc_derivatives": warc.SQL, "op6_url_filters": url_filters.SQL}
