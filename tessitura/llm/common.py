@@ -25,6 +25,21 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
+#: All but ASCII letters and the bytes of other characters to blanks.
+LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def lower(text: str) -> str:
+    """Lower-cased, each character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def letter_runs(text: str) -> list[bytes]:
+    """The runs of letters of a lower-cased text, as UTF-8; characters beyond ASCII count as letters."""
+    return text.encode("utf-8", "replace").translate(LETTERS).split()
+
+
 class WordHash(dict):
     """Word -> unsigned 64-bit hash, with a memory of bounded size."""
 

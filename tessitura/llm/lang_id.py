@@ -16,133 +16,179 @@ rows each keep a row; an empty table gives an empty result. Other columns are le
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import common
 
-WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 5
-SCHEMA = "lang string, n int, gram string, times long"
+LONGEST = 4
+#: Letters of a piece: a longer word's n-grams are those of its pieces.
+PIECE = 64
 
 
-def grams(word: str, n: int) -> list[str]:
-    """The n-grams of ``<word>``; n = 0 is the word itself."""
-    if n == 0:
-        return [word]
-    marked = f"<{word}>"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+def gram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, name of the n-gram) of all n-grams of the words, each marked ``<word>``."""
+    marked = [(k, f"<{w}>"[at : at + PIECE]) for k, w in enumerate(w.decode("utf-8", "replace") for w in words) for at in range(0, len(w) + 2, PIECE)]
+    if not marked:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.array([w for _, w in marked])
+    points = text.view(np.uint32).reshape(len(text), -1).astype(np.uint64)
+    if points.shape[1] < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    windows = points.shape[1] - n + 1
+    key = np.zeros((len(text), windows), np.uint64)
+    for i in range(n):
+        key = common.mix(key * np.uint64(0x100000001B3) + points[:, i : i + windows] + np.uint64(1))
+    whole = points[:, n - 1 :] != 0
+    return np.repeat(np.array([k for k, _ in marked]), windows).reshape(whole.shape)[whole], key.view(np.int64)[whole]
 
 
 class Tally:
-    """Counts of (lang, n, gram), given out once they pass a bounded number."""
+    """Counts of (lang, word), given out once they pass a bounded number."""
 
     LIMIT = 300_000
 
     def __init__(self) -> None:
-        self.counts: Counter = Counter()
+        self.counts: dict[str, Counter] = {}
 
     def rows(self, at_end: bool = False) -> Iterator[pa.RecordBatch]:
-        if self.counts and (at_end or len(self.counts) > self.LIMIT):
-            lang, n, gram = zip(*self.counts, strict=True)
-            yield pa.record_batch([pa.array(lang), pa.array(n, pa.int32()), pa.array(gram), pa.array(list(self.counts.values()), pa.int64())], names=["lang", "n", "gram", "times"])
-            self.counts = Counter()
+        if at_end or sum(map(len, self.counts.values())) > self.LIMIT:
+            for lang, c in self.counts.items():
+                yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "times"])
+            self.counts = {}
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     tally = Tally()
     for batch in batches:
         for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for word, times in Counter(WORD.findall(text.lower())).items():
-                tally.counts[lang, 0, word] += times
+            tally.counts.setdefault(lang, Counter()).update(common.letter_runs(text.lower()))
             yield from tally.rows()
     yield from tally.rows(True)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    tally = Tally()
+    """Sums by batch; a batch has a bounded number of words."""
     for batch in batches:
-        for lang, word, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        lang, word, times = batch.columns
+        for one in lang.unique().to_pylist():
+            chosen = pc.equal(lang, one)
+            words, weight = word.filter(chosen).to_pylist(), times.filter(chosen).to_numpy()
             for n in range(1, LONGEST + 1):
-                for gram in grams(word, n):
-                    tally.counts[lang, n, gram] += times
-            yield from tally.rows()
-    yield from tally.rows(True)
+                of, key = gram_keys(words, n)
+                key, at = np.unique(key, return_inverse=True)
+                total = np.bincount(at, weight[of], len(key)).astype(np.int64)
+                yield pa.record_batch([pa.array([one] * len(key), pa.string()), pa.array(np.full(len(key), n, np.int32)), pa.array(key), pa.array(total)], names=["lang", "n", "gram", "times"])
 
 
 class Model:
-    """Log frequencies by language: of words (n = 0) and of n-grams."""
-
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, tables
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.tables[0].get(word)
-        if found is not None:
-            return found
-        for n in range(LONGEST, 0, -1):
-            known = [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+    """Log frequencies by language: of words, and of n-grams as sorted names with a row each."""
+
+    def __init__(self, langs: list[str], words: dict[bytes, int], rows: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.words, self.rows, self.tables = langs, words, rows, tables
+
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """The row of each of some words."""
+        out = np.zeros((len(words), len(self.langs)))
+        todo = []
+        for k, w in enumerate(words):
+            at = self.words.get(w)
+            if at is None:
+                todo.append(k)
+            else:
+                out[k] = self.rows[at]
+        for n in range(len(self.tables), 0, -1):
+            names, rows = self.tables[n - 1]
+            if not todo or not len(names):
+                continue
+            of, key = gram_keys([words[k] for k in todo], n)
+            at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+            hit = names[at] == key
+            of, at = of[hit], at[hit]
+            times = np.bincount(of, minlength=len(todo))
+            for c in range(len(self.langs)):
+                out[todo, c] = np.bincount(of, rows[at, c], len(todo)) / np.maximum(times, 1)
+            todo = [k for k, n in zip(todo, times, strict=True) if not n]
+        return out
 
 
 def train(docs: DataFrame, least: float = 2e-6) -> Model:
     """A model of docs (text, lang); rows without either are left out."""
     docs = docs.where("text is not null and lang is not null").select("text", "lang")
-    words = common.stored(docs.mapInArrow(_count_words, SCHEMA).groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
-    counts = words.unionByName(words.select("lang", "gram", "times").mapInArrow(_count_grams, SCHEMA).groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
-    counts = common.stored(counts)
-    totals = {(r["n"], r["lang"]): r["times"] for r in counts.groupBy("n", "lang").agg(F.sum("times").alias("times")).collect()}
+    words = common.stored(docs.mapInArrow(_count_words, "lang string, word binary, times long").groupBy("lang", "word").agg(F.sum("times").alias("times")))
+    grams = words.mapInArrow(_count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
+    grams = common.stored(grams)
+    totals = {(0, r["lang"]): r["times"] for r in words.groupBy("lang").agg(F.sum("times").alias("times")).collect()}
+    totals |= {(r["n"], r["lang"]): r["times"] for r in grams.groupBy("n", "lang").agg(F.sum("times").alias("times")).collect()}
     langs = sorted({lang for _, lang in totals})
-    tables: list[dict[str, np.ndarray]] = []
-    for n in range(LONGEST + 1):
-        total = np.array([totals.get((n, lang), 0) for lang in langs], float)
-        per = [F.sum(F.when(F.col("lang") == lang, F.col("times")).otherwise(0)).alias(f"c{k}") for k, lang in enumerate(langs)]
-        kept = counts.where(F.col("n") == n).groupBy("gram").agg(F.sum("times").alias("times"), *per).where(F.col("times") >= least * total.sum()).toPandas() if langs else None
-        if kept is None or not len(kept):
-            tables.append({})
-            continue
+    if not langs:
+        return Model([], {}, np.zeros((0, 0)), [])
+    total = np.array([[totals.get((n, lang), 0) for lang in langs] for n in range(LONGEST + 1)], float)
+    per = [F.sum(F.when(F.col("lang") == lang, F.col("times")).otherwise(0)).alias(f"c{k}") for k, lang in enumerate(langs)]
+
+    def logs(kept: pd.DataFrame, n: int) -> np.ndarray:
         c = kept[[f"c{k}" for k in range(len(langs))]].to_numpy(float)
-        logs = np.log((c + 0.5) / (total + 0.5 * len(c) + 1)).astype(np.float32)
-        tables.append(dict(zip(kept["gram"], logs, strict=True)))
-    return Model(langs, tables)
+        return np.log((c + 0.5) / (total[n] + 0.5 * len(c) + 1)).astype(np.float32)
+
+    floors = F.array(*[F.lit(float(least * t.sum())) for t in total])
+    known = words.groupBy("word").agg(F.sum("times").alias("times"), *per).where(F.col("times") >= floors[0]).toPandas()
+    kept = grams.groupBy("n", "gram").agg(F.sum("times").alias("times"), *per).where(F.col("times") >= F.element_at(floors, F.col("n") + 1)).toPandas()
+    tables = []
+    for n in range(1, LONGEST + 1):
+        own = kept[kept["n"] == n].sort_values("gram")
+        tables.append((own["gram"].to_numpy(np.int64), logs(own, n)))
+    return Model(langs, {bytes(w): k for k, w in enumerate(known["word"])}, logs(known, 0), tables)
 
 
 class _Memory(dict):
-    """Word -> row of ``rows``, its scores."""
+    """Word -> row of ``rows``, its scores; a bounded number of words."""
 
-    LIMIT, STEP = 200_000, 50_000
+    LIMIT, STEP = 200_000, 100_000
 
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((self.LIMIT + self.STEP + 1, len(model.langs)))
-
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        self.rows[k] = self.model.word(word)
-        return k
-
-    def total(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(self.model.langs))
-        for at in range(0, len(words), self.STEP):
-            if len(self) > self.LIMIT:
-                self.clear()
-            some = words[at : at + self.STEP]
-            out += self.rows[np.fromiter(map(self.__getitem__, some), np.int64, len(some))].sum(axis=0)
+        self.rows = np.zeros((self.LIMIT + self.STEP, len(model.langs)))
+
+    def totals(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Sums of the scores of the words of each text, some words at a time."""
+        out = [np.zeros(self.rows.shape[1]) for _ in texts]
+        parts = [(k, t[at : at + self.STEP]) for k, t in enumerate(texts) for at in range(0, len(t), self.STEP)]
+        low = n = 0
+        for end in range(len(parts) + 1):
+            size = len(parts[end][1]) if end < len(parts) else 0
+            if end == len(parts) or n + size > self.STEP:
+                self.add(parts[low:end], out)
+                low, n = end, 0
+            n += size
         return out
 
+    def add(self, parts: list[tuple[int, list[bytes]]], out: list[np.ndarray]) -> None:
+        if len(self) > self.LIMIT:
+            self.clear()
+        new = list({w for _, t in parts for w in t if w not in self})
+        if new:
+            self.rows[len(self) : len(self) + len(new)] = self.model.scores(new)
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        for k, t in parts:
+            out[k] += self.rows[np.fromiter(map(self.__getitem__, t), np.int64, len(t))].sum(axis=0)
+
+
+def _words(text: str) -> list[bytes]:
+    """The words of a text; none where it has no letter."""
+    words = common.letter_runs(text.lower())
+    return words if any(w[0] < 128 for w in words) or any(map(str.isalpha, text)) else []
+
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (posterior of the per-word evidence, tempered by text length)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     names = docs.columns
@@ -151,20 +197,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         memory = _Memory(shared.value)
         langs = shared.value.langs
-        for batch in batches:
-            lang, score = [], []
-            for t in batch.column(at).to_pylist():
-                words = WORD.findall(t.lower()) if t else []
-                if not words or not langs:
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                sums = memory.total(words)
-                best = int(np.argmax(sums))
-                lang.append(langs[best])
-                score.append(float(1 / np.exp((sums - sums[best]) / np.sqrt(len(words))).sum()))
-            columns = {name: batch.column(k) for k, name in enumerate(names)} | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
-            yield pa.RecordBatch.from_pydict(columns)
+        for whole in batches:
+            for batch in (whole.slice(k, 1000) for k in range(0, len(whole), 1000)):
+                words = [_words(t) if t and langs else [] for t in batch.column(at).to_pylist()]
+                lang, score = [], []
+                for t, sums in zip(words, memory.totals(words), strict=True):
+                    best = int(np.argmax(sums)) if t else -1
+                    lang.append(langs[best] if t else "und")
+                    score.append(float(1 / np.exp((sums - sums[best]) / np.sqrt(len(t))).sum()) if t else 0.0)
+                columns = {name: batch.column(k) for k, name in enumerate(names)} | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return docs.mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, url_filters, warc
+from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc_derivatives": warc.op5_warc_derivatives,
     "op6_url_filters": url_filters.op6_url_filters,
     "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
+    "op9_toxicity_crf": toxicity.op9_toxicity_crf,
     "op10_language_id": lang_id.op10_language_id,
 }
 #: Where SQL can express a query.

@@ -208,3 +208,47 @@ def test_warc_derivatives_refer_to_their_response(spark, tmp_path):
     head, _, rest = data.partition(b"\r\n\r\n")
     n = int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0])
     assert rest[n : n + 4] == b"\r\n\r\n"
+
+
+def test_toxic_documents_and_their_spans(spark):
+    from tessitura.llm import toxicity
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghmnop") for _ in range(rng.randint(2, 6)))
+    rows, marks = [], []
+    for i in range(400):
+        words = [word() for _ in range(rng.randint(3, 60))]
+        if i % 4 == 0:
+            for _ in range(rng.randint(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(["zorkish", "Zorkly", "quuxed"]))
+        rows.append((i, " ".join(words), 0.5))
+        marks.append((i, int(i % 4 == 0)))
+    rows += [(900, None, 0.0), (901, "", 0.0), (902, "é " * 700 + "Éa zorkish, b", 0.0), (0, rows[0][1], 0.0)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, score double"), spark.createDataFrame(marks + [(5, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs.where(~toxicity.held_out()), labels)
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == len(rows) and all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in out if r["doc_id"] < 400)
+    by = {r["doc_id"]: r for r in out}
+    assert by[902]["predicted"] == 1 and [rows[402][1][s["start"] : s["end"]] for s in by[902]["spans"]] == ["zorkish"]
+    assert by[900]["predicted"] == by[901]["predicted"] == 0 and not by[900]["spans"]
+    assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels.where("toxic = 1"))).collect()} == {0.0}
+
+
+def test_marginals_equal_a_sum_over_all_taggings():
+    import itertools
+
+    from tessitura.llm import toxicity
+
+    rng = np.random.default_rng(9)
+    moves, start = rng.normal(size=(2, 2)), 0.3
+    texts = [rng.normal(size=n) for n in (7, 4, 1)]
+    for e, got in zip(texts, toxicity.chain(texts, moves, start)):
+        total, toxic = 0.0, np.zeros(len(e))
+        for tags in itertools.product((0, 1), repeat=len(e)):
+            w = np.exp(sum(x * t for x, t in zip(e, tags)) + start * tags[0] + sum(moves[a, b] for a, b in zip(tags, tags[1:])))
+            total += w
+            toxic += w * np.array(tags)
+        assert np.allclose(got, toxic / total)
+    long = [rng.normal(size=2000)]
+    grid = toxicity.marginals(np.array(long), np.array([2000]), moves, start)[0]
+    assert np.allclose(toxicity.chain(long, moves, start)[0], grid, atol=1e-9)
