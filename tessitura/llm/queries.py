@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, toxicity, url_filters, warc
+from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, repeats, suffix_tree_lm, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+    "op4_suffix_tree_scoring": suffix_tree_lm.op4_suffix_tree_scoring,
     "op5_warc_derivatives": warc.op5_warc_derivatives,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_suffix_array_dedup": repeats.op7_suffix_array_dedup,
     "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
     "op9_toxicity_crf": toxicity.op9_toxicity_crf,
     "op10_language_id": lang_id.op10_language_id,
