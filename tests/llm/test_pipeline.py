@@ -24,7 +24,7 @@ def tables(spark, folder):
             t += " " + items[i % 5][1] + " end"
         elif i % 13 == 2:
             t += " " + passage
-        elif i % 11 == 1 and docs:
+        elif i % 11 == 1 and i % 5 != 1:
             t = docs[i - 1][1] + " more"
         docs.append((i, t, "en", "s", len(t)))
         toxic.append((i, 1, int(i % 5 == 0)))
