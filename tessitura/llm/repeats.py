@@ -31,6 +31,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,7 +195,7 @@ class Finder:
         size = common.total_bytes(docs)
         self.parts = common.parts_for(size)
         self.bits = max(self.parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
-        same = docs.select(self.ids["id"].alias("id"), F.md5(text.cast("binary")).alias("same"))
+        same = docs.select(*[c.alias(n) for n, c in self.ids.items()], F.md5(text.cast("binary")).alias("same"))
         self.same = common.stored(same)
         self.firsts = self.shared(bitmap_of(self.same.groupBy("same").agg(F.min("id").alias("id")).select("id"), self.bits))
 
@@ -285,18 +286,28 @@ class Finder:
         return self.contexts.mapInArrow(_by_anchor(self.k, _groups), "name long, length int, id long, row long, start long")
 
     def result(self, docs: DataFrame) -> DataFrame:
-        """docs with _spans (packed pairs of offsets of what is removed, or null) and _copy (of an earlier whole text)."""
-        names = docs.columns
-        spans = self.spans().repartition("id", "row").sortWithinPartitions("id", "row", "start")
-        spans = spans.mapInArrow(_packed, "id long, row long, _spans binary")
+        """docs with _spans (packed pairs of offsets of what is removed, or null) and _copy (of an earlier whole text).
+
+        Only texts that lose something are shuffled: a bitmap of their ids lets the others pass.
+        """
+        spans = common.stored(self.spans())
+        spans = spans.repartition("id", "row").sortWithinPartitions("id", "row", "start").mapInArrow(_packed, "id long, row long, _spans binary")
         low = self.same.groupBy("same").agg(F.min("id").alias("_low"), F.count("*").alias("n")).where("n > 1").select("same", "_low")
-        copies = self.same.join(low, "same").where("id > _low").select("id", "same").distinct().withColumn("_copy", F.lit(True))
-        text = F.coalesce("text", F.lit("")).cast("binary")
-        out = docs.withColumns({"_id": self.ids["id"], "_row": self.ids["row"], "_same": F.md5(text)})
-        out = out.join(spans, (F.col("_id") == F.col("id")) & (F.col("_row") == F.col("row")), "left").select(*[docs[c] for c in names], "_id", "_same", "_spans")
-        copies = copies.select(F.col("id").alias("_cid"), F.col("same").alias("_csame"), "_copy")
-        out = out.join(copies, (F.col("_id") == F.col("_cid")) & (F.col("_same") == F.col("_csame")), "left")
-        return out.select(*[docs[c] for c in names], "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy"))
+        copies = self.same.join(low, "same").where("id > _low").select("id", "row").distinct()
+        copies = copies.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.lit(None).cast("binary").alias("_spans"), F.lit(True).alias("_copy"))
+        marks = spans.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_spans", F.lit(False).alias("_copy")).unionByName(copies)
+        marks = common.stored(marks.groupBy("_id", "_row").agg(F.first("_spans", ignorenulls=True).alias("_spans"), F.max("_copy").alias("_copy")))
+        losing = self.bitmap(marks.select("_id"))
+
+        @F.pandas_udf("boolean")
+        def loses(ids: pd.Series) -> pd.Series:
+            return pd.Series(in_bitmap(losing.value, ids.to_numpy()))
+
+        known = docs.withColumns({"_id": self.ids["id"], "_row": self.ids["row"]}).withColumn("_loses", loses("_id"))
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        rest = known.where("not _loses").select(*names, F.lit(None).cast("binary").alias("_spans"), F.lit(False).alias("_copy"))
+        some = known.where("_loses").drop("_loses").join(marks, ["_id", "_row"], "left")
+        return rest.unionByName(some.select(*names, "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy")))
 
 
 def _by_anchor(k: int, what):
