@@ -4,11 +4,12 @@ Each text becomes the set of hashes of its n-word windows, in one global order:
 n-grams first (by levels of document frequency, counted over all documents), then by
 hash. Two sets that are similar enough share an n-gram of their prefixes in that order,
 so the first level of the prefix tree is dealt over the cluster: one group per prefix
-n-gram. What meets there is tried in two steps, so that no group of copies is ever
+n-gram. What meets there is tried in three steps, so that no group of copies is ever
 expanded into all its pairs:
 
 1. each set against one other, the least of those that it met; links give classes;
-2. pairs of a group that are still in different classes.
+2. each set against the nearest, by the bound below, of the other classes;
+3. pairs of a group that are still in different classes.
 
 A pair first has to pass a bound on the symmetric difference, from parity bitmaps of
 about one bit per n-gram; then the sets of each anchor's partners are put in a trie in
@@ -350,8 +351,11 @@ class Join:
 
         return rows.repartition("b", "block").sortWithinPartitions("b", "block", "kind", "key").mapInArrow(probe, "a long, b long").distinct()
 
-    def across(self, groups: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of a group whose sets are in different classes and may link; large groups in blocks against blocks."""
+    def across(self, groups: DataFrame, classes: DataFrame, nearest: bool = False) -> DataFrame:
+        """Pairs of a group whose sets are in different classes and may link; large groups in blocks against blocks.
+
+        With ``nearest`` only one for each set of a block, that with the least bound on their difference.
+        """
         num, den = self.num, self.den
         rows = groups.join(classes, "key", "left").select("gid", "key", F.coalesce("component", "key").alias("component"))
         mixed = rows.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
@@ -365,10 +369,16 @@ class Join:
             found: set[tuple[int, int]] = set()
 
             def end() -> None:
+                best: dict[int, tuple[int, int]] = {}
                 for k, (side, x, c, n, bits) in enumerate(held):
                     for side2, y, c2, n2, bits2 in held[k + 1 :]:
                         if c != c2 and (at[1] == at[2] or side != side2) and (min(x, y), max(x, y)) not in found and may_link(n, bits, n2, bits2, num, den):
-                            found.add((max(x, y), min(x, y)))
+                            if nearest:
+                                far = differ_at_least(bits, bits2)
+                                best[x], best[y] = min(best.get(x, (far, y)), (far, y)), min(best.get(y, (far, x)), (far, x))
+                            else:
+                                found.add((max(x, y), min(x, y)))
+                found.update((max(x, y), min(x, y)) for x, (_, y) in best.items())
 
             for part in batches:
                 for gid, i, j, *row in zip(*(part.column(c).to_pylist() for c in ("gid", "i", "j", "mine", "key", "component", "n", "parity")), strict=True):
@@ -397,11 +407,13 @@ class Join:
         first = groups.where("low < key").groupBy("key").agg(F.min("low").alias("b")).select(F.col("key").alias("a"), "b")
         links = common.stored(self.verified(common.stored(self.passing(first))))
         classes = common.stored(common.components(links).select(F.col("node").alias("key"), "component"))
-        rest = common.stored(self.across(groups.select("gid", "key").distinct(), classes))
-        if not rest.isEmpty():
-            more = common.stored(self.verified(rest))
-            if not more.isEmpty():
-                classes = common.stored(common.components(links.unionByName(more)).select(F.col("node").alias("key"), "component"))
+        members = groups.select("gid", "key").distinct()
+        for nearest in (True, False):
+            rest = common.stored(self.across(members, classes, nearest))
+            if rest.isEmpty():
+                break
+            links = links.unionByName(common.stored(self.verified(rest)))
+            classes = common.stored(common.components(links).select(F.col("node").alias("key"), "component"))
         named = self.reps.select("key", "doc_id", "n_same").join(classes, "key", "left").select("key", "doc_id", "n_same", F.coalesce("component", "key").alias("component"))
         lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         named = named.join(lowest, "component").select("key", "component_id", "n_same")
