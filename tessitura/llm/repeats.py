@@ -219,9 +219,9 @@ class Finder:
 
         def several(key: tuple, table: pa.Table) -> pa.Table:
             (v,) = common.gathered(table.column("chunk").to_pylist(), ["<u4"])
-            v = np.sort(v >> np.uint32(32 - bits + log_p))
+            v = np.sort(v)
             seen = np.zeros(1 << (bits - log_p), np.uint8)
-            seen[v[1:][v[1:] == v[:-1]]] = 1
+            seen[v[1:][v[1:] == v[:-1]] >> np.uint32(32 - bits + log_p)] = 1
             return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
 
         out, each = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - log_p - 3)
