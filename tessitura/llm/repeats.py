@@ -252,34 +252,43 @@ class Finder:
         later = found.join(contexts.select("context", "head"), "context").where(F.struct("id", "row", "start") > F.col("head"))
         later = later.select("id", "row", "start", (F.col("start") + F.col("n") - 1 + k).alias("end"))
         several = common.stored(contexts.groupBy("name").agg(F.count("*").alias("m")).where("m > 1"))
-        hot = self.bitmap(several.where(F.col("m") > HOT).select("name"))
+        many = several.where(F.col("m") > HOT).select("name")
+        any_hot, hot = not many.isEmpty(), self.bitmap(many)
         heads = contexts.join(several, "name", "left_semi").select("name", "head.*")
         places = self.bitmap(heads.select(F.expr("id ^ row ^ (start * 1000003)").alias("place")))
 
+        def heads_of(found: Anchors, ids: np.ndarray, rows: np.ndarray, offsets: np.ndarray, by_window: bool) -> tuple:
+            id_, row, start = ids[found.text], rows[found.text], found.first + offsets[found.text]
+            wanted = in_bitmap(places.value, id_ ^ row ^ (start * np.int64(1000003)))
+            at = np.flatnonzero(wanted & (in_bitmap(hot.value, found.name.view(np.int64)) == by_window))
+            return at, id_[at], row[at], start[at]
+
         def take(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for found, ids, rows, offsets in blocks(batches, k, firsts.value):
-                id_, row, start = ids[found.text], rows[found.text], found.first + offsets[found.text]
-                kept = in_bitmap(places.value, id_ ^ row ^ (start * np.int64(1000003)))
-                by_window = kept & in_bitmap(hot.value, found.name.view(np.int64))
-                at = np.flatnonzero(by_window)
-                n = (found.last - found.first)[at] + 1
-                which = np.repeat(at, n)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                x = found.first[which] + step
-                yield rows_of(found.hashes(x, x + k, np.zeros(len(x), np.int64)), id_[which], row[which], start[which] + step, np.full(len(x), -1), pa.nulls(len(x), pa.binary()))
-                at = np.flatnonzero(kept & ~by_window)
+            for found, *where in blocks(batches, k, firsts.value):
+                at, id_, row, start = heads_of(found, *where, False)
                 raw = [found.raw[a:b] for a, b in zip(found.first[at].tolist(), (found.last[at] + k).tolist(), strict=True)]
-                yield rows_of(found.name[at], id_[at], row[at], start[at], (found.place - found.first)[at], pa.array(raw, pa.binary()))
+                left = (found.place - found.first)[at].astype(np.int32)
+                yield pa.record_batch([pa.array(found.name[at].view(np.int64)), pa.array(id_), pa.array(row), pa.array(start), pa.array(left), pa.array(raw, pa.binary())], names=["name", "id", "row", "start", "left", "raw"])
 
-        def rows_of(name, id_, row, start, left, raw) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(name.view(np.int64)), pa.array(id_), pa.array(row), pa.array(start), pa.array(left.astype(np.int32)), raw], names=["name", "id", "row", "start", "left", "raw"])
-
-        taken = common.stored(self.docs.mapInArrow(take, "name long, id long, row long, start long, left int, raw binary"))
-        windows = taken.where("raw is null").select("name", "id", "row", "start")
-        head = windows.groupBy("name").agg(F.min(F.struct("id", "row", "start")).alias("head"), F.count("*").alias("m")).where("m > 1")
-        windows = windows.join(head, "name").where(F.struct("id", "row", "start") > F.col("head")).select("id", "row", "start", (F.col("start") + k).alias("end"))
-        self.contexts = taken.where("raw is not null").distinct().repartition("name").sortWithinPartitions("name", "id", "row", "start")
-        return later.unionByName(windows).unionByName(self.contexts.mapInArrow(_by_anchor(k, _covered), SPAN))
+        def take_windows(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for found, *where in blocks(batches, k, firsts.value):
+                at, id_, row, start = heads_of(found, *where, True)
+                n = (found.last - found.first)[at] + 1
+                which = np.repeat(np.arange(len(at)), n)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                x = found.first[at][which] + step
+                name = found.hashes(x, x + k, np.zeros(len(x), np.int64))
+                yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(id_[which]), pa.array(row[which]), pa.array(start[which] + step)], names=["name", "id", "row", "start"])
+
+        taken = self.docs.mapInArrow(take, "name long, id long, row long, start long, left int, raw binary")
+        self.contexts = taken.repartition("name").sortWithinPartitions("name", "id", "row", "start")
+        out = later.unionByName(self.contexts.mapInArrow(_by_anchor(k, _covered), SPAN))
+        if any_hot:
+            windows = common.stored(self.docs.mapInArrow(take_windows, "name long, id long, row long, start long"))
+            head = windows.groupBy("name").agg(F.min(F.struct("id", "row", "start")).alias("head"), F.count("*").alias("m")).where("m > 1")
+            windows = windows.join(head, "name").where(F.struct("id", "row", "start") > F.col("head"))
+            out = out.unionByName(windows.select("id", "row", "start", (F.col("start") + k).alias("end")))
+        return out
 
     def groups(self) -> DataFrame:
         """The maximal repeats through the anchors of spans(): name of the group, length, id, row and start of each occurrence."""
@@ -320,7 +329,8 @@ def _by_anchor(k: int, what):
                     if len(group) > 1:
                         out += what(at, group, k)
                     at, group = name, []
-                group.append(row)
+                if not group or group[-1][:3] != row[:3]:  # rows of one document
+                    group.append(row)
             if out:
                 yield batch_of(out)
         if len(group) > 1 and (out := list(what(at, group, k))):
