@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessitura.plans import queries
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return QUERIES["chord_segments"](spark, sf_dir)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(queries.ORACLE_SQL)
+FLAGSHIP = queries.chord_segments
