@@ -40,8 +40,8 @@ from tessitura.llm import common
 from tessitura.llm.ngram_join import MAX_BITS, bitmap_of, in_bitmap
 
 GRAM = 20
-#: Bytes that are worked on at a time; places within take its 20 bits.
-BLOCK = 1 << 20
+#: Bytes that are worked on at a time; places within take 20 bits at most.
+BLOCK = 1 << 19
 HOT = 1000
 LAST = (1 << 63) - 1
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,7 +210,7 @@ class Finder:
         k, firsts, bits, log_p = self.k, self.firsts, self.bits, self.parts.bit_length() - 1
 
         def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            out = common.Scatter(["<u4"], 4_000_000)
+            out = common.Scatter(["<u4"], 1_000_000)
             for found, *_ in blocks(batches, k, firsts.value):
                 if (b := out.add(found.name >> np.uint64(64 - log_p), (found.name >> np.uint64(32 - log_p)) & np.uint64(0xFFFFFFFF))) is not None:
                     yield b
