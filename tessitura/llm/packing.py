@@ -30,12 +30,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """Word -> its token ids as little-endian unsigned 32-bit numbers.
+    """Word -> its token ids as little-endian unsigned 32-bit numbers, with a memory of bounded size.
 
     No token of the tokenizer spans ASCII white space, so a text's ids are those of its words in turn.
+    Nor does one span a letter and the punctuation after it, so that these are looked up apart.
+    New words are encoded many at a time, with a mark between them that is a token of its own.
     """
 
-    LIMIT = 300_000
+    LIMIT, MARK, TAIL = 500_000, "\u00bd", b".,;:!?"
 
     def __init__(self, path: str):
         import os
@@ -44,16 +46,35 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        new = list({w for t in texts for w in t if w not in self})
+        new = set().union(*texts) - self.keys()
         if len(self) + len(new) > self.LIMIT:
             self.clear()
-            new = list({w for t in texts for w in t})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+            new = set().union(*texts)
+        apart = {w: core for w in new if b"'" not in w and (core := w.rstrip(self.TAIL)) and len(core) < len(w) and 97 <= core[-1] <= 122}
+        tails = {w[len(core) :] for w, core in apart.items()}
+        whole = [w for w in {*(new - apart.keys()), *apart.values(), *tails} if w not in self]
+        for at in range(0, len(whole), 500):
+            some = whole[at : at + 500]
+            self.update(zip(some, self._encoded([w.decode("utf-8", "replace") for w in some]), strict=True))
+        self.update([(w, self[core] + self[w[len(core) :]]) for w, core in apart.items()])
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        if self.mark is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) == len(words):  # else a word has the mark's token
+                b = ids.tobytes()
+                return [b[4 * x : 4 * y] for x, y in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+
+def lowered(text: bytes | None) -> bytes:
+    """A text with A-Z lower-cased, as the tokenizer does, unless it may hold the name of a special token, which has its case."""
+    return (text or b"") if text is None or b"<|" in text else text.translate(common.LOWER)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, separator: int = 0) -> DataFrame:
@@ -63,7 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, separator: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         ids = WordIds(tokenizer)
         for batch in batches:
-            texts = [(t or b"").split() for t in batch.column(1).to_pylist()]
+            texts = [lowered(t).split() for t in batch.column(1).to_pylist()]
             out: tuple[list, ...] = ([], [], [], [], [])
             for at in range(0, len(texts), 500):
                 some = texts[at : at + 500]
