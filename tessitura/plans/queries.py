@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions import scalars
-from tessitura.operators import harmony, relational, signal
-from tessitura.sources import adapters
+from tessitura.operators import harmony, playability, relational, signal, tempo
+from tessitura.sources import adapters, documents
 
 BPM = 67.0
 SPAN_US = 300_000_000
@@ -242,3 +242,44 @@ def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def energy_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.frames(spark, sf_dir).withColumn("energy", signal.energy(F.col("samples"))).withColumn("rise", signal.rise("energy"))
     return rows.select("track_id", "frame_idx", F.round(signal.share_of_most("rise"), 4).alias("strength"))
+
+
+@query(f"""WITH {DET}, b AS (SELECT track_id, t_us // 1000000 AS bin, count(*) AS x FROM det WHERE role = 'onset' GROUP BY ALL), w AS (SELECT track_id, sum(x * x) AS power FROM b GROUP BY ALL),
+  m AS (SELECT a.track_id, z.bin - a.bin AS lag, sum(a.x * z.x) AS met FROM b a JOIN b z ON a.track_id = z.track_id AND z.bin > a.bin AND z.bin <= a.bin + 60 GROUP BY ALL),
+  r AS (SELECT track_id, lag, met::DOUBLE / power::DOUBLE AS strength, row_number() OVER (PARTITION BY track_id ORDER BY met::DOUBLE / power::DOUBLE DESC, lag) AS k FROM m JOIN w USING (track_id))
+  SELECT track_id, lag::INT AS lag, round(strength, 4) AS strength FROM r WHERE k = 1""")
+def onset_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    onsets = adapters.detections(spark, sf_dir).where("role = 'onset'")
+    return tempo.best_lag(tempo.autocorrelation(onsets, 1_000_000, 60)).select("track_id", "lag", F.round("strength", 4).alias("strength"))
+
+
+@query(f"""WITH {DET}, o AS (SELECT track_id, t_us FROM det WHERE role = 'onset'), c AS (SELECT DISTINCT track_id, t_us AS place FROM o WHERE t_us < 30000000),
+  e AS (SELECT o.track_id, place, ((t_us - place) / 1e6) / (60.0::DOUBLE / 67.0::DOUBLE) AS beat FROM o JOIN c ON o.track_id = c.track_id AND t_us >= place), f AS (SELECT track_id, place, abs(beat - round_even(beat, 0)) AS far FROM e),
+  s AS (SELECT track_id, place, round(sum(CASE WHEN far < 0.15::DOUBLE THEN 1 - far ELSE 0 END), 6) AS score FROM f GROUP BY ALL), b AS (SELECT track_id, place FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, place) AS k FROM s) WHERE k = 1)
+  SELECT g.track_id, coalesce(place, low) AS downbeat_us FROM (SELECT track_id, min(t_us) AS low FROM o GROUP BY ALL) g LEFT JOIN b USING (track_id)""")
+def first_downbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tempo.first_downbeat(adapters.detections(spark, sf_dir).where("role = 'onset'"), BPM, 30_000_000)
+
+
+@query(f"""WITH {PITCH}, q AS (SELECT set_id, list_sort(list_distinct(list(midi))) AS notes FROM p GROUP BY set_id), w AS (SELECT set_id, notes, unnest(notes) AS s FROM q), x AS (SELECT set_id, notes, s, list_filter(notes, lambda v: v >= s AND v <= s + 10)[1:3] AS win FROM w),
+  r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY len(win) * 100 - list_sum(win)::DOUBLE / len(win)::DOUBLE DESC, s) AS k FROM x) SELECT set_id, array_to_string(CASE WHEN notes[len(notes)] - notes[1] <= 10 AND len(notes) <= 3 THEN notes ELSE win END, ' ') AS kept FROM r WHERE k = 1""")
+def low_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = playability.hand_span(F.col("midis"), 10, 3, "lowest")
+    return adapters.pitch_sets(spark, sf_dir).select("set_id", F.array_join(kept.cast("array<string>"), " ").alias("kept"))
+
+
+_NAMED = f"{NAMES}[midi % 12 + 1] || (midi // 12 - 1)::VARCHAR"
+
+
+@query(ORACLE_SQL["chord_segments"].replace(" SELECT seg.track_id", ", cs AS (SELECT seg.track_id", 1) + f"""), mm AS (SELECT track_id, start_us, midi, min(t_us) AS low FROM seg JOIN det USING (track_id) WHERE t_us >= start_us AND t_us < end_us AND role = 'melody' GROUP BY ALL),
+  mel AS (SELECT track_id, start_us, string_agg({_NAMED}, ' ' ORDER BY low, midi) AS notes FROM mm GROUP BY ALL), ln AS (SELECT *, (start_us / 1e6) / (60.0::DOUBLE / 67.0::DOUBLE) AS beat FROM cs LEFT JOIN mel USING (track_id, start_us))
+  SELECT track_id, start_us, printf('%-10s %-8s %-10s %-8s %s', printf('%d.%d', floor(beat / 4)::INT + 1, floor(fmod(beat, 4.0::DOUBLE))::INT + 1), printf('%d.%02d', (start_us + 5000) // 1000000, (start_us + 5000) // 10000 % 100), chord, coalesce({_NAMED.replace("midi", "bass")}, '-'), coalesce(notes, '-')) AS line FROM ln""")
+def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chord segments as lines of text, with the names of the melody notes in each, in order."""
+    det, by = adapters.detections(spark, sf_dir), ["track_id", "start_us"]
+    notes = relational.in_segment(det.where("role = 'melody'"), _segments(det)).groupBy(*by, "midi").agg(F.min("t_us").alias("low"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("low", "midi"))), lambda x: scalars.note_name(x["midi"]))
+    rows = chord_segments(spark, sf_dir).join(notes.groupBy(*by).agg(F.array_join(names, " ").alias("melody")), by, "left")
+    beat = scalars.time_to_beat(F.col("start_us") / F.lit(1e6), BPM)
+    place = F.format_string("%d.%d", scalars.bar_of(beat), F.floor(scalars.beat_in_bar(beat)).cast("int"))
+    return rows.select(*by, documents.segment_line(place, F.col("start_us"), F.col("chord"), scalars.note_name(F.col("bass")), F.col("melody")).alias("line"))
