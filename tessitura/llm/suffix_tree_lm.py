@@ -1,12 +1,10 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Symbols are the words of a text and its end. The tree's states are contexts of up to
-``depth`` words. What it keeps is set by relative frequency, as usual for such trees: a
-context with its next symbol is kept where it makes up at least ``least`` of the training
-tokens, so every level has at most ``1 / least`` entries, which bounds what is broadcast;
-all n-grams of all training texts are counted for it, level by level, each level among
-n-grams whose parts are frequent. A context becomes a state if its next-symbol
-distribution diverges from that of its longest proper suffix by ``divergence`` nats.
+``depth`` words. A context with its next symbol is kept where it was seen ``seen`` times,
+whatever the size of the corpus; so what is learned grows with the text, as tables by
+hash. A context becomes a state if its next-symbol distribution diverges from that of its
+longest proper suffix by ``divergence`` nats.
 
 A state's distribution is smoothed by its suffix's: with c(s) tokens after s, of them
 C(s) in kept pairs, P(w|s) = (c(s,w) + (c(s) - C(s) + mass) P(w|suffix)) / (c(s) + mass),
@@ -14,8 +12,12 @@ where c(s,w) is 0 for pairs not kept. The root is (c + 1) / (N + V + 1), which l
 room for one unknown word; so each state's probabilities add up to 1. A token is scored
 in the longest suffix of what stands before it that is a state.
 
-Words below the frequency have only the root's share of the shuffle: they are counted
-and looked up in groups by word, none of which can be hot.
+log P is a sum: the root's, what each context leaves to its suffix, and for a kept pair
+what it gains over that. So an n-gram has one value, as pair and as context, and the
+values of a text's n-grams add up wherever they are found. N-grams that make up ``least``
+of the training tokens, at most ``1 / least`` a level, are broadcast so that no group of
+the shuffle is hot; all others are looked up by a packed shuffle, if a bitmap of fixed
+size does not rule them out. Neither ``least`` nor the bitmap changes a score.
 
 Defined cases: a null text is empty and has one token, its end; without training texts
 N = V = 0 and every token has probability 1; repeated rows each keep a row; a null
@@ -24,39 +26,35 @@ doc_id counts as not held out; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import common
+from tessitura.llm.ngram_join import bitmap_of, in_bitmap
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task gathers before it counts them.
 FLUSH = 2_000_000
 
 
-class Level:
-    """Frequent n-grams, sorted by key, with their counts; a key is a word's hash, or (context, suffix) as places in the level before."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts = keys, counts
-
-    def places(self, keys: np.ndarray, ok: np.ndarray | None = None) -> np.ndarray:
-        """The place of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        good = self.keys[at] == keys
-        return np.where(good if ok is None else good & ok, at, -1)
+def places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
 
 
 def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    return context.astype(np.uint64) << np.uint64(32) | suffix.astype(np.uint64)
+    """The key of an n-gram, by the keys of all but its last and all but its first word; a word's key is its hash."""
+    return common.mix(common.mix(context) * np.uint64(0x100000001B3) + suffix)
 
 
 def token_blocks(batches: Iterator[pa.RecordBatch], size: int = FLUSH) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
@@ -76,24 +74,23 @@ def token_blocks(batches: Iterator[pa.RecordBatch], size: int = FLUSH) -> Iterat
         yield rows, np.concatenate(held), np.array([len(x) for x in held])
 
 
-def climb(tokens: np.ndarray, lengths: np.ndarray, levels: list[Level]) -> list[np.ndarray]:
-    """For each level n, the place of the n-gram that ends at each token, or -1."""
+def climb(tokens: np.ndarray, lengths: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level n, (key of the n-gram that ends at each token, whether it is within the text)."""
     inside = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    places = [levels[0].places(tokens)]
-    for n, level in enumerate(levels[1:], 2):
-        before = np.append(-1, places[-1][:-1])
-        ok = (before >= 0) & (places[-1] >= 0) & (inside >= n - 1)
-        places.append(level.places(joined(before, places[-1]), ok))
-    return places
+    levels = [(tokens, inside >= 0)]
+    for n in range(2, depth + 2):
+        key = levels[-1][0]
+        levels.append((joined(np.append(np.uint64(0), key[:-1]), key), inside >= n - 1))
+    return levels
 
 
-def _counted(docs: DataFrame, keys_of: Callable, parts: int, floor: float) -> DataFrame:
-    """(key, times) of all keys that keys_of takes from blocks of tokens, of those with floor times at least."""
+def _counted(docs: DataFrame, parts: int) -> DataFrame:
+    """(key, times) of all words."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         out = common.Scatter(["<u8", "<u4"])
-        for _, tokens, lengths in token_blocks(batches):
-            keys, times = np.unique(keys_of(tokens, lengths), return_counts=True)
+        for _, tokens, _ in token_blocks(batches):
+            keys, times = np.unique(tokens, return_counts=True)
             if (b := out.add(common.mix(keys) & np.uint64(parts - 1), keys, times)) is not None:
                 yield b
         if (b := out.take()) is not None:
@@ -102,143 +99,192 @@ def _counted(docs: DataFrame, keys_of: Callable, parts: int, floor: float) -> Da
     def add(table: pa.Table) -> pa.Table:
         keys, times = common.gathered(table.column("chunk").to_pylist(), ["<u8", "<u4"])
         keys, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, times, len(keys)).astype(np.int64)
-        kept = total >= floor
-        return pa.table({"key": pa.array(keys[kept].view(np.int64)), "times": pa.array(total[kept])})
+        return pa.table({"key": pa.array(keys.view(np.int64)), "times": pa.array(np.bincount(at, times, len(keys)).astype(np.int64))})
 
     return docs.where("not held_out").mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "key long, times long")
 
 
-def _collected(rows: DataFrame) -> Level:
-    """A level; it has at most 1 / least rows."""
-    table = rows.toPandas()
-    keys, times = table["key"].to_numpy(np.int64).view(np.uint64), table["times"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return Level(keys[order], times[order])
+def _counted_grams(docs: DataFrame, n: int, parts: int, seen: int, below: Broadcast | None) -> DataFrame:
+    """(key, context, suffix, times) of the n-grams that were seen so often; ``below`` is a bitmap of those of n - 1 words."""
+    kinds = ["<u8", "<u8", "<u4"]
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        out = common.Scatter(kinds)
+        for _, tokens, lengths in token_blocks(batches):
+            levels = climb(tokens, lengths, n - 1)
+            (parts_key, _), (key, ok) = levels[-2:]
+            if below is not None:
+                there = in_bitmap(below.value, parts_key)
+                ok = ok & there & np.append(False, there[:-1])
+            at = np.flatnonzero(ok)
+            key, first, times = np.unique(key[at], return_index=True, return_counts=True)
+            at = at[first]
+            if (b := out.add(key & np.uint64(parts - 1), parts_key[at - 1], parts_key[at], times)) is not None:
+                yield b
+        if (b := out.take()) is not None:
+            yield b
+
+    def add(table: pa.Table) -> pa.Table:
+        context, suffix, times = common.gathered(table.column("chunk").to_pylist(), kinds)
+        keys, first, at = np.unique(joined(context, suffix), return_index=True, return_inverse=True)
+        total = np.bincount(at, times, len(keys)).astype(np.int64)
+        kept = total >= seen
+        columns = [x[kept].view(np.int64) for x in (keys, context[first], suffix[first], total)]
+        return pa.table([pa.array(x) for x in columns], names=["key", "context", "suffix", "times"])
+
+    return docs.where("not held_out").mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "key long, context long, suffix long, times long")
+
+
+def _released(df: DataFrame) -> DataFrame:
+    """df stored; the shuffles that went before are cleared from the disks."""
+    df = common.stored(df)
+    df.sparkSession._jvm.System.gc()
+    return df
 
 
 class Tree:
-    """Levels, and for each the log10 probability of its pairs and the log10 weight that its contexts leave to their suffix."""
-
-    def __init__(self, levels: list[Level], total: int, distinct: int, divergence: float, mass: float):
-        self.levels, self.total, self.distinct = levels, total, distinct
-        self.unit = np.log10(total + distinct + 1)
-        self.pairs = [np.log10(levels[0].counts + 1.0) - self.unit]
-        self.left: list[np.ndarray] = []
-        for below, level in zip(levels, levels[1:], strict=False):
-            context, suffix = (level.keys >> np.uint64(32)).astype(np.int64), (level.keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            after = below.counts.astype(float)
-            p0 = 10.0 ** self.pairs[-1][suffix]
-            share = level.counts / after[context]
-            kept, kept0 = np.bincount(context, share, len(after)), np.bincount(context, p0, len(after))
-            rest, rest0 = np.clip(1 - kept, 0, 1), np.clip(1 - kept0, 1e-12, 1)
-            far = np.bincount(context, share * np.log(share / p0), len(after)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest0), 0)
-            state = (far >= divergence) & (np.bincount(context, minlength=len(after)) > 0)
-            weight = np.where(state, (after * rest + mass) / (after + mass), 1.0)
-            p = np.where(state[context], level.counts / (after[context] + mass) + weight[context] * p0, p0)
-            self.pairs.append(np.log10(p))
-            self.left.append(np.log10(weight))
-
-    def score(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, place of the word or -1) of each token; of words without a place, only what the states leave to the root."""
-        places = climb(tokens, lengths, self.levels)
-        out = np.where(places[0] >= 0, self.pairs[0][places[0]] if len(self.pairs[0]) else 0.0, 0.0)
-        starts = np.cumsum(lengths) - lengths
-        for n in range(1, len(self.levels)):
-            before = np.append(-1, places[n - 1][:-1])
-            before[starts] = -1
-            there = before >= 0
-            out[there] += self.left[n - 1][before[there]]
-            pair = places[n] >= 0
-            out[pair] = self.pairs[n][places[n][pair]]
-        return out, places[0]
-
-
-def train(docs: DataFrame, depth: int = 2, least: float = 5e-6, divergence: float = 0.02, mass: float = 10.0) -> tuple[Tree, DataFrame]:
-    """A tree of the rows of docs (doc_id, held_out, text as bytes) that are not held out, and the counts (key, times) of all words."""
+    """The frequent n-grams of each level by sorted key: what they gain as pairs, what they leave to their suffix as contexts; and a bitmap of the others of two words and more."""
+
+    def __init__(self, keys: list[np.ndarray], pairs: list[np.ndarray], left: list[np.ndarray], others: np.ndarray, total: int, unit: float):
+        self.keys, self.pairs, self.left, self.others, self.total, self.unit = keys, pairs, left, others, total, unit
+
+    def score(self, tokens: np.ndarray, lengths: np.ndarray, missed: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, place of the word or -1) of each token, without what n-grams that are not frequent add; ``missed`` gets for each level their tokens and keys."""
+        out, found = np.zeros(len(tokens)), None
+        if tokens.dtype != np.uint64:  # rounded to floats, as by np.append of an int: the words that they stand for
+            at = places(self.keys[0], tokens)
+            tokens = np.where(at >= 0, self.keys[0][at], tokens.astype(np.uint64))
+        for n, (key, ok) in enumerate(climb(tokens, lengths, len(self.left))):
+            at = np.where(ok, places(self.keys[n], key), -1)
+            there = at >= 0
+            out[there] += self.pairs[n][at[there]]
+            if n < len(self.left):
+                after = np.flatnonzero(there[:-1]) + 1
+                after = after[np.repeat(np.cumsum(lengths) - lengths, lengths)[after] != after]
+                out[after] += self.left[n][at[after - 1]]
+            if missed is not None:
+                rare = np.flatnonzero(ok & ~there)
+                rare = rare[in_bitmap(self.others, key[rare])] if n else rare
+                missed.append((rare, key[rare]))
+            found = at if found is None else found
+        return out, found
+
+
+def train(docs: DataFrame, depth: int = 2, least: float = 5e-6, divergence: float = 0.02, mass: float = 10.0, seen: int = 2) -> tuple[Tree, DataFrame]:
+    """By the rows of docs (doc_id, held_out, text as bytes) that are not held out: a tree, and the values (key, level, often, times, pair, left) of all its n-grams; times is null but for words."""
     spark = docs.sparkSession
-    parts = common.parts_for(common.total_bytes(docs), 32 << 20, 16)
-    words = common.stored(_counted(docs, lambda tokens, lengths: tokens, parts, 1))
-    size = words.agg(F.sum("times").alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = size["total"] or 0, size["distinct"]
-    floor = max(1.0, least * total)
-    levels = [_collected(words.where(F.col("times") >= floor))]
+    size = common.total_bytes(docs)
+    words = _released(_counted(docs, common.parts_for(size, 32 << 20, 16)))
+    sums = words.agg(F.sum("times").alias("total"), F.count("*").alias("distinct")).first()
+    total, distinct = sums["total"] or 0, sums["distinct"]
+    unit = float(np.log10(total + distinct + 1))
+    level = words.select("key", "times", (F.log10(F.col("times") + 1.0) - F.lit(unit)).alias("logp"))
+    lit, none = F.lit, F.lit(0.0)
+    values = [words.select("key", lit(1).alias("level"), F.col("times").alias("often"), "times", F.log10(F.col("times") + 1.0).alias("pair"), none.alias("left"))]
+    others, below = [], None
     for n in range(2, depth + 2):
-        shared = spark.sparkContext.broadcast(levels)
-
-        def keys(tokens: np.ndarray, lengths: np.ndarray, n: int = n, shared=shared) -> np.ndarray:
-            here = climb(tokens, lengths, shared.value)[-1]
-            before = np.append(-1, here[:-1])
-            before[np.cumsum(lengths) - lengths] = -1
-            ok = (before >= 0) & (here >= 0)
-            return joined(before[ok], here[ok])
-
-        levels.append(_collected(_counted(docs, keys, parts, floor)))
-    return Tree(levels, total, distinct, divergence, mass), words
+        grams = _counted_grams(docs, n, common.parts_for(size, 16 << 20, 16), seen, below)
+        grams = _released(grams.join(level.select(F.col("key").alias("suffix"), F.col("logp").alias("before")), "suffix").drop("suffix"))
+        p0, ln = F.pow(lit(10.0), F.col("before")), float(np.log(10))
+        far = F.sum(F.col("times") * (F.log("times") - F.col("before") * lit(ln))).alias("far")
+        context = grams.groupBy("context").agg(F.sum("times").alias("kept"), F.sum(p0).alias("kept0"), far).join(level.select(F.col("key").alias("context"), F.col("times").alias("c")), "context")
+        rest, rest0 = F.greatest(none, 1 - F.col("kept") / F.col("c")), F.greatest(lit(1e-12), 1 - F.col("kept0"))
+        far = F.col("far") / F.col("c") - F.col("kept") / F.col("c") * F.log("c") + F.when(rest > 0, rest * F.log(rest / rest0)).otherwise(0.0)
+        weight = F.when(far >= divergence, (F.col("c") * rest + mass) / (F.col("c") + mass))
+        context = _released(context.select("context", F.col("c").cast("long").alias("c"), weight.alias("weight")))
+        p = F.when(F.col("weight").isNull(), p0).otherwise(F.col("times") / (F.col("c") + mass) + F.col("weight") * p0)
+        left = F.log10(F.coalesce("weight", lit(1.0)))
+        level = _released(grams.join(context, "context").select("key", "times", F.log10(p).alias("logp"), (F.log10(p) - F.col("before") - left).alias("pair")))
+        often = lit(None).cast("long")
+        values.append(level.select("key", lit(n).alias("level"), F.col("times").alias("often"), often.alias("times"), "pair", none.alias("left")))
+        values.append(context.where("weight is not null").select(F.col("context").alias("key"), lit(n - 1).alias("level"), F.col("c").alias("often"), often.alias("times"), none.alias("pair"), left.alias("left")))
+        others.append(bitmap_of(level.select("key")))
+        below = spark.sparkContext.broadcast(others[-1])
+    table = values[0]
+    for more in values[1:]:
+        table = table.unionByName(more)
+    floor = max(1.0, least * total)
+    head = table.where(F.col("often") >= floor).toPandas()
+    keys, pairs, lefts = [], [], []
+    for n in range(1, depth + 2):
+        own = head[head["level"] == n]
+        key, at = np.unique(own["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        keys.append(key)
+        pairs.append(np.bincount(at, own["pair"].to_numpy(float), len(key)) - (unit if n == 1 else 0.0))
+        lefts.append(np.bincount(at, own["left"].to_numpy(float), len(key)))
+    return Tree(keys, pairs, lefts[:-1], np.bitwise_or.reduce(others), total, unit), table.where(F.col("often") < floor)
 
 
 def _row_key(doc: int | None, text: bytes | None) -> int:
     return xxhash.xxh3_64_intdigest(text or b"", seed=(doc or 0) & 0xFFFFFFFFFFFFFFFF) 
 
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
-    """By a trained tree and its words: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
+def score(docs: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
+    """By a trained tree and the values of its other n-grams: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tree)
-    parts = common.parts_for(common.total_bytes(docs), 64 << 20, 16)
+    parts = common.parts_for(common.total_bytes(docs), 32 << 20, 16)
+    kinds = ["<u8", "<f8", "<u4"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         tree, out = shared.value, common.Scatter(["<u8", "<u8"])
         for rows, tokens, lengths in token_blocks(batches, 500_000):
-            logs, place = tree.score(tokens, lengths)
+            logs, place = tree.score(tokens, lengths, missed := [])
             known = place >= 0
             base = np.where(known, tree.pairs[0][place] if len(tree.pairs[0]) else 0.0, 0.0)
             starts = np.cumsum(lengths) - lengths
             keys = np.array([_row_key(doc, text) for doc, _, text in rows], np.uint64)
             columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array(keys.view(np.int64)), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
-            yield pa.record_batch([*columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
-            of = np.repeat(keys, lengths)[~known]
-            rare = tokens[~known]
-            if (b := out.add(rare & np.uint64(parts - 1), rare, of)) is not None:
+            yield pa.record_batch([*columns, pa.array((keys & np.uint64(parts - 1)).astype(np.int32)), pa.nulls(len(rows), pa.binary())], names=names)
+            at, rare = (np.concatenate(c) for c in zip(*missed, strict=True))
+            order = np.argsort(at, kind="stable")  # a row's own together, which compress well
+            rare, of = rare[order], np.repeat(keys, lengths)[at[order]]
+            if (b := out.add(common.mix(rare) & np.uint64(parts - 1), rare, of)) is not None:
                 yield chunks(b)
         if (b := out.take()) is not None:
             yield chunks(b)
 
     names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "logs", "p", "chunk"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def chunks(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([*(pa.nulls(len(b), k) for k in kinds), *b.columns], names=names)
+        return pa.record_batch([*(pa.nulls(len(b), k) for k in types), *b.columns], names=names)
 
-    def known_words(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        tree, out = shared.value, common.Scatter(["<u8", "<u8"])
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        out = common.Scatter(kinds)
         for batch in batches:
-            key, times = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            rare = tree.levels[0].places(key) < 0
-            if (b := out.add(key[rare] & np.uint64(parts - 1), key[rare], times[rare])) is not None:
+            key, value, times = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key = key.view(np.uint64)
+            if (b := out.add(common.mix(key) & np.uint64(parts - 1), key, value, times)) is not None:
                 yield b
         if (b := out.take()) is not None:
             yield b
 
     def look_up(table: pa.Table) -> pa.Table:
-        chunk, counts = table.column("chunk"), table.column("counts")
-        word, of = common.gathered(chunk.filter(pc.invert(counts)).to_pylist(), ["<u8", "<u8"])
-        key, times = common.gathered(chunk.filter(counts).to_pylist(), ["<u8", "<u8"])
-        order = np.argsort(key)
-        place = Level(key[order], times[order]).places(word)
-        times = np.where(place >= 0, times[order][place] if len(key) else 0, 0).astype(float)
+        chunk, learned = table.column("chunk"), table.column("learned")
+        gram, of = common.gathered(chunk.filter(pc.and_(pc.invert(learned), chunk.is_valid())).to_pylist(), ["<u8", "<u8"])
+        key, value, times = common.gathered(chunk.filter(learned).to_pylist(), kinds)
+        key, at = np.unique(key, return_inverse=True)
+        value, times = np.bincount(at, value, len(key)), np.bincount(at, times, len(key))
+        place = places(key, gram)
+        gram, of, place = gram[place >= 0], of[place >= 0], place[place >= 0]
         row, at = np.unique(of, return_inverse=True)
-        return pa.table({"row": pa.array(row.view(np.int64)), "logs": pa.array(np.bincount(at, np.log10(times + 1), len(row))), "known": pa.array(np.bincount(at, times > 0, len(row)).astype(np.int64))})
-
-    both = common.stored(docs.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, logs double, p int, chunk binary"))
-    rows = both.where("p is null").drop("p", "chunk")
-    counts = words.select("key", "times").mapInArrow(known_words, common.Scatter.SCHEMA).withColumn("counts", F.lit(True))
-    rare = both.where("p is not null").select("p", "chunk", F.lit(False).alias("counts")).unionByName(counts).groupBy("p").applyInArrow(look_up, "row long, logs double, known long")
-    rare = rare.groupBy("row").agg(F.sum("logs").alias("rare_logs"), F.sum("known").alias("rare_known"))
+        known, base, logs = (np.bincount(at, x[place], len(row)) for x in (times > 0, np.log10(times + 1), value))
+        added = [pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.bool_()), pa.array(row.view(np.int64)), pa.nulls(len(row), pa.int64()), pa.array(known.astype(np.int64)), pa.array(base, pa.float64()), pa.array(logs, pa.float64())]
+        rows = table.filter(table.column("row").is_valid()).select(names[:7])
+        return pa.concat_tables([rows, pa.table(added, schema=rows.schema)])
+
+    kept = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, logs double"
+    texts = docs.mapInArrow(run, f"{kept}, p int, chunk binary").withColumn("learned", F.lit(False))
+    learned = values.select("key", (F.col("pair") + F.col("left")).alias("value"), F.coalesce("times", F.lit(0)).alias("times")).mapInArrow(dealt, common.Scatter.SCHEMA).withColumn("learned", F.lit(True))
+    both = _released(texts.unionByName(learned, allowMissingColumns=True).groupBy("p").applyInArrow(look_up, kept))
+    rows, rare = both.where("n_tokens is not null"), both.where("n_tokens is null").select("row", F.col("logs").alias("rare_logs"), F.col("base").alias("rare_base"), F.col("n_known").alias("rare_known"))
+    rare = rare.groupBy("row").agg(F.sum("rare_logs").alias("rare_logs"), F.sum("rare_base").alias("rare_base"), F.sum("rare_known").alias("rare_known"))
     same = rows.groupBy("row").agg(F.count("*").alias("same"), F.sum(F.col("n_tokens") - F.col("n_known")).alias("rare"))
-    rare = same.join(rare, "row", "left").select("row", (F.coalesce("rare_logs", F.lit(0.0)) / F.col("same") - F.col("rare") / F.col("same") * F.lit(float(tree.unit))).alias("add"), F.expr("coalesce(rare_known, 0) div same").alias("add_known"))
+    add = lambda name: (F.coalesce(name, F.lit(0.0)) / F.col("same") - F.col("rare") / F.col("same") * F.lit(tree.unit))
+    rare = same.join(rare, "row", "left").select("row", add("rare_logs").alias("add"), add("rare_base").alias("add_base"), F.expr("coalesce(rare_known, 0) div same").alias("add_known"))
     out = rows.join(rare, "row")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("add_known")).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + F.col("add")).alias("base_score"), (F.col("logs") + F.col("add")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("add_known")).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + F.col("add_base")).alias("base_score"), (F.col("logs") + F.col("add")).alias("score"))
 
 
 def held_out() -> Column:

@@ -123,3 +123,38 @@ def test_states_are_distributions(spark):
         logs, place = tree.score(h, np.array([3]))
         total += 10 ** (logs[-1] - (tree.unit if place[-1] < 0 else 0))
     assert abs(total - 1) < 1e-9 and any((x < 0).any() for x in tree.left)
+
+
+def test_contexts_are_kept_whatever_the_size_of_the_corpus(spark):
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice(["a b", "b c a", "c c b"]) for _ in range(30))) for i in range(60)] + [(100 + i, f"x{i} y{i} z{i} x{i} y{i} z{i}") for i in range(20)] + [(200, "x3 y3 z3"), (201, "x3 y4 z3")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", (F.col("doc_id") >= 200).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    # plain version
+    tokens = [[*t.split(), None] for i, t in docs if i < 200]
+    counts = [{} for _ in range(3)]
+    for t in tokens:
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                counts[n - 1][tuple(t[i : i + n])] = counts[n - 1].get(tuple(t[i : i + n]), 0) + 1
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    kept = [counts[0], *({g: c for g, c in x.items() if c >= 2} for x in counts[1:])]
+    weights = {}
+
+    def p(context, w):
+        if not context:
+            return (counts[0].get((w,), 0) + 1) / (total + distinct + 1)
+        after = {g[-1]: c for g, c in kept[len(context)].items() if g[:-1] == context}
+        if not after:
+            return p(context[1:], w)
+        if context not in weights:
+            c = counts[len(context) - 1][context]
+            rest, rest0 = 1 - sum(after.values()) / c, 1 - sum(p(context[1:], x) for x in after)
+            far = sum(k / c * math.log(k / c / p(context[1:], x)) for x, k in after.items()) + (rest * math.log(rest / rest0) if rest > 1e-12 else 0)
+            weights[context] = ((c * rest + 10) / (c + 10) if far >= 0.02 else None, c)
+        weight, c = weights[context]
+        return p(context[1:], w) if weight is None else after.get(w, 0) / (c + 10) + weight * p(context[1:], w)
+
+    want = {i: sum(math.log10(p(tuple(t[max(0, k - 2) : k]), w)) for k, w in enumerate(t)) for i, t in ((i, [*t.split(), None]) for i, t in docs)}
+    for least in (1e-4, 0.02, 1.1):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(rows, *suffix_tree_lm.train(rows, least=least)).collect()}
+        assert {i: round(x, 6) for i, x in got.items()} == {i: round(x, 6) for i, x in want.items()}
