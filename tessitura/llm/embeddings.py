@@ -7,7 +7,7 @@ the closest calls first (multiprobe). Vectors that share a bucket are compared i
 double precision, in blocks, so a large bucket is many tasks.
 
 Equal vectors are one before anything else. A pair that shares several buckets counts
-only in the first; so links are summed per vector where they are found, and only the
+only in that of the least name, whichever side is asked; so links are summed per vector where they are found, and only the
 sums and the components of a block, as links to their least member, leave a task: no
 group is given out as all its pairs.
 
@@ -161,12 +161,10 @@ def _compare(least: float, width: int, tables: int, probes: int):
         for at in range(0, len(a), 200_000):
             p, q = codes[place[a[at : at + 200_000]]], codes[place[b[at : at + 200_000]]]
             first = np.full(len(p), np.iinfo(np.uint64).max, np.uint64)
-            todo = np.ones(len(p), bool)
             for t in range(tables):
                 for u in range(probes):
-                    hit = todo & (p[:, t, u : u + 1] == q[:, t]).any(axis=1)
-                    first[hit] = p[hit, t, u]
-                    todo &= ~hit
+                    hit = (p[:, t, u : u + 1] == q[:, t]).any(axis=1)
+                    first[hit] = np.minimum(first[hit], p[hit, t, u])
             new[at : at + 200_000] = first == np.int64(bucket).view(np.uint64)
         a, b = a[new], b[new]
         if not len(a):

@@ -252,3 +252,15 @@ def test_marginals_equal_a_sum_over_all_taggings():
     long = [rng.normal(size=2000)]
     grid = toxicity.marginals(np.array(long), np.array([2000]), moves, start)[0]
     assert np.allclose(toxicity.chain(long, moves, start)[0], grid, atol=1e-9)
+
+
+def test_links_do_not_depend_on_the_size_of_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=64)
+    rows = [(k, [float(v) for v in base + rng.normal(size=64) * 0.2]) for k in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for size in (1024, 8):
+        monkeypatch.setattr(embeddings, "BLOCK", size)
+        found[size] = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table).collect()}
+    assert found[8] == found[1024] and sum(found[8].values()) > 80_000
