@@ -5,9 +5,11 @@ word falls back to its character n-grams (the word marked ``<word>``), the longe
 length first: the first length of which it has a known n-gram decides, by the mean of
 the log frequencies. A text's language has the highest sum over all its words.
 
-All training documents are counted. The model keeps words and n-grams of at least the
-relative frequency ``least`` (of its length's n-grams), so each of its tables has at
-most ``1 / least`` entries whatever the corpus: that bounds what is broadcast.
+All training documents are counted, and all their words and n-grams are known, whatever
+their frequency. Those of at least the relative frequency ``least`` (of its length's
+n-grams), so at most ``1 / least`` a table, are broadcast, which keeps hot ones out of
+any shuffle; a text's other words are looked up by joins, and of those that no training
+text has, the n-grams. ``least`` changes no result.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without
 any training text every text is ``und``; ties go to the first language by name; repeated
@@ -16,26 +18,27 @@ rows each keep a row; an empty table gives an empty result. Other columns are le
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import common
 
 LONGEST = 4
-#: Letters of a piece: a longer word's n-grams are those of its pieces.
+#: N-grams that start in a piece: a longer word is taken in pieces that overlap by n - 1 letters.
 PIECE = 64
 
 
 def gram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of the word, name of the n-gram) of all n-grams of the words, each marked ``<word>``."""
-    marked = [(k, f"<{w}>"[at : at + PIECE]) for k, w in enumerate(w.decode("utf-8", "replace") for w in words) for at in range(0, len(w) + 2, PIECE)]
+    marked = [(k, f"<{w}>"[at : at + PIECE + n - 1]) for k, w in enumerate(w.decode("utf-8", "replace") for w in words) for at in range(0, max(1, len(w) + 3 - n), PIECE)]
     if not marked:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.array([w for _, w in marked])
@@ -89,33 +92,20 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language: of words, and of n-grams as sorted names with a row each."""
+    """Log frequencies by language: of frequent words, and of frequent n-grams as sorted names with a row each; of all others as tables (word or n and gram, s0, s1, ...), which stay where they are."""
 
-    def __init__(self, langs: list[str], words: dict[bytes, int], rows: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.words, self.rows, self.tables = langs, words, rows, tables
+    def __init__(self, langs: list[str], words: dict[bytes, int], rows: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], rare_words: DataFrame | None = None, rare_grams: DataFrame | None = None):
+        self.langs, self.words, self.rows, self.tables, self.rare_words, self.rare_grams = langs, words, rows, tables, rare_words, rare_grams
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rare_words": None, "rare_grams": None}
 
     def scores(self, words: list[bytes]) -> np.ndarray:
-        """The row of each of some words."""
+        """The row of each of some words; zeros for those that are not frequent."""
         out = np.zeros((len(words), len(self.langs)))
-        todo = []
         for k, w in enumerate(words):
-            at = self.words.get(w)
-            if at is None:
-                todo.append(k)
-            else:
+            if (at := self.words.get(w)) is not None:
                 out[k] = self.rows[at]
-        for n in range(len(self.tables), 0, -1):
-            names, rows = self.tables[n - 1]
-            if not todo or not len(names):
-                continue
-            of, key = gram_keys([words[k] for k in todo], n)
-            at = np.minimum(np.searchsorted(names, key), len(names) - 1)
-            hit = names[at] == key
-            of, at = of[hit], at[hit]
-            times = np.bincount(of, minlength=len(todo))
-            for c in range(len(self.langs)):
-                out[todo, c] = np.bincount(of, rows[at, c], len(todo)) / np.maximum(times, 1)
-            todo = [k for k, n in zip(todo, times, strict=True) if not n]
         return out
 
 
@@ -132,19 +122,71 @@ def train(docs: DataFrame, least: float = 2e-6) -> Model:
         return Model([], {}, np.zeros((0, 0)), [])
     total = np.array([[totals.get((n, lang), 0) for lang in langs] for n in range(LONGEST + 1)], float)
     per = [F.sum(F.when(F.col("lang") == lang, F.col("times")).otherwise(0)).alias(f"c{k}") for k, lang in enumerate(langs)]
-
-    def logs(kept: pd.DataFrame, n: int) -> np.ndarray:
-        c = kept[[f"c{k}" for k in range(len(langs))]].to_numpy(float)
-        return np.log((c + 0.5) / (total[n] + 0.5 * len(c) + 1)).astype(np.float32)
-
-    floors = F.array(*[F.lit(float(least * t.sum())) for t in total])
-    known = words.groupBy("word").agg(F.sum("times").alias("times"), *per).where(F.col("times") >= floors[0]).toPandas()
-    kept = grams.groupBy("n", "gram").agg(F.sum("times").alias("times"), *per).where(F.col("times") >= F.element_at(floors, F.col("n") + 1)).toPandas()
+    words = common.stored(words.groupBy("word").agg(F.sum("times").alias("times"), *per))
+    grams = common.stored(grams.groupBy("n", "gram").agg(F.sum("times").alias("times"), *per))
+    distinct = [words.count(), *[0] * LONGEST]
+    for r in grams.groupBy("n").count().collect():
+        distinct[r["n"]] = r["count"]
+    under = total + 0.5 * np.array(distinct)[:, None] + 1
+
+    def of(n: np.ndarray) -> list:
+        return [F.element_at(F.array(*[F.lit(float(x)) for x in n[:, k]]), F.col("n") + 1) for k in range(len(langs))]
+
+    def logs(table: DataFrame, *key: str) -> DataFrame:
+        return table.select(*key, "often", *[F.log((F.col(f"c{k}") + 0.5) / x).alias(f"s{k}") for k, x in enumerate(of(under))])
+
+    floor = F.element_at(F.array(*[F.lit(float(least * t.sum())) for t in total]), F.col("n") + 1)
+    words = logs(words.withColumn("n", F.lit(0)).withColumn("often", F.col("times") >= floor), "word")
+    grams = logs(grams.withColumn("often", F.col("times") >= floor), "n", "gram")
+    names = [f"s{k}" for k in range(len(langs))]
+    known, kept = words.where("often").toPandas(), grams.where("often").toPandas()
     tables = []
     for n in range(1, LONGEST + 1):
         own = kept[kept["n"] == n].sort_values("gram")
-        tables.append((own["gram"].to_numpy(np.int64), logs(own, n)))
-    return Model(langs, {bytes(w): k for k, w in enumerate(known["word"])}, logs(known, 0), tables)
+        tables.append((own["gram"].to_numpy(np.int64), own[names].to_numpy(float)))
+    return Model(langs, {bytes(w): k for k, w in enumerate(known["word"])}, known[names].to_numpy(float), tables, words.where("not often").drop("often"), grams.where("not often").drop("often"))
+
+
+def _rare_scores(docs: DataFrame, model: Model, shared: Broadcast, text: str) -> DataFrame:
+    """(_key, x0, x1, ...): of each distinct text, by its md5, the sums over its words that are not frequent."""
+    names = [f"s{k}" for k in range(len(model.langs))]
+    spans = ", ".join(f"{x} double" for x in names)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        frequent = shared.value.words
+        for whole in batches:
+            for batch in (whole.slice(k, 200) for k in range(0, len(whole), 200)):
+                found = [(key, w, n) for key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for w, n in Counter(w for w in _words(t) if w not in frequent).items()]
+                yield pa.record_batch([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["_key", "word", "times"])
+
+    def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """Of each word and length, how many of its n-grams are frequent and their sums; and each that is not."""
+        for whole in batches:
+            for batch in (whole.slice(k, 1000) for k in range(0, len(whole), 1000)):
+                words = batch.column(0).to_pylist()
+                for n, (known, rows) in enumerate(shared.value.tables, 1):
+                    of, key = gram_keys(words, n)
+                    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+                    hit = known[at] == key if len(known) else np.zeros(len(key), bool)
+                    times = np.bincount(of[hit], minlength=len(words))
+                    there = np.flatnonzero(times)
+                    sums = [np.bincount(of[hit], rows[at[hit], k], len(words)).astype(float)[there] for k in range(len(names))]
+                    none = of[~hit]
+                    at = np.concatenate((there, none))
+                    columns = [pa.array([words[k] for k in at], pa.binary()), pa.array(np.full(len(at), n, np.int32)), pa.array([None] * len(there) + key[~hit].tolist(), pa.int64()), pa.array(np.concatenate((times[there], np.ones(len(none), np.int64))))]
+                    yield pa.record_batch([*columns, *(pa.array(np.concatenate((x, np.zeros(len(none))))) for x in sums)], names=["word", "n", "gram", "hits", *names])
+
+    found = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("_key"), F.col(text)).mapInArrow(rare, "_key string, word binary, times long")
+    found = common.stored(found.distinct())
+    distinct = found.select("word").distinct()
+    known = common.stored(distinct.join(model.rare_words, "word"))
+    grams = common.stored(distinct.join(known.select("word"), "word", "left_anti").mapInArrow(gram_rows, f"word binary, n int, gram long, hits long, {spans}"))
+    looked = grams.where("gram is not null").groupBy("word", "n", "gram").agg(F.sum("hits").alias("hits")).join(model.rare_grams, ["n", "gram"])
+    looked = looked.select("word", "n", "hits", *[(F.col(x) * F.col("hits")).alias(x) for x in names])
+    sums = grams.where("gram is null").drop("gram").unionByName(looked).groupBy("word", "n").agg(F.sum("hits").alias("hits"), *[F.sum(x).alias(x) for x in names])
+    best = sums.groupBy("word").agg(F.max_by(F.struct(*[(F.col(x) / F.col("hits")).alias(x) for x in names]), "n").alias("s")).select("word", "s.*")
+    scored = found.join(known.unionByName(best), "word")
+    return scored.groupBy("_key").agg(*[F.sum(F.col(x) * F.col("times")).alias(f"x{k}") for k, x in enumerate(names)])
 
 
 class _Memory(dict):
@@ -188,27 +230,29 @@ def _words(text: str) -> list[bytes]:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (posterior of the per-word evidence, tempered by text length)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    names = docs.columns
+    if not model.langs:
+        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, langs = docs.columns, model.langs
     at = names.index(text)
+    schema = docs.select("*", F.lit(0).cast("long").alias("_n"), F.array(F.lit(0.0)).alias("_sums"), F.lit("").alias("_key")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         memory = _Memory(shared.value)
-        langs = shared.value.langs
         for whole in batches:
             for batch in (whole.slice(k, 1000) for k in range(0, len(whole), 1000)):
-                words = [_words(t) if t and langs else [] for t in batch.column(at).to_pylist()]
-                lang, score = [], []
-                for t, sums in zip(words, memory.totals(words), strict=True):
-                    best = int(np.argmax(sums)) if t else -1
-                    lang.append(langs[best] if t else "und")
-                    score.append(float(1 / np.exp((sums - sums[best]) / np.sqrt(len(t))).sum()) if t else 0.0)
-                columns = {name: batch.column(k) for k, name in enumerate(names)} | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+                texts = batch.column(at).to_pylist()
+                words = [_words(t) if t else [] for t in texts]
+                keys = ["" if t is None else hashlib.md5(t.encode()).hexdigest() for t in texts]
+                columns = {name: batch.column(k) for k, name in enumerate(names)} | {"_n": pa.array([len(w) for w in words], pa.int64()), "_sums": pa.array([x.tolist() for x in memory.totals(words)], pa.list_(pa.float64())), "_key": pa.array(keys, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, schema)
+    found = docs.mapInArrow(run, schema).join(_rare_scores(docs, model, shared, text), "_key", "left")
+    found = found.withColumn("_sums", F.array(*[F.col("_sums")[k] + F.coalesce(f"x{k}", F.lit(0.0)) for k in range(len(langs))])).withColumn("_best", F.array_max("_sums"))
+    lang = F.element_at(F.array(*map(F.lit, langs)), F.array_position("_sums", F.col("_best")).cast("int"))
+    rest = F.aggregate("_sums", F.lit(0.0), lambda total, x: total + F.exp((x - F.col("_best")) / F.sqrt(F.greatest("_n", F.lit(1)))))
+    return found.select(*[F.col(f"`{c}`") for c in names], F.when(F.col("_n") > 0, lang).otherwise("und").alias("lang_pred"), F.when(F.col("_n") > 0, 1 / rest).otherwise(0.0).alias("score"))
 
 
 def held_out() -> Column:

@@ -264,3 +264,11 @@ def test_links_do_not_depend_on_the_size_of_a_block(spark, monkeypatch):
         monkeypatch.setattr(embeddings, "BLOCK", size)
         found[size] = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table).collect()}
     assert found[8] == found[1024] and sum(found[8].values()) > 80_000
+
+
+def test_a_small_language_keeps_its_words(spark):
+    rows = [(k, "kana kona zupa", "aa") for k in range(200)] + [(900, "zupar kanal", "bb"), (901, "zupar", None), (902, "kanal zupa kanal", None), (903, "x" * 63 + "zup", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [{r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in lang_id.predict(docs, lang_id.train(docs, least=least)).collect()} for least in (0.01, 1e-9, 2.0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows) and found[0][901][0] == "bb"
+    assert len(lang_id.gram_keys([b"a" * 200], 4)[0]) == 199
