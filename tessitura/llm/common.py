@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +17,14 @@ from pyspark.sql import functions as F
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Bytes of an Arrow batch that a Python worker gets, so that a batch of long texts is no memory's end.
+BATCH_BYTES = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of a folder; bounds the session's Arrow batches by bytes, unless they are bounded lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(min(BATCH_BYTES, int(spark.conf.get(name, "0").rstrip("b")) or BATCH_BYTES)) + "b")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -43,7 +51,7 @@ def letter_runs(text: str) -> list[bytes]:
 class WordHash(dict):
     """Word -> unsigned 64-bit hash, with a memory of bounded size."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -74,18 +82,10 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def column_bytes(column: pa.Array) -> list[bytes | None]:
-    return column.to_pylist()
-
-
 def text_bytes(name: str = "text") -> Column:
     return F.col(name).cast("binary")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def total_bytes(df: DataFrame, name: str = "text") -> int:
     """Bytes of a text column over all rows."""
     return df.agg(F.sum(F.octet_length(F.col(name))).alias("n")).first()["n"] or 0
@@ -100,32 +100,32 @@ class Scatter:
     """Packs records into one binary row per group of a shuffle, column after column.
 
     A group is named by a number ``p``; what a task has gathered is given out once it
-    passes ``flush`` records, so a task never holds more.
+    passes ``flush`` bytes, so a task never holds more, nor more than a few copies of it.
     """
 
     SCHEMA = "p int, chunk binary"
     ARROW = pa.schema([("p", pa.int32()), ("chunk", pa.binary())])
 
-    def __init__(self, dtypes: list[str], flush: int = 1_500_000):
+    def __init__(self, dtypes: list[str], flush: int = 16 << 20):
         self.dtypes, self.flush, self.held, self.n = [np.dtype(d) for d in dtypes], flush, [], 0
+        self.width = 4 + sum(d.itemsize for d in self.dtypes)
 
     def add(self, p: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch | None:
-        self.held.append((p, *columns))
+        self.held.append((p.astype(np.int32), *(c.astype(d, copy=False) for c, d in zip(columns, self.dtypes, strict=True))))
         self.n += len(p)
-        return self.take() if self.n >= self.flush else None
+        return self.take() if self.n * self.width >= self.flush else None
 
     def take(self) -> pa.RecordBatch | None:
         if not self.n:
             return None
-        p = np.concatenate([x[0] for x in self.held]).astype(np.int64)
-        columns = [np.concatenate([x[k + 1] for x in self.held]).astype(d, copy=False) for k, d in enumerate(self.dtypes)]
+        p, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.n = [], 0
         order = np.argsort(p, kind="stable")
         p, columns = p[order], [c[order] for c in columns]
         cuts = np.flatnonzero(np.diff(p, prepend=p[0] - 1))
         ends = np.append(cuts[1:], len(p))
         chunks = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts, ends, strict=True)]
-        return pa.record_batch([pa.array(p[cuts].astype(np.int32)), pa.array(chunks, pa.binary())], schema=self.ARROW)
+        return pa.record_batch([pa.array(p[cuts]), pa.array(chunks, pa.binary())], schema=self.ARROW)
 
 
 def gathered(chunks: Iterable[bytes], dtypes: list[str]) -> list[np.ndarray]:
@@ -142,12 +142,15 @@ def gathered(chunks: Iterable[bytes], dtypes: list[str]) -> list[np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in a session of one machine that names none."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -156,10 +159,19 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, of tables that no later result reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node that links reach.
 
     Alternates large-star and small-star steps until no edge changes; each step is a
@@ -167,18 +179,18 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        grown = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = grown.groupBy("u").agg(F.min("v").alias("m"))
         pair = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        edges = stored(edges.join(low, "u").select(pair.alias("e")).select("e.*").where("u > v").distinct())
+        new = stored(grown.join(low, "u").select(pair.alias("e")).select("e.*").where("u > v").distinct())
+        dropped(edges)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     heads = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)

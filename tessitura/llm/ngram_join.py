@@ -215,7 +215,7 @@ class Join:
         sets, log_p, bits = self.sets, self.parts.bit_length() - 1, self.bits
 
         def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            out = common.Scatter(["<u4"], 4_000_000)
+            out = common.Scatter(["<u4"])
             for _, s in sets(batches):
                 if (b := out.add(s >> np.uint64(64 - log_p), (s >> np.uint64(32 - log_p)) & np.uint64(0xFFFFFFFF))) is not None:
                     yield b

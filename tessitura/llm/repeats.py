@@ -210,7 +210,7 @@ class Finder:
         k, firsts, bits, log_p = self.k, self.firsts, self.bits, self.parts.bit_length() - 1
 
         def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            out = common.Scatter(["<u4"], 1_000_000)
+            out = common.Scatter(["<u4"])
             for found, *_ in blocks(batches, k, firsts.value):
                 if (b := out.add(found.name >> np.uint64(64 - log_p), (found.name >> np.uint64(32 - log_p)) & np.uint64(0xFFFFFFFF))) is not None:
                     yield b
