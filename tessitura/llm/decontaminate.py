@@ -6,11 +6,14 @@ into k + 1 pieces, one of which an occurrence must hold unchanged. An automaton
 pieces finds them in one pass of each text, and Myers' bit-parallel distance verifies
 the text around a hit, at whose best end the distance counts.
 
-Items are read in blocks of at most about ``BLOCK`` rows, each a pass over the texts, so
+Items of fewer than ``SHORT`` characters have no budget: they match unchanged, and where
+they have fewer than ``BARE`` (a name, a number) only as whole words. Items in scripts
+without spaces are one long word, and are treated as any others.
+
+Items are read in blocks of at most about ``BLOCK`` characters, each a pass over the texts, so
 what is sent to the tasks is bounded however many items there are.
 
-Defined cases: items with fewer than ``min_words`` words cannot identify a leak and match
-nothing, nor do null texts; equal items each give their rows; repeated documents each
+Defined cases: items without a letter or digit match nothing, nor do null texts; equal items each give their rows; repeated documents each
 give their rows, an item counts once per document, at its least distance; empty tables
 give an empty result. Other columns are left alone.
 """
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 from tessitura.llm import common
 
 WORD = re.compile(r"\w+")
-#: Rows of the benchmark in a block.
-BLOCK = 20_000
+#: Characters of the benchmark in a block.
+BLOCK = 4_000_000
+SHORT, BARE = 40, 20
 FOUND = "item_id long, distance int, allowed int, match_start long, match_end long"
 
 
@@ -38,7 +42,7 @@ def reduced(text: str | None) -> str:
 
 def budget(item: str, share: float) -> int:
     """Errors that an item of this length may have."""
-    return max(1, int(len(item) * share))
+    return max(1, int(len(item) * share)) if len(item) >= SHORT else 0
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -47,11 +51,11 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(item: str, text: str, masks: dict[str, int] | None = None) -> tuple[int, int]:
-    """(least distance of item to a substring of text, end of the first such substring)."""
+def myers(item: str, text: str, masks: dict[str, int] | None = None, from_start: bool = False) -> tuple[int, int]:
+    """(least distance of item to a substring of text, or to a beginning of it, end of the first such)."""
     if not item:
         return 0, 0
-    masks = masks or char_masks(item)
+    masks, edge = masks or char_masks(item), int(from_start)
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
@@ -66,7 +70,7 @@ def myers(item: str, text: str, masks: dict[str, int] | None = None) -> tuple[in
             score += 1
         elif down & top:
             score -= 1
-        up = (up << 1) & full
+        up = (up << 1 | edge) & full
         down = (down << 1) & full
         plus = down | (full & ~(x | up))
         minus = up & x
@@ -114,7 +118,10 @@ class Matcher:
                 item, allowed = self.items[k][1], self.budgets[k]
                 begin = last + 1 - end
                 if begin >= 0 and text.startswith(item, begin):
-                    best[k] = (0, begin, begin + len(item))
+                    if len(item) >= BARE or f" {item} " == f" {text} "[begin : begin + len(item) + 2]:
+                        best[k] = (0, begin, begin + len(item))
+                    continue
+                if not allowed:
                     continue
                 if (k, begin // (allowed + 1)) in tried:
                     continue
@@ -126,20 +133,24 @@ class Matcher:
                 masks = self.masks.setdefault(k, char_masks(item)) if k not in self.masks else self.masks[k]
                 distance, stop = myers(item, window, masks)
                 if distance <= allowed and (k not in best or distance < best[k][0]):
-                    best[k] = (distance, max(0, low + stop - len(item)), low + stop)
+                    length = myers(item[::-1], window[:stop][::-1], from_start=True)[1]
+                    best[k] = (distance, low + stop - length, low + stop)
         return [(k, *best[k]) for k in sorted(best)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, min_words: int = 8) -> DataFrame:
-    """doc_id, item_id, distance, allowed, match_start and match_end of each item that a document holds."""
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) -> DataFrame:
+    """doc_id, item_id, distance, allowed, match_start and match_end (in the reduced text) of each item that a document holds.
+
+    Of places at equal distance the first is given, and of these the shortest.
+    """
     spark = docs.sparkSession
     docs = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // BLOCK))
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // BLOCK))
     out = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        known = [(r["item_id"], x) for r in rows if len((x := reduced(r["text"])).split()) >= min_words]
+        known = [(r["item_id"], x) for r in rows if (x := reduced(r["text"]))]
         shared = spark.sparkContext.broadcast(known)
         out.append(docs.mapInArrow(_search(shared, share), f"doc_id long, {FOUND}"))
     found = out[0]
@@ -163,10 +174,11 @@ def _search(shared, share: float):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, min_words: int = 8) -> DataFrame:
-    """docs without the documents that hold an item."""
-    bad = leaks(docs, benchmark, share, min_words).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) -> DataFrame:
+    """docs without the rows that hold an item; rows are told apart by doc_id and text, so null ids are judged as well."""
+    row = F.xxhash64("doc_id", "text")
+    bad = leaks(docs.select(row.alias("doc_id"), "text"), benchmark, share).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, row == bad["_bad"], "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
