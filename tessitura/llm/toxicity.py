@@ -9,7 +9,7 @@ offsets in the text.
 Labels are per document, so the tokens' labels for training come from them: in toxic
 documents those words are labelled of which a feature is far more frequent, by document
 (copies counted once), in toxic than in clean documents. Training reads a bounded sample of labelled documents:
-``sample`` of each class, least hash of the id first, of at most ``LONGEST`` characters.
+``sample`` of each class, least hash of the id first, and of each the first ``longest`` characters.
 Scoring reads all of every text; its work goes by chunks with 64 words of context on
 both sides, beyond which the chain's messages agree to rounding.
 
@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 from tessitura.llm import common
 
 RUN = re.compile(rb"[a-z\x80-\xff]+")
-#: Characters of a document of the training sample at most.
-LONGEST = 20_000
 CHUNK, MARGIN = 512, 64
 ROUNDS, RATE, DECAY = 50, 0.5, 1e-5
 #: Marginals from which on a word counts for its document.
@@ -223,14 +221,14 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 500) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 500, longest: int = 200_000) -> Model | None:
     """A model of the labelled documents (doc_id, text) and labels (doc_id, toxic); None with fewer than two classes."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    usable = docs.where(F.length("text") <= LONGEST).select("doc_id").distinct().join(marks, "doc_id")
+    usable = docs.where("text is not null").select("doc_id").distinct().join(marks, "doc_id")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [usable.where(F.col("_toxic") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
-    kept = docs.where(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    kept = docs.where("text is not null").select("doc_id", F.substring("text", 1, longest).alias("text")).join(F.broadcast(ids), "doc_id")  # 2 * sample rows
     rows = kept.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     toxic = [int(r["_toxic"]) for r in rows]
     return fit([r["text"] for r in rows], toxic) if 0 < sum(toxic) < len(toxic) else None
