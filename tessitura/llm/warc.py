@@ -2,8 +2,8 @@
 
 A response (target URI, date, HTTP header block, payload) gives two derived records that
 refer to it: ``conversion``, whose block is the payload's plain text, and ``metadata``,
-whose fields keep the response's identifier, status line, headers and digests and name
-the conversion record. Only built-in functions run, so nothing is shuffled.
+whose fields keep the response's identifier, status line, all its header lines in turn and
+its digests, and name the conversion record. Only built-in functions run, so nothing is shuffled.
 
 Defined cases: a null payload counts as empty and gives a conversion with empty block; a
 null URI leaves out the header WARC-Target-URI; repeated responses give repeated
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Patterns of the text extraction and what stands for a match, in turn.
 TEXT_RULES = [
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<(?:script|style)(?:[\s/][^>]*)?>.*?</(?:script|style)\s*>", " "),
+    (r"(?s)<!--.*?(?:-->|\z)", ""),  # what is not closed goes on to the end, so no scan is in vain
+    (r"(?is)<(?:script|style)(?:[\s/][^>]*)?>.*?(?:</(?:script|style)\s*>|\z)", " "),
     (r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|nav|title|head|body|section|footer|header)(?:[\s/][^>]*)?>", "\n"),
     (r"(?s)<[^>]*>", ""),
     (r"&nbsp;", " "),
@@ -67,9 +67,10 @@ def derive(responses: DataFrame, key: str) -> DataFrame:
     r = r.withColumn("source_block_digest", digest(F.concat("http_headers", "payload")))
     fields = _joined(
         ("source-record-id", F.col("record_id")), ("source-block-digest", F.col("source_block_digest")), ("source-payload-digest", F.col("payload_digest")),
-        ("source-http-status", F.regexp_extract("http_headers", r"^(HTTP/[^\r\n]*)", 1)), ("source-http-content-type", F.regexp_extract("http_headers", r"(?i)\ncontent-type: *([^\r\n]*)", 1)),
-        ("source-http-content-length", F.regexp_extract("http_headers", r"(?i)\ncontent-length: *([^\r\n]*)", 1)), ("conversion-record-id", F.col("conversion_id")),
+        ("source-http-status", F.regexp_extract("http_headers", r"^(HTTP/[^\r\n]*)", 1)), ("conversion-record-id", F.col("conversion_id")),
     )
+    lines = F.filter(F.split("http_headers", r"\r?\n"), lambda x: (x != "") & ~x.startswith("HTTP/"))
+    fields = F.concat(fields, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("source-http-header: "), x, F.lit("\r\n"))), ""))
     made = [
         ("conversion", F.col("conversion_id"), "text/plain; charset=utf-8", F.col("text")),
         ("metadata", record_id(F.lit("metadata"), "record_id"), "application/warc-fields", fields),
@@ -109,7 +110,7 @@ def _sql() -> str:
     rn = "chr(13) || chr(10)"
     http = " || ".join(f"'{x}'" if x else "''" for x in HTTP.split("\r\n")[:1]) + "".join(f" || {rn} || '{x}'" for x in HTTP.split("\r\n")[1:])
     line = lambda name, value: f"coalesce('{name}: ' || {value} || {rn}, '')"
-    fields = " || ".join(line(*x) for x in (("source-record-id", "rid"), ("source-block-digest", "'sha256:' || sha256(headers || payload)"), ("source-payload-digest", "payload_digest"), ("source-http-status", "'HTTP/1.1 200 OK'"), ("source-http-content-type", "'text/html; charset=utf-8'"), ("source-http-content-length", "strlen(payload)::VARCHAR"), ("conversion-record-id", "cid")))
+    fields = " || ".join(line(*x) for x in (("source-record-id", "rid"), ("source-block-digest", "'sha256:' || sha256(headers || payload)"), ("source-payload-digest", "payload_digest"), ("source-http-status", "'HTTP/1.1 200 OK'"), ("conversion-record-id", "cid"), ("source-http-header", "'Content-Type: text/html; charset=utf-8'"), ("source-http-header", "'Content-Length: ' || strlen(payload)::VARCHAR")))
     head = " || ".join(line(*x) for x in (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", f"'{DATE}'"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length::VARCHAR")))
     response = "md5('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || coalesce(url, ''))"
     return f"""
