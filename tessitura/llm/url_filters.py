@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hexadecimal digits of a digest's short prefix.
 SHORT = 8
+SALTS = 16
 #: The rules of the query: action, host and path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -58,8 +59,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat_ws("\n", s, p))))
     tried = pages.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(expressions).alias("expression"))
     tried = tried.select("host", "path", F.sha2("expression", 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
-    hits = tried.join(rules, "short").where("digest = rule_digest").groupBy("host", "path").agg(F.max_by("decision", "rank").alias("decision"))
-    found = pages.join(hits, ["host", "path"], "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # an expression that many paths share is SALTS groups
+    tried = tried.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    hits = tried.join(rules.select("*", salts), ["short", "salt"]).where("digest = rule_digest").groupBy("host", "path").agg(F.max_by("decision", "rank").alias("decision"))
+    known = pages.where("host <> ''").join(hits, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in pages.columns], "decision")
+    found = known.unionByName(pages.where("host = ''").withColumn("decision", F.lit(None)))
     return found.select(*[F.col(f"`{c}`") for c in pages.columns], F.col("decision.rule").alias("rule"), F.coalesce("decision.verdict", F.lit(default)).alias("verdict"))
 
 
