@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,15 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
+@lru_cache(4096)
+def signs(seed: int, d: int) -> np.ndarray:
+    return np.random.default_rng(seed).choice([-1.0, 1.0], (3, d))
+
+
 def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     d = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (3, d))
-    for s in signs:
+    for s in signs(seed, d):
         x = hadamard(x * s)
     return x
 
