@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
 again as the next one's docs. All but the last return the columns of documents.
 
-Defined cases: documents without text go through as they are; documents without doc_id
-pass the join and decontamination unseen; empty tables give an empty result.
+Defined cases: documents without text go through as they are; rows without doc_id are
+judged like all others; of rows with equal doc_id and text one stays; columns of other
+names are left alone (but for ``_row``); empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ from tessitura.llm import toxicity as crf
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger does not reject."""
     model = crf.train(docs.where(~crf.held_out()), common.read(spark, sf_dir, "labels"))
-    marked = crf.score(docs.select("*", F.col("text").alias("_text")), model, "_text")
-    return marked.where("predicted = 0").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of docs meets the tagger's
+    return crf.score(docs.select(whole, "text"), model).where("predicted = 0").select("row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near copies."""
-    classes = ngram_join.jaccard_components(docs.where("doc_id is not null"))
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
-    return one.unionByName(docs.where("doc_id is null"))
+    """The row of least doc_id of each group of near copies; a row is its doc_id and text, and may have no doc_id."""
+    row = F.xxhash64("doc_id", "text")
+    rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")).distinct()
+    classes = ngram_join.jaccard_components(docs.select(row.alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    kept = rows.join(classes, "row").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("least")).select(F.col("least.row").alias("_row"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    one = docs.withColumn("_row", row).join(common.stored(kept), "_row", "left_semi")
+    return one.dropDuplicates(["_row"]).select(*names)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
