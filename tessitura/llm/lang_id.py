@@ -8,8 +8,8 @@ the log frequencies. A text's language has the highest sum over all its words.
 All training documents are counted, and all their words and n-grams are known, whatever
 their frequency. Those of at least the relative frequency ``least`` (of its length's
 n-grams), so at most ``1 / least`` a table, are broadcast, which keeps hot ones out of
-any shuffle; a text's other words are looked up by joins, and of those that no training
-text has, the n-grams. ``least`` changes no result.
+any shuffle; a text's other words are looked up by joins on a hash, and of those that no
+training text has, the n-grams. ``least`` changes no result.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without
 any training text every text is ``und``; ties go to the first language by name; repeated
@@ -18,14 +18,14 @@ rows each keep a row; an empty table gives an empty result. Other columns are le
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,25 +91,31 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([one] * len(key), pa.string()), pa.array(np.full(len(key), n, np.int32)), pa.array(key), pa.array(total)], names=["lang", "n", "gram", "times"])
 
 
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 says of binary words."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+
+
 class Model:
-    """Log frequencies by language: of frequent words, and of frequent n-grams as sorted names with a row each; of all others as tables (word or n and gram, s0, s1, ...), which stay where they are."""
+    """Log frequencies by language: of frequent words and of frequent n-grams as sorted keys with a row each; of all others as tables (key or n and gram, s0, s1, ...), which stay where they are."""
 
-    def __init__(self, langs: list[str], words: dict[bytes, int], rows: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], rare_words: DataFrame | None = None, rare_grams: DataFrame | None = None):
+    def __init__(self, langs: list[str], words: np.ndarray, rows: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], rare_words: DataFrame | None = None, rare_grams: DataFrame | None = None):
         self.langs, self.words, self.rows, self.tables, self.rare_words, self.rare_grams = langs, words, rows, tables, rare_words, rare_grams
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"rare_words": None, "rare_grams": None}
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        """The row of each of some words; zeros for those that are not frequent."""
+    def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of some words, which of them are frequent); zeros for the others."""
+        key = word_keys(words)
+        at = np.minimum(np.searchsorted(self.words, key), max(0, len(self.words) - 1))
+        hit = self.words[at] == key if len(self.words) else np.zeros(len(key), bool)
         out = np.zeros((len(words), len(self.langs)))
-        for k, w in enumerate(words):
-            if (at := self.words.get(w)) is not None:
-                out[k] = self.rows[at]
-        return out
+        out[hit] = self.rows[at[hit]]
+        return out, hit
 
 
-def train(docs: DataFrame, least: float = 2e-6) -> Model:
+def train(docs: DataFrame, least: float = 5e-7) -> Model:
     """A model of docs (text, lang); rows without either are left out."""
     docs = docs.where("text is not null and lang is not null").select("text", "lang")
     words = common.stored(docs.mapInArrow(_count_words, "lang string, word binary, times long").groupBy("lang", "word").agg(F.sum("times").alias("times")))
@@ -119,11 +125,13 @@ def train(docs: DataFrame, least: float = 2e-6) -> Model:
     totals |= {(r["n"], r["lang"]): r["times"] for r in grams.groupBy("n", "lang").agg(F.sum("times").alias("times")).collect()}
     langs = sorted({lang for _, lang in totals})
     if not langs:
-        return Model([], {}, np.zeros((0, 0)), [])
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0)), [])
     total = np.array([[totals.get((n, lang), 0) for lang in langs] for n in range(LONGEST + 1)], float)
     per = [F.sum(F.when(F.col("lang") == lang, F.col("times")).otherwise(0)).alias(f"c{k}") for k, lang in enumerate(langs)]
+    by_lang = words, grams
     words = common.stored(words.groupBy("word").agg(F.sum("times").alias("times"), *per))
     grams = common.stored(grams.groupBy("n", "gram").agg(F.sum("times").alias("times"), *per))
+    common.dropped(*by_lang)
     distinct = [words.count(), *[0] * LONGEST]
     for r in grams.groupBy("n").count().collect():
         distinct[r["n"]] = r["count"]
@@ -136,29 +144,22 @@ def train(docs: DataFrame, least: float = 2e-6) -> Model:
         return table.select(*key, "often", *[F.log((F.col(f"c{k}") + 0.5) / x).alias(f"s{k}") for k, x in enumerate(of(under))])
 
     floor = F.element_at(F.array(*[F.lit(float(least * t.sum())) for t in total]), F.col("n") + 1)
-    words = logs(words.withColumn("n", F.lit(0)).withColumn("often", F.col("times") >= floor), "word")
+    words = logs(words.withColumn("n", F.lit(0)).withColumn("often", F.col("times") >= floor).withColumn("key", F.xxhash64("word")), "key")
     grams = logs(grams.withColumn("often", F.col("times") >= floor), "n", "gram")
     names = [f"s{k}" for k in range(len(langs))]
-    known, kept = words.where("often").toPandas(), grams.where("often").toPandas()
+    known, kept = words.where("often").toPandas().drop_duplicates("key").sort_values("key"), grams.where("often").toPandas()
     tables = []
     for n in range(1, LONGEST + 1):
         own = kept[kept["n"] == n].sort_values("gram")
         tables.append((own["gram"].to_numpy(np.int64), own[names].to_numpy(float)))
-    return Model(langs, {bytes(w): k for k, w in enumerate(known["word"])}, known[names].to_numpy(float), tables, words.where("not often").drop("often"), grams.where("not often").drop("often"))
+    return Model(langs, known["key"].to_numpy(np.int64), known[names].to_numpy(float), tables, words.where("not often").drop("often"), grams.where("not often").drop("often"))
 
 
-def _rare_scores(docs: DataFrame, model: Model, shared: Broadcast, text: str) -> DataFrame:
-    """(_key, x0, x1, ...): of each distinct text, by its md5, the sums over its words that are not frequent."""
+def _rare_scores(found: DataFrame, model: Model, shared: Broadcast) -> DataFrame:
+    """(_id, x0, x1, ...): the sums over the words that are not frequent of each row of found (_id, _rare, _times)."""
     names = [f"s{k}" for k in range(len(model.langs))]
     spans = ", ".join(f"{x} double" for x in names)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        frequent = shared.value.words
-        for whole in batches:
-            for batch in (whole.slice(k, 200) for k in range(0, len(whole), 200)):
-                found = [(key, w, n) for key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for w, n in Counter(w for w in _words(t) if w not in frequent).items()]
-                yield pa.record_batch([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["_key", "word", "times"])
-
     def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         """Of each word and length, how many of its n-grams are frequent and their sums; and each that is not."""
         for whole in batches:
@@ -176,17 +177,17 @@ def _rare_scores(docs: DataFrame, model: Model, shared: Broadcast, text: str) ->
                     columns = [pa.array([words[k] for k in at], pa.binary()), pa.array(np.full(len(at), n, np.int32)), pa.array([None] * len(there) + key[~hit].tolist(), pa.int64()), pa.array(np.concatenate((times[there], np.ones(len(none), np.int64))))]
                     yield pa.record_batch([*columns, *(pa.array(np.concatenate((x, np.zeros(len(none))))) for x in sums)], names=["word", "n", "gram", "hits", *names])
 
-    found = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("_key"), F.col(text)).mapInArrow(rare, "_key string, word binary, times long")
-    found = common.stored(found.distinct())
-    distinct = found.select("word").distinct()
-    known = common.stored(distinct.join(model.rare_words, "word"))
-    grams = common.stored(distinct.join(known.select("word"), "word", "left_anti").mapInArrow(gram_rows, f"word binary, n int, gram long, hits long, {spans}"))
+    distinct = found.select(F.explode("_rare").alias("word")).distinct().withColumn("key", F.xxhash64("word"))
+    distinct = common.stored(distinct.join(model.rare_words, "key", "left"))
+    grams = common.stored(distinct.where("s0 is null").select("word").mapInArrow(gram_rows, f"word binary, n int, gram long, hits long, {spans}"))
     looked = grams.where("gram is not null").groupBy("word", "n", "gram").agg(F.sum("hits").alias("hits")).join(model.rare_grams, ["n", "gram"])
     looked = looked.select("word", "n", "hits", *[(F.col(x) * F.col("hits")).alias(x) for x in names])
     sums = grams.where("gram is null").drop("gram").unionByName(looked).groupBy("word", "n").agg(F.sum("hits").alias("hits"), *[F.sum(x).alias(x) for x in names])
-    best = sums.groupBy("word").agg(F.max_by(F.struct(*[(F.col(x) / F.col("hits")).alias(x) for x in names]), "n").alias("s")).select("word", "s.*")
-    scored = found.join(known.unionByName(best), "word")
-    return scored.groupBy("_key").agg(*[F.sum(F.col(x) * F.col("times")).alias(f"x{k}") for k, x in enumerate(names)])
+    best = sums.groupBy("word").agg(F.max_by(F.struct(*[(F.col(x) / F.col("hits")).alias(x) for x in names]), "n").alias("s")).select(F.xxhash64("word").alias("key"), "s.*")
+    known = common.stored(distinct.where("s0 is not null").select("key", *names).unionByName(best))
+    common.dropped(distinct, grams)
+    each = found.select("_id", F.explode(F.arrays_zip("_rare", "_times")).alias("w")).select("_id", F.xxhash64("w._rare").alias("key"), F.col("w._times").alias("times"))
+    return each.join(known, "key").groupBy("_id").agg(*[F.sum(F.col(x) * F.col("times")).alias(f"x{k}") for k, x in enumerate(names)])
 
 
 class _Memory(dict):
@@ -195,12 +196,13 @@ class _Memory(dict):
     LIMIT, STEP = 200_000, 100_000
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.words = model, []
         self.rows = np.zeros((self.LIMIT + self.STEP, len(model.langs)))
+        self.hit = np.zeros(self.LIMIT + self.STEP, bool)
 
-    def totals(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Sums of the scores of the words of each text, some words at a time."""
-        out = [np.zeros(self.rows.shape[1]) for _ in texts]
+    def totals(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, list[bytes], list[int]]]:
+        """Of each text the sum of the scores of its frequent words, its other words and how often each is there; some words at a time."""
+        out = [(np.zeros(self.rows.shape[1]), [], []) for _ in texts]
         parts = [(k, t[at : at + self.STEP]) for k, t in enumerate(texts) for at in range(0, len(t), self.STEP)]
         low = n = 0
         for end in range(len(parts) + 1):
@@ -211,15 +213,23 @@ class _Memory(dict):
             n += size
         return out
 
-    def add(self, parts: list[tuple[int, list[bytes]]], out: list[np.ndarray]) -> None:
+    def add(self, parts: list[tuple[int, list[bytes]]], out: list[tuple[np.ndarray, list[bytes], list[int]]]) -> None:
         if len(self) > self.LIMIT:
             self.clear()
+            self.words = []
         new = list({w for _, t in parts for w in t if w not in self})
         if new:
-            self.rows[len(self) : len(self) + len(new)] = self.model.scores(new)
-            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            here = slice(len(self), len(self) + len(new))
+            self.rows[here], self.hit[here] = self.model.scores(new)
+            self.update(zip(new, range(here.start, here.stop), strict=True))
+            self.words += new
         for k, t in parts:
-            out[k] += self.rows[np.fromiter(map(self.__getitem__, t), np.int64, len(t))].sum(axis=0)
+            at = np.fromiter(map(self.__getitem__, t), np.int64, len(t))
+            sums, rare, times = out[k]
+            sums += self.rows[at].sum(axis=0)
+            at, n = np.unique(at[~self.hit[at]], return_counts=True)
+            rare += map(self.words.__getitem__, at.tolist())
+            times += n.tolist()
 
 
 def _words(text: str) -> list[bytes]:
@@ -228,31 +238,34 @@ def _words(text: str) -> list[bytes]:
     return words if any(w[0] < 128 for w in words) or any(map(str.isalpha, text)) else []
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (posterior of the per-word evidence, tempered by text length)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs, with its text or without, with lang_pred and score (posterior of the per-word evidence, tempered by text length), which replace columns of these names."""
     docs = docs.drop("lang_pred", "score")
-    if not model.langs:
-        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    names, langs = [c for c in docs.columns if keep_text or c != text], model.langs
+    own = [F.col(f"`{c}`") for c in names]
+    if not langs:
+        return docs.select(*own, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, langs = docs.columns, model.langs
-    at = names.index(text)
-    schema = docs.select("*", F.lit(0).cast("long").alias("_n"), F.array(F.lit(0.0)).alias("_sums"), F.lit("").alias("_key")).schema
+    whole = docs.select(F.struct(*own).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    schema = whole.select("_row", F.lit(0).cast("long").alias("_id"), F.lit(0).cast("long").alias("_n"), F.array(F.lit(0.0)).alias("_sums"), F.expr("cast(null as array<binary>) as _rare"), F.expr("cast(null as array<int>) as _times")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        memory = _Memory(shared.value)
+        memory, at = _Memory(shared.value), TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in (whole.slice(k, 1000) for k in range(0, len(whole), 1000)):
-                texts = batch.column(at).to_pylist()
-                words = [_words(t) if t else [] for t in texts]
-                keys = ["" if t is None else hashlib.md5(t.encode()).hexdigest() for t in texts]
-                columns = {name: batch.column(k) for k, name in enumerate(names)} | {"_n": pa.array([len(w) for w in words], pa.int64()), "_sums": pa.array([x.tolist() for x in memory.totals(words)], pa.list_(pa.float64())), "_key": pa.array(keys, pa.string())}
-                yield pa.RecordBatch.from_pydict(columns)
-
-    found = docs.mapInArrow(run, schema).join(_rare_scores(docs, model, shared, text), "_key", "left")
+                words = [_words(t) if t else [] for t in batch.column(1).to_pylist()]
+                sums, rare, times = zip(*memory.totals(words), strict=True)
+                columns = [pa.array(range(at, at + len(batch)), pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([x.tolist() for x in sums], pa.list_(pa.float64())), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+                yield pa.record_batch([batch.column(0), *columns], names=["_row", "_id", "_n", "_sums", "_rare", "_times"])
+                at += len(batch)
+
+    found = common.stored(whole.mapInArrow(run, schema))  # written once, so that the numbers of its rows hold
+    rare = _rare_scores(found, model, shared)
+    found = found.drop("_rare", "_times").join(rare, "_id", "left")
     found = found.withColumn("_sums", F.array(*[F.col("_sums")[k] + F.coalesce(f"x{k}", F.lit(0.0)) for k in range(len(langs))])).withColumn("_best", F.array_max("_sums"))
     lang = F.element_at(F.array(*map(F.lit, langs)), F.array_position("_sums", F.col("_best")).cast("int"))
     rest = F.aggregate("_sums", F.lit(0.0), lambda total, x: total + F.exp((x - F.col("_best")) / F.sqrt(F.greatest("_n", F.lit(1)))))
-    return found.select(*[F.col(f"`{c}`") for c in names], F.when(F.col("_n") > 0, lang).otherwise("und").alias("lang_pred"), F.when(F.col("_n") > 0, 1 / rest).otherwise(0.0).alias("score"))
+    return found.select("_row.*", F.when(F.col("_n") > 0, lang).otherwise("und").alias("lang_pred"), F.when(F.col("_n") > 0, 1 / rest).otherwise(0.0).alias("score"))
 
 
 def held_out() -> Column:
@@ -262,4 +275,4 @@ def held_out() -> Column:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
-    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep_text=False)
