@@ -22,9 +22,8 @@ BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of a folder; bounds the session's Arrow batches by bytes, unless they are bounded lower."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark.conf.set(name, str(min(BATCH_BYTES, int(spark.conf.get(name, "0").rstrip("b")) or BATCH_BYTES)) + "b")
+    """A table of a folder; also bounds the session's Arrow batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -48,22 +47,6 @@ def letter_runs(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(LETTERS).split()
 
 
-class WordHash(dict):
-    """Word -> unsigned 64-bit hash, with a memory of bounded size."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        w = words(text)
-        return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit values that spreads their bits."""
     h = h ^ (h >> np.uint64(31))
@@ -71,6 +54,76 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Bytes of texts that are hashed at a time.
+BLOCK = 1 << 20
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, as many as were asked for."""
+
+    there = back = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(cls.there):
+            inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+            cls.there, cls.back = (np.cumprod(np.append(np.uint64(1), np.full(n, x))) for x in (_STEP, inverse))
+        return cls.there, cls.back
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(unsigned 64-bit hash, start) of each lower-cased word of some UTF-8 bytes."""
+    if not raw:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    x = np.frombuffer(raw.translate(LOWER), np.uint8)
+    solid = np.concatenate(([False], ~SPACE[x], [False]))
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    start, end = edges[::2], edges[1::2]
+    powers, back = Powers.upto(len(x))
+    sums = np.append(np.uint64(0), np.cumsum(_BYTE[x] * powers[: len(x)]))
+    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start
+
+
+def texts_hashes(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, hashes of the words of some texts in turn, how many words each has); long texts come whole, hashed in parts."""
+    low, held, size = 0, [], 0
+
+    def take(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        h, start = word_hashes(b" ".join(parts))
+        ends = np.cumsum([len(x) + 1 for x in parts])
+        return h, np.diff(np.searchsorted(start, ends), prepend=0)
+
+    for k, text in enumerate(texts):
+        text = text or b""
+        if held and size + len(text) > BLOCK:
+            yield low, *take(held)
+            low, held, size = k, [], 0
+        if len(text) > BLOCK:
+            h = np.concatenate([word_hashes(part)[0] for part in cut_at_blanks(text)])
+            yield k, h, np.array([len(h)])
+            low = k + 1
+            continue
+        held.append(text)
+        size += len(text)
+    if held:
+        yield low, *take(held)
+
+
+def cut_at_blanks(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about BLOCK bytes that cut no word."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + BLOCK)
+        while end < len(text) and not SPACE[text[end]]:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word windows of a text; with fewer words the whole sequence is one; none without words."""
     if len(h) == 0:
@@ -128,6 +181,32 @@ class Scatter:
         return pa.record_batch([pa.array(p[cuts]), pa.array(chunks, pa.binary())], schema=self.ARROW)
 
 
+def repeated(chunks: DataFrame, bits: int, log_p: int) -> np.ndarray:
+    """A bitmap by their upper bits of the keys that were scattered twice: p is a key's upper ``log_p`` bits, the one column its next 32."""
+
+    def several(key: tuple, table: pa.Table) -> pa.Table:
+        (v,) = gathered(table.column("chunk").to_pylist(), ["<u4"])
+        v = np.sort(v)
+        seen = np.zeros(1 << (bits - log_p), np.uint8)
+        seen[v[1:][v[1:] == v[:-1]] >> np.uint32(32 - bits + log_p)] = 1
+        return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
+
+    out, each = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - log_p - 3)
+    for r in chunks.groupBy("p").applyInArrow(several, "p int, bits binary").toLocalIterator():
+        out[r["p"] * each : (r["p"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def upper(keys: np.ndarray, log_p: int) -> tuple[np.ndarray, np.ndarray]:
+    """What repeated() takes of keys."""
+    return keys >> np.uint64(64 - log_p), (keys >> np.uint64(32 - log_p)) & np.uint64(0xFFFFFFFF)
+
+
+def in_upper(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def gathered(chunks: Iterable[bytes], dtypes: list[str]) -> list[np.ndarray]:
     """The columns that Scatter packed, of all chunks of a group."""
     kinds = [np.dtype(d) for d in dtypes]

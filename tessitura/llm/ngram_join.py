@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tessitura.llm import common
 
 LEVELS = (4, 32, 1024)
-MAX_BITS = 25
+MAX_BITS = 27
 #: Sets in a trie, and sets on either side of a block of pairs.
 BLOCK = 512
 
@@ -70,14 +70,27 @@ def bitmap_of(ids: DataFrame, bits: int = MAX_BITS) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         mine: dict[int, np.ndarray] = {}
+        held: list[np.ndarray] = []
+
+        def enter() -> None:
+            at = np.unique(np.concatenate(held))
+            page = at >> np.uint64(15)
+            cuts = np.flatnonzero(np.diff(page.astype(np.int64), prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+                seen = np.zeros(32768, np.uint8)
+                seen[(at[a:b] & np.uint64(32767)).astype(np.int64)] = 1
+                seen = np.packbits(seen, bitorder="little")
+                mine[int(page[a])] = mine[int(page[a])] | seen if int(page[a]) in mine else seen
+            held.clear()
+
         for batch in batches:
-            at = common.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64((1 << bits) - 1)
-            for page in np.unique(at >> np.uint64(15)):
-                here = (at[at >> np.uint64(15) == page] & np.uint64(32767)).astype(np.int64)
-                seen = mine.setdefault(int(page), np.zeros(32768, np.uint8))
-                seen[here] = 1
+            held.append(common.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64((1 << bits) - 1))
+            if sum(map(len, held)) > 1_000_000:
+                enter()
+        if held:
+            enter()
         if mine:
-            yield pa.record_batch([pa.array(list(mine), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in mine.values()], pa.binary())], names=["page", "bits"])
+            yield pa.record_batch([pa.array(list(mine), pa.int32()), pa.array([x.tobytes() for x in mine.values()], pa.binary())], names=["page", "bits"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         seen = np.zeros(4096, np.uint8)
@@ -171,14 +184,16 @@ class Trie:
 
 def sets_of(n: int, batches: Iterator[pa.RecordBatch], keep: np.ndarray | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, sorted n-gram hashes) of each document, or of those in the bitmap ``keep``."""
-    words = common.WordHash()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         if keep is not None:
             kept = pa.array(in_bitmap(keep, ids.fill_null(0).to_numpy(zero_copy_only=False)))
             ids, texts = ids.filter(kept), texts.filter(kept)
-        for i, text in zip(ids.to_pylist(), texts, strict=True):
-            yield i, np.unique(common.shingle_hashes(words.of(text.as_py()), n))
+        ids = ids.to_pylist()
+        for first, h, counts in common.texts_hashes(texts.to_pylist()):
+            ends = np.cumsum(counts)
+            for k, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True), first):
+                yield ids[k], np.unique(common.shingle_hashes(h[a:b], n))
 
 
 class Join:

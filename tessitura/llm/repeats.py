@@ -207,36 +207,25 @@ class Finder:
 
     def frequent(self):
         """A bitmap of the anchors that occur more than once, by all documents."""
-        k, firsts, bits, log_p = self.k, self.firsts, self.bits, self.parts.bit_length() - 1
+        k, firsts, log_p = self.k, self.firsts, self.parts.bit_length() - 1
 
         def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             out = common.Scatter(["<u4"])
             for found, *_ in blocks(batches, k, firsts.value):
-                if (b := out.add(found.name >> np.uint64(64 - log_p), (found.name >> np.uint64(32 - log_p)) & np.uint64(0xFFFFFFFF))) is not None:
+                if (b := out.add(*common.upper(found.name, log_p))) is not None:
                     yield b
             if (b := out.take()) is not None:
                 yield b
 
-        def several(key: tuple, table: pa.Table) -> pa.Table:
-            (v,) = common.gathered(table.column("chunk").to_pylist(), ["<u4"])
-            v = np.sort(v)
-            seen = np.zeros(1 << (bits - log_p), np.uint8)
-            seen[v[1:][v[1:] == v[:-1]] >> np.uint32(32 - bits + log_p)] = 1
-            return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
-
-        out, each = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - log_p - 3)
-        for r in self.docs.mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(several, "p int, bits binary").toLocalIterator():
-            out[r["p"] * each : (r["p"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
-        return self.shared(out)
+        return self.shared(common.repeated(self.docs.mapInArrow(scatter, common.Scatter.SCHEMA), self.bits, log_p))
 
     def occurrences(self) -> DataFrame:
         """The anchors that occur more than once: name, context, id, row, start (of the context) and n (windows)."""
-        k, firsts, bits, frequent = self.k, self.firsts, self.bits, self.frequent()
+        k, firsts, frequent = self.k, self.firsts, self.frequent()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for found, ids, rows, offsets in blocks(batches, k, firsts.value):
-                at = (found.name >> np.uint64(64 - bits)).astype(np.int64)
-                kept = np.flatnonzero(frequent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                kept = np.flatnonzero(common.in_upper(frequent.value, found.name))
                 text = found.text[kept]
                 columns = [found.name[kept].view(np.int64), found.context[kept].view(np.int64), ids[text], rows[text], found.first[kept] + offsets[text], (found.last - found.first)[kept] + 1]
                 yield pa.record_batch([pa.array(c) for c in columns], names=["name", "context", "id", "row", "start", "n"])

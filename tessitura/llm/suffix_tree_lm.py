@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import common
-from tessitura.llm.ngram_join import bitmap_of, in_bitmap
+from tessitura.llm.ngram_join import MAX_BITS, bitmap_of, in_bitmap
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task gathers before it counts them.
@@ -59,19 +59,25 @@ def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
 
 def token_blocks(batches: Iterator[pa.RecordBatch], size: int = FLUSH) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
     """(rows, their token hashes in turn, lengths) of some texts at a time; a row is (doc_id, held out, text bytes)."""
-    words = common.WordHash()
-    rows, held, n = [], [], 0
+    rows, tokens, lengths, n = [], [], [], 0
     for batch in batches:
-        for doc, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            h = np.append(words.of(text), END)
-            rows.append((doc, out, text))
-            held.append(h)
-            n += len(h)
+        docs, outs, texts = (c.to_pylist() for c in batch.columns)
+        for first, h, counts in common.texts_hashes(texts):
+            ends = np.cumsum(counts + 1)
+            all_ = np.empty(len(h) + len(counts), np.uint64)
+            all_[ends - 1] = END
+            word = np.ones(len(all_), bool)
+            word[ends - 1] = False
+            all_[word] = h
+            rows += zip(docs[first : first + len(counts)], outs[first : first + len(counts)], texts[first : first + len(counts)], strict=True)
+            tokens.append(all_)
+            lengths.append(counts + 1)
+            n += len(all_)
             if n > size:
-                yield rows, np.concatenate(held), np.array([len(x) for x in held])
-                rows, held, n = [], [], 0
+                yield rows, np.concatenate(tokens), np.concatenate(lengths)
+                rows, tokens, lengths, n = [], [], [], 0
     if rows:
-        yield rows, np.concatenate(held), np.array([len(x) for x in held])
+        yield rows, np.concatenate(tokens), np.concatenate(lengths)
 
 
 def climb(tokens: np.ndarray, lengths: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -104,19 +110,40 @@ def _counted(docs: DataFrame, parts: int) -> DataFrame:
     return docs.where("not held_out").mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "key long, times long")
 
 
-def _counted_grams(docs: DataFrame, n: int, parts: int, seen: int, below: Broadcast | None) -> DataFrame:
-    """(key, context, suffix, times) of the n-grams that were seen so often; ``below`` is a bitmap of those of n - 1 words."""
-    kinds = ["<u8", "<u8", "<u4"]
+def _counted_grams(docs: DataFrame, n: int, parts: int, bits: int, seen: int, below: Broadcast | None) -> DataFrame:
+    """(key, context, suffix, times) of the n-grams that were seen so often, twice at least; ``below`` is a bitmap of those of n - 1 words.
+
+    A first pass finds which may be seen twice, so that the second shuffles no others.
+    """
+    kinds, log_p = ["<u8", "<u8", "<u4"], parts.bit_length() - 1
+    docs = docs.where("not held_out")
+
+    def of(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of parts, keys, which of them count)."""
+        (parts_key, _), (key, ok) = climb(tokens, lengths, n - 1)[-2:]
+        if below is not None:
+            there = in_bitmap(below.value, parts_key)
+            ok = ok & there & np.append(False, there[:-1])
+        return parts_key, key, ok
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        out = common.Scatter(["<u4"])
+        for _, tokens, lengths in token_blocks(batches):
+            _, key, ok = of(tokens, lengths)
+            key, times = np.unique(key[ok], return_counts=True)
+            if (b := out.add(*common.upper(np.repeat(key, np.minimum(times, 2)), log_p))) is not None:
+                yield b
+        if (b := out.take()) is not None:
+            yield b
+
+    twice = docs.sparkSession.sparkContext.broadcast(common.repeated(docs.mapInArrow(names, common.Scatter.SCHEMA), bits, log_p))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         out = common.Scatter(kinds)
         for _, tokens, lengths in token_blocks(batches):
-            levels = climb(tokens, lengths, n - 1)
-            (parts_key, _), (key, ok) = levels[-2:]
-            if below is not None:
-                there = in_bitmap(below.value, parts_key)
-                ok = ok & there & np.append(False, there[:-1])
+            parts_key, key, ok = of(tokens, lengths)
             at = np.flatnonzero(ok)
+            at = at[common.in_upper(twice.value, key[at])]
             key, first, times = np.unique(key[at], return_index=True, return_counts=True)
             at = at[first]
             if (b := out.add(key & np.uint64(parts - 1), parts_key[at - 1], parts_key[at], times)) is not None:
@@ -132,7 +159,7 @@ def _counted_grams(docs: DataFrame, n: int, parts: int, seen: int, below: Broadc
         columns = [x[kept].view(np.int64) for x in (keys, context[first], suffix[first], total)]
         return pa.table([pa.array(x) for x in columns], names=["key", "context", "suffix", "times"])
 
-    return docs.where("not held_out").mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "key long, context long, suffix long, times long")
+    return docs.mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "key long, context long, suffix long, times long")
 
 
 def _released(df: DataFrame) -> DataFrame:
@@ -183,7 +210,9 @@ def train(docs: DataFrame, depth: int = 2, least: float = 5e-6, divergence: floa
     values = [words.select("key", lit(1).alias("level"), F.col("times").alias("often"), "times", F.log10(F.col("times") + 1.0).alias("pair"), none.alias("left"))]
     others, below = [], None
     for n in range(2, depth + 2):
-        grams = _counted_grams(docs, n, common.parts_for(size, 16 << 20, 16), seen, below)
+        parts = common.parts_for(size, 16 << 20, 16)
+        bits = max(parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
+        grams = _counted_grams(docs, n, parts, bits, seen, below)
         grams = _released(grams.join(level.select(F.col("key").alias("suffix"), F.col("logp").alias("before")), "suffix").drop("suffix"))
         p0, ln = F.pow(lit(10.0), F.col("before")), float(np.log(10))
         far = F.sum(F.col("times") * (F.log("times") - F.col("before") * lit(ln))).alias("far")
