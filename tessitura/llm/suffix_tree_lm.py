@@ -197,7 +197,7 @@ class Tree:
         return out, found
 
 
-def train(docs: DataFrame, depth: int = 2, least: float = 5e-6, divergence: float = 0.02, mass: float = 10.0, seen: int = 2) -> tuple[Tree, DataFrame]:
+def train(docs: DataFrame, depth: int = 2, least: float = 1e-6, divergence: float = 0.02, mass: float = 10.0, seen: int = 2) -> tuple[Tree, DataFrame]:
     """By the rows of docs (doc_id, held_out, text as bytes) that are not held out: a tree, and the values (key, level, often, times, pair, left) of all its n-grams; times is null but for words."""
     spark = docs.sparkSession
     size = common.total_bytes(docs)
@@ -207,8 +207,9 @@ def train(docs: DataFrame, depth: int = 2, least: float = 5e-6, divergence: floa
     unit = float(np.log10(total + distinct + 1))
     level = words.select("key", "times", (F.log10(F.col("times") + 1.0) - F.lit(unit)).alias("logp"))
     lit, none = F.lit, F.lit(0.0)
+    kept = [words]
     values = [words.select("key", lit(1).alias("level"), F.col("times").alias("often"), "times", F.log10(F.col("times") + 1.0).alias("pair"), none.alias("left"))]
-    others, below = [], None
+    below = None
     for n in range(2, depth + 2):
         parts = common.parts_for(size, 16 << 20, 16)
         bits = max(parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
@@ -224,15 +225,20 @@ def train(docs: DataFrame, depth: int = 2, least: float = 5e-6, divergence: floa
         p = F.when(F.col("weight").isNull(), p0).otherwise(F.col("times") / (F.col("c") + mass) + F.col("weight") * p0)
         left = F.log10(F.coalesce("weight", lit(1.0)))
         level = _released(grams.join(context, "context").select("key", "times", F.log10(p).alias("logp"), (F.log10(p) - F.col("before") - left).alias("pair")))
+        common.dropped(grams)
         often = lit(None).cast("long")
         values.append(level.select("key", lit(n).alias("level"), F.col("times").alias("often"), often.alias("times"), "pair", none.alias("left")))
         values.append(context.where("weight is not null").select(F.col("context").alias("key"), lit(n - 1).alias("level"), F.col("c").alias("often"), often.alias("times"), none.alias("pair"), left.alias("left")))
-        others.append(bitmap_of(level.select("key")))
-        below = spark.sparkContext.broadcast(others[-1])
+        if n <= depth:
+            below = spark.sparkContext.broadcast(bitmap_of(level.select("key")))
+        kept.append(level)
+        kept.append(context)
     table = values[0]
     for more in values[1:]:
         table = table.unionByName(more)
     floor = max(1.0, least * total)
+    table = _released(table.where("times is not null or abs(pair) > 1e-12 or left <> 0"))  # the others change no score
+    common.dropped(*kept)
     head = table.where(F.col("often") >= floor).toPandas()
     keys, pairs, lefts = [], [], []
     for n in range(1, depth + 2):
@@ -241,7 +247,8 @@ def train(docs: DataFrame, depth: int = 2, least: float = 5e-6, divergence: floa
         keys.append(key)
         pairs.append(np.bincount(at, own["pair"].to_numpy(float), len(key)) - (unit if n == 1 else 0.0))
         lefts.append(np.bincount(at, own["left"].to_numpy(float), len(key)))
-    return Tree(keys, pairs, lefts[:-1], np.bitwise_or.reduce(others), total, unit), table.where(F.col("often") < floor)
+    rest = table.where(F.col("often") < floor)
+    return Tree(keys, pairs, lefts[:-1], bitmap_of(rest.where("level > 1").select("key")), total, unit), rest
 
 
 def _row_key(doc: int | None, text: bytes | None) -> int:
