@@ -13,8 +13,11 @@ of the windows that have it. Then, with nothing but anchors that occur more than
    interval tree; at each interval the members are parted by their left extensions, whose
    diversity tells the maximal repeats. A repeat's group has all its occurrences, and all
    but the first are covered, each as far to the left as it goes along with an earlier one;
-3. an anchor with more than ``HOT`` different contexts is dealt by window instead, with a
-   pre-aggregated minimum for each window.
+3. the contexts of an anchor with more than ``HOT`` are first split, by the bytes to the
+   left of it and once more by those to its right: two that share k bytes around an anchor
+   share half of what is beyond it on one side at least. Groups that are still too large are
+   split by half of what is left, until they share all k bytes, where all but the first are
+   covered (a pre-aggregated minimum). So no task gets more than ``HOT`` contexts at a time.
 
 Exact copies of a whole text are settled before that. Broadcast are bitmaps of at most
 ``2 ** MAX_BITS`` bits, which prune less where they fill up.
@@ -246,38 +249,44 @@ class Finder:
         heads = contexts.join(several, "name", "left_semi").select("name", "head.*")
         places = self.bitmap(heads.select(F.expr("id ^ row ^ (start * 1000003)").alias("place")))
 
-        def heads_of(found: Anchors, ids: np.ndarray, rows: np.ndarray, offsets: np.ndarray, by_window: bool) -> tuple:
-            id_, row, start = ids[found.text], rows[found.text], found.first + offsets[found.text]
-            wanted = in_bitmap(places.value, id_ ^ row ^ (start * np.int64(1000003)))
-            at = np.flatnonzero(wanted & (in_bitmap(hot.value, found.name.view(np.int64)) == by_window))
-            return at, id_[at], row[at], start[at]
-
         def take(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for found, *where in blocks(batches, k, firsts.value):
-                at, id_, row, start = heads_of(found, *where, False)
+            for found, ids, rows, offsets in blocks(batches, k, firsts.value):
+                id_, row, start = ids[found.text], rows[found.text], found.first + offsets[found.text]
+                at = np.flatnonzero(in_bitmap(places.value, id_ ^ row ^ (start * np.int64(1000003))))
                 raw = [found.raw[a:b] for a, b in zip(found.first[at].tolist(), (found.last[at] + k).tolist(), strict=True)]
-                left = (found.place - found.first)[at].astype(np.int32)
-                yield pa.record_batch([pa.array(found.name[at].view(np.int64)), pa.array(id_), pa.array(row), pa.array(start), pa.array(left), pa.array(raw, pa.binary())], names=["name", "id", "row", "start", "left", "raw"])
-
-        def take_windows(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for found, *where in blocks(batches, k, firsts.value):
-                at, id_, row, start = heads_of(found, *where, True)
-                n = (found.last - found.first)[at] + 1
-                which = np.repeat(np.arange(len(at)), n)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                x = found.first[at][which] + step
-                name = found.hashes(x, x + k, np.zeros(len(x), np.int64))
-                yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(id_[which]), pa.array(row[which]), pa.array(start[which] + step)], names=["name", "id", "row", "start"])
-
-        taken = self.docs.mapInArrow(take, "name long, id long, row long, start long, left int, raw binary")
-        self.contexts = taken.repartition("name").sortWithinPartitions("name", "id", "row", "start")
-        out = later.unionByName(self.contexts.mapInArrow(_by_anchor(k, _covered), SPAN))
+                name, left = found.name[at].view(np.int64), (found.place - found.first)[at].astype(np.int32)
+                yield pa.record_batch([pa.array(in_bitmap(hot.value, name)), pa.array(name), pa.array(id_[at]), pa.array(row[at]), pa.array(start[at]), pa.array(left), pa.array(raw, pa.binary())], names=["many", "name", "id", "row", "start", "left", "raw"])
+
+        taken = common.stored(self.docs.mapInArrow(take, "many boolean, name long, id long, row long, start long, left int, raw binary"))
+        small, last = taken.where("not many").drop("many"), None
         if any_hot:
-            windows = common.stored(self.docs.mapInArrow(take_windows, "name long, id long, row long, start long"))
-            head = windows.groupBy("name").agg(F.min(F.struct("id", "row", "start")).alias("head"), F.count("*").alias("m")).where("m > 1")
-            windows = windows.join(head, "name").where(F.struct("id", "row", "start") > F.col("head"))
-            out = out.unionByName(windows.select("id", "row", "start", (F.col("start") + k).alias("end")))
-        return out
+            more, last = self.split(taken.where("many").drop("many", "name"))
+            small = small.unionByName(more)
+        self.contexts = small.repartition("name").sortWithinPartitions("name", "id", "row", "start")
+        out = later.unionByName(self.contexts.mapInArrow(_by_anchor(k, _covered), SPAN))
+        return out if last is None else out.unionByName(last)
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(contexts by groups of at most HOT, spans of those that share k bytes) of contexts of anchors that have too many."""
+        columns, left = ["id", "row", "start", "left", "raw"], self.k - GRAM
+        rows, small = rows.withColumns({"l": F.lit(0), "r": F.lit(0)}), None
+        while left:
+            step = (left + 1) // 2
+            left -= step
+            sides = F.explode(F.array(F.struct((F.col("l") + step).alias("l"), "r"), F.struct("l", (F.col("r") + step).alias("r"))))
+            rows = rows.select(*columns, sides.alias("to")).select(*columns, "to.*").where(f"left >= l and octet_length(raw) >= left + {GRAM} + r")
+            rows = rows.distinct().withColumn("name", F.xxhash64("l", "r", F.expr(f"substring(raw, left - l + 1, l + {GRAM} + r)")))
+            n = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+            rows = common.stored(rows.join(n, "name"))
+            if left:
+                few = rows.where(F.col("n") <= HOT).select("name", *columns)
+                small = few if small is None else small.unionByName(few)
+                rows = rows.where(F.col("n") > HOT).drop("n", "name")
+        place = (F.col("start") + F.col("left") - F.col("l")).alias("place")
+        rows = rows.select("name", "id", "row", place)
+        head = rows.groupBy("name").agg(F.min(F.struct("id", "row", "place")).alias("head"))
+        rows = rows.join(head, "name").where(F.struct("id", "row", "place") > F.col("head"))
+        return small, rows.select("id", "row", F.col("place").alias("start"), (F.col("place") + self.k).alias("end"))
 
     def groups(self) -> DataFrame:
         """The maximal repeats through the anchors of spans(): name of the group, length, id, row and start of each occurrence."""
