@@ -18,7 +18,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 #: Bytes of an Arrow batch that a Python worker gets, so that a batch of long texts is no memory's end.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,7 +55,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of texts that are hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,7 +159,7 @@ class Scatter:
     SCHEMA = "p int, chunk binary"
     ARROW = pa.schema([("p", pa.int32()), ("chunk", pa.binary())])
 
-    def __init__(self, dtypes: list[str], flush: int = 16 << 20):
+    def __init__(self, dtypes: list[str], flush: int = 8 << 20):
         self.dtypes, self.flush, self.held, self.n = [np.dtype(d) for d in dtypes], flush, [], 0
         self.width = 4 + sum(d.itemsize for d in self.dtypes)
 

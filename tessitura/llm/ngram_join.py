@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 
 from tessitura.llm import common
 
-LEVELS = (4, 32, 1024)
-MAX_BITS = 27
+#: Levels of document frequency, and how many bits fewer their bitmaps' places have, as fewer n-grams reach them.
+LEVELS, FEWER = (4, 32, 1024), (0, 3, 8)
+MAX_BITS = 26
 #: Sets in a trie, and sets on either side of a block of pairs.
 BLOCK = 512
 
@@ -48,15 +49,13 @@ BLOCK = 512
 class Frequency:
     """The level of document frequency of an n-gram, from one bitmap per level."""
 
-    def __init__(self, bits: int, maps: list[np.ndarray]):
-        self.bits, self.maps = bits, maps
+    def __init__(self, maps: list[np.ndarray]):
+        self.maps = maps
 
     def level(self, h: np.ndarray) -> np.ndarray:
-        at = h >> np.uint64(64 - self.bits)
-        byte, bit = (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
         out = np.zeros(len(h), np.uint8)
         for m in self.maps:
-            out += (m[byte] >> bit) & 1
+            out += common.in_upper(m, h)
         return out
 
 
@@ -204,7 +203,7 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes())
         size = common.total_bytes(docs)
         self.parts = common.parts_for(size)
-        self.bits = max(self.parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
+        self.bits = max(self.parts.bit_length() + 3 + max(FEWER), min(MAX_BITS, max(16, size.bit_length())))
 
     def meta(self) -> DataFrame:
         """doc_id, n, key and parity bitmap of each document; key is null where the set is empty."""
@@ -243,17 +242,17 @@ class Join:
             first = np.flatnonzero(np.diff(v.astype(np.int64), prepend=-1))
             times = np.diff(np.append(first, len(v)))
             maps = []
-            for level in LEVELS:
-                seen = np.zeros(1 << (bits - log_p), np.uint8)
-                seen[v[first[times >= level]] >> np.uint32(32 - bits + log_p)] = 1
+            for level, fewer in zip(LEVELS, FEWER, strict=True):
+                seen = np.zeros(1 << (bits - fewer - log_p), np.uint8)
+                seen[v[first[times >= level]] >> np.uint32(32 - bits + fewer + log_p)] = 1
                 maps.append(np.packbits(seen, bitorder="little").tobytes())
             return pa.table({"p": pa.array([key[0].as_py()] * len(LEVELS), pa.int32()), "level": pa.array(range(len(LEVELS)), pa.int32()), "bits": pa.array(maps, pa.binary())})
 
-        maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in LEVELS]
-        each = 1 << (bits - log_p - 3)
+        maps = [np.zeros(1 << (bits - fewer - 3), np.uint8) for fewer in FEWER]
         for r in self.docs.mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(count, "p int, level int, bits binary").toLocalIterator():
-            maps[r["level"]][r["p"] * each : (r["p"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
-        return Frequency(bits, maps)
+            here = np.frombuffer(r["bits"], np.uint8)
+            maps[r["level"]][r["p"] * len(here) : (r["p"] + 1) * len(here)] = here
+        return Frequency(maps)
 
     def groups(self) -> DataFrame:
         """(gid, key, low): the sets that share a prefix n-gram, where there are two at least, and the least of them. Equal groups are one."""

@@ -50,7 +50,7 @@ class WordIds(dict):
     Words that are met first, which are mostly frequent, stay when the memory is full.
     """
 
-    LIMIT, KEEP = 800_000, 400_000
+    LIMIT, KEEP = 600_000, 300_000
     _known: dict[str, WordIds] = {}
 
     def __init__(self, path: str):

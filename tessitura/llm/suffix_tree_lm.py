@@ -41,7 +41,7 @@ from tessitura.llm.ngram_join import MAX_BITS, bitmap_of, in_bitmap
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task gathers before it counts them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:

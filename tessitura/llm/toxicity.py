@@ -95,8 +95,8 @@ def chain(emissions: list[np.ndarray], moves: np.ndarray, start: float) -> list[
     out = [np.zeros(len(e)) for e in emissions]
     cuts = sorted(((k, at) for k, e in enumerate(emissions) for at in range(0, len(e), CHUNK)), key=lambda x: -_span(len(emissions[x[0]]), x[1])[2])
     width = CHUNK + 2 * MARGIN
-    for some in range(0, len(cuts), 1000):
-        part = cuts[some : some + 1000]
+    for some in range(0, len(cuts), 200):
+        part = cuts[some : some + 200]
         spans = [_span(len(emissions[k]), at) for k, at in part]
         grid = np.zeros((len(part), spans[0][2]))
         for r, ((k, _), (low, _, n)) in enumerate(zip(part, spans, strict=True)):
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 500, longest: int =
 
 
 class _Emissions(dict):
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
             scores, spans = [0.0] * len(texts), [[] for _ in texts]
             low, n = 0, 0
             for k in range(len(texts) + 1):
-                if model and (k == len(texts) or n > 2_000_000):
+                if model and (k == len(texts) or n > 500_000):
                     emissions = [np.fromiter(map(memory.__getitem__, w := common.letter_runs(t)), float, len(w)) for t in texts[low:k]]
                     for i, p in enumerate(chain(emissions, model.moves, model.start), low):
                         scores[i] = float(1 / (1 + np.exp(-np.clip(np.dot(model.curve, summary(p)), -30, 30))))
