@@ -20,8 +20,8 @@ from tessitura.llm import toxicity as crf
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger does not reject."""
     model = crf.train(docs.where(~crf.held_out()), common.read(spark, sf_dir, "labels"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of docs meets the tagger's
-    return crf.score(docs.select(whole, "text"), model).where("predicted = 0").select("row.*")
+    plain = [c if c == "text" else f"_c{k}" for k, c in enumerate(docs.columns)]  # so that no column of docs meets the tagger's
+    return crf.score(docs.toDF(*plain), model).where("predicted = 0").select(plain).toDF(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
