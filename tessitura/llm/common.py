@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -149,6 +150,23 @@ def parts_for(n_bytes: int, each: int = 16 << 20, least: int = 16) -> int:
     return 1 << max(least.bit_length() - 1, (max(1, n_bytes // each) - 1).bit_length())
 
 
+def tidy() -> None:
+    """Gives a Python worker's free memory back, which else stays with it from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        return (libc := ctypes.CDLL("libc.so.6")).malloc_trim and libc
+    except (OSError, AttributeError):
+        return None
+
+
+_LIBC = _libc()
+
+
 class Scatter:
     """Packs records into one binary row per group of a shuffle, column after column.
 
@@ -178,7 +196,10 @@ class Scatter:
         cuts = np.flatnonzero(np.diff(p, prepend=p[0] - 1))
         ends = np.append(cuts[1:], len(p))
         chunks = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts, ends, strict=True)]
-        return pa.record_batch([pa.array(p[cuts]), pa.array(chunks, pa.binary())], schema=self.ARROW)
+        out = pa.record_batch([pa.array(p[cuts]), pa.array(chunks, pa.binary())], schema=self.ARROW)
+        del columns, chunks, order
+        tidy()
+        return out
 
 
 def repeated(chunks: DataFrame, bits: int, log_p: int) -> np.ndarray:
@@ -209,6 +230,7 @@ def in_upper(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def gathered(chunks: Iterable[bytes], dtypes: list[str]) -> list[np.ndarray]:
     """The columns that Scatter packed, of all chunks of a group."""
+    tidy()
     kinds = [np.dtype(d) for d in dtypes]
     width = sum(k.itemsize for k in kinds)
     out: list[list[np.ndarray]] = [[] for _ in kinds]

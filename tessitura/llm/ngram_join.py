@@ -193,6 +193,7 @@ def sets_of(n: int, batches: Iterator[pa.RecordBatch], keep: np.ndarray | None =
             ends = np.cumsum(counts)
             for k, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True), first):
                 yield ids[k], np.unique(common.shingle_hashes(h[a:b], n))
+    common.tidy()
 
 
 class Join:

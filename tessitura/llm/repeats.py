@@ -34,7 +34,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +119,7 @@ def blocks(batches: Iterator[pa.RecordBatch], k: int, firsts: np.ndarray) -> Ite
                     break
     if held:
         yield take()
+    common.tidy()
 
 
 def common_prefix(x: bytes, y: bytes) -> int:
@@ -306,9 +306,9 @@ class Finder:
         marks = common.stored(marks.groupBy("_id", "_row").agg(F.first("_spans", ignorenulls=True).alias("_spans"), F.max("_copy").alias("_copy")))
         losing = self.bitmap(marks.select("_id"))
 
-        @F.pandas_udf("boolean")
-        def loses(ids: pd.Series) -> pd.Series:
-            return pd.Series(in_bitmap(losing.value, ids.to_numpy()))
+        @F.arrow_udf("boolean")
+        def loses(ids: pa.Array) -> pa.Array:
+            return pa.array(in_bitmap(losing.value, ids.to_numpy(zero_copy_only=False)))
 
         known = docs.withColumns({"_id": self.ids["id"], "_row": self.ids["row"]}).withColumn("_loses", loses("_id"))
         names = [F.col(f"`{c}`") for c in docs.columns]
@@ -461,6 +461,7 @@ def cut(docs: DataFrame, k: int = 100) -> DataFrame:
                 there.append(not spans or bool(left.strip()))
             columns = {n: pa.array(texts, pa.string()) if n == "text" else batch.column(c) for c, n in enumerate(names)}
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array(there, pa.bool_()))
+        common.tidy()
 
     out = marked.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out

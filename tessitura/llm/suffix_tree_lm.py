@@ -78,6 +78,7 @@ def token_blocks(batches: Iterator[pa.RecordBatch], size: int = FLUSH) -> Iterat
                 rows, tokens, lengths, n = [], [], [], 0
     if rows:
         yield rows, np.concatenate(tokens), np.concatenate(lengths)
+    common.tidy()
 
 
 def climb(tokens: np.ndarray, lengths: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -275,6 +275,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
             columns = {name: batch.column(k) for k, name in enumerate(names)}
             columns |= {"score": pa.array(scores), "predicted": pa.array([int(s >= threshold) for s in scores], pa.int32()), "spans": pa.array(spans, kind)}
             yield pa.RecordBatch.from_pydict(columns)
+        del memory
+        common.tidy()
 
     return docs.mapInArrow(run, schema)
 
