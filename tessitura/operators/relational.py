@@ -94,9 +94,3 @@ def role_weighted(notes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Notes whose confidence reaches the threshold over their role's weight."""
     weight = F.expr("CASE role WHEN 'melody' THEN 1.0D WHEN 'chord' THEN 1.5D WHEN 'bass' THEN 0.7D WHEN 'unknown' THEN 0.8D ELSE 1.0D END")
     return notes.where(F.col("confidence") >= F.lit(threshold) / weight)
-
-
-def chord_weights(notes: DataFrame) -> DataFrame:
-    """Per segment the weighted pitch classes and the strongest bass note."""
-    weight = F.sum(F.when(F.col("role") == "chord", F.col("amp") * F.col("confidence")))
-    return notes.groupBy("track_id", "start_us", "end_us", F.pmod("midi", F.lit(12)).alias("pc")).agg(weight.alias("weight"))

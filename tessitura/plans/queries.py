@@ -16,7 +16,7 @@ DET = """det AS (SELECT event_id, user_id % 16 AS track_id, (epoch_us(ts) - 1704
   36 + (cast(json_extract_string(props, '$.k') AS int) % 48) AS midi, cast(json_extract_string(props, '$.k') AS int) AS k, value AS amp, ((event_id * 7919) % 1000) / 1000.0::DOUBLE AS confidence,
   CASE event_type WHEN 'click' THEN 'melody' WHEN 'view' THEN 'chord' WHEN 'purchase' THEN 'bass' WHEN 'signup' THEN 'onset' ELSE 'unknown' END AS role FROM events)"""
 NAMES = "['C','C#','D','D#','E','F','F#','G','G#','A','A#','B']"
-PITCH = "p AS (SELECT l_orderkey AS set_id, (48 + l_partkey % 36)::INT AS midi FROM lineitem), s AS (SELECT set_id, list_sort(list_distinct(list(midi % 12))) AS pcs, min(midi) % 12 AS low, count(*) AS n FROM p GROUP BY set_id)"
+PITCH = "p AS (SELECT l_orderkey AS set_id, (48 + l_partkey % 36)::INT AS midi FROM lineitem), s AS (SELECT set_id, list_sort(list_distinct(list(midi % 12))) AS pcs, min(midi) % 12 AS low, count(*) AS n FROM p GROUP BY set_id), lw AS (SELECT set_id, midi % 12 AS r, min(midi) AS low_midi FROM p GROUP BY ALL)"
 QUERIES, ORACLE_SQL = {}, {}
 
 
@@ -70,17 +70,21 @@ def tempo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpm.select("bpm", F.array_join(scalars.tempo_octaves(F.col("bpm"), 60, 160).cast("array<string>"), " ").alias("tempi"))
 
 
+#: Roots are tried from the lowest note up.
+OWN = "SELECT * FROM s JOIN lw USING (set_id)"
+
+
 def _matched(templates: dict[str, list[int]], bonus: dict[str, float], score: str, roots: str) -> str:
     rows = ", ".join(f"({k}, '{q}', {sorted({x % 12 for x in pcs})}, {bonus.get(q, 0.0)}::DOUBLE)" for k, (q, pcs) in enumerate(templates.items()))
-    return f"""WITH {PITCH}, t(ord, quality, tp, bonus) AS (VALUES {rows}), r AS (SELECT *, unnest({roots}) AS r FROM s),
+    return f"""WITH {PITCH}, t(ord, quality, tp, bonus) AS (VALUES {rows}), r AS ({roots}),
   c AS (SELECT *, list_transform(tp, lambda x: (x + r) % 12) AS here FROM r, t), m AS (SELECT *, len(list_intersect(here, pcs)) AS matched FROM c),
-  k AS (SELECT *, {score} AS score FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY score DESC, r, ord) AS place FROM k) """
+  k AS (SELECT *, {score} AS score FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY score DESC, low_midi, ord) AS place FROM k) """
 
 
 _NAME = f"CASE WHEN n >= 2 AND score > 0.3 THEN {NAMES}[r + 1] || CASE quality WHEN 'maj' THEN '' WHEN 'min' THEN 'm' ELSE quality END END AS name, CASE WHEN n >= 2 AND score > 0.3 THEN round(score, 4) END AS score"
 
 
-@query(_matched(harmony.SHORT_TEMPLATES, harmony.SHORT_BONUS, "CASE WHEN matched >= 2 THEN matched::DOUBLE / len(tp) + CASE WHEN r = low THEN 0.15::DOUBLE ELSE 0 END + bonus ELSE 0 END", "pcs") + f"SELECT set_id, {_NAME} FROM b WHERE place = 1")
+@query(_matched(harmony.SHORT_TEMPLATES, harmony.SHORT_BONUS, "CASE WHEN matched >= 2 THEN matched::DOUBLE / len(tp) + CASE WHEN r = low THEN 0.15::DOUBLE ELSE 0 END + bonus ELSE 0 END", OWN) + f"SELECT set_id, {_NAME} FROM b WHERE place = 1")
 def chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = harmony.chord(adapters.pitch_sets(spark, sf_dir), "midis", "c")
     return found.select("set_id", "c.name", F.round("c.score", 4).alias("score"))
@@ -88,13 +92,13 @@ def chords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_matched(harmony.FULL_TEMPLATES, harmony.FULL_BONUS, """CASE WHEN matched >= 2 THEN greatest(0.0::DOUBLE, matched::DOUBLE / len(tp)
   - (coalesce(list_sum(list_transform(list_filter(tp, lambda x: NOT list_contains(pcs, (x + r) % 12)), lambda x: CASE WHEN x = 7 THEN 10 WHEN x IN (0, 3, 4) THEN 40 ELSE 20 END)), 0)
-   + coalesce(list_sum(list_transform(list_filter(pcs, lambda x: NOT list_contains(here, x)), lambda x: CASE WHEN (x - r + 12) % 12 IN (2, 5, 9) THEN 5 ELSE 10 END)), 0))::DOUBLE / 100.0::DOUBLE) + CASE WHEN r = low THEN 0.15::DOUBLE ELSE 0 END + bonus ELSE 0 END""", "pcs") + f"SELECT set_id, {_NAME} FROM b WHERE place = 1")
+   + coalesce(list_sum(list_transform(list_filter(pcs, lambda x: NOT list_contains(here, x)), lambda x: CASE WHEN (x - r + 12) % 12 IN (2, 5, 9) THEN 5 ELSE 10 END)), 0))::DOUBLE / 100.0::DOUBLE) + CASE WHEN r = low THEN 0.15::DOUBLE ELSE 0 END + bonus ELSE 0 END""", OWN) + f"SELECT set_id, {_NAME} FROM b WHERE place = 1")
 def strict_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = harmony.strict_chord(adapters.pitch_sets(spark, sf_dir), "midis", "c")
     return found.select("set_id", "c.name", F.round("c.score", 4).alias("score"))
 
 
-@query(_matched(harmony.ROOT_TEMPLATES, {}, "(matched * 10 - (len(pcs) - matched) * 3 + CASE WHEN list_contains(pcs, r) THEN 5 ELSE 0 END + CASE WHEN ord < 2 THEN 2 ELSE 0 END)::DOUBLE / 10.0::DOUBLE", "range(12)") + "SELECT set_id, r::INT AS root, quality AS type, round(score / (len(pcs) + 1), 4) AS confidence FROM b WHERE place = 1")
+@query(_matched(harmony.ROOT_TEMPLATES, {}, "(matched * 10 - (len(pcs) - matched) * 3 + CASE WHEN list_contains(pcs, r) THEN 5 ELSE 0 END + CASE WHEN ord < 2 THEN 2 ELSE 0 END)::DOUBLE / 10.0::DOUBLE", "SELECT *, unnest(range(12)) AS r, unnest(range(12)) AS low_midi FROM s") + "SELECT set_id, r::INT AS root, quality AS type, round(score / (len(pcs) + 1), 4) AS confidence FROM b WHERE place = 1")
 def chord_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = harmony.chord_root(adapters.pitch_sets(spark, sf_dir), "midis")
     return found.select("set_id", "root", "type", F.round("confidence", 4).alias("confidence"))
@@ -125,8 +129,9 @@ CHORDS = f"""w AS (SELECT track_id, start_us, end_us, midi, role, amp * confiden
   p AS (SELECT track_id, start_us, 60 + pc AS midi FROM top UNION ALL SELECT track_id, start_us, midi FROM bs),
   s AS (SELECT track_id, start_us, list_sort(list_distinct(list(midi % 12))) AS pcs, min(midi) % 12 AS low, count(*) AS n FROM p GROUP BY ALL),
   t(ord, quality, tp, bonus) AS (VALUES {", ".join(f"({k}, '{q}', {sorted({x % 12 for x in v})}, {harmony.SHORT_BONUS.get(q, 0.0)}::DOUBLE)" for k, (q, v) in enumerate(harmony.SHORT_TEMPLATES.items()))}),
-  c AS (SELECT *, len(list_intersect(list_transform(tp, lambda x: (x + r) % 12), pcs)) AS matched FROM (SELECT *, unnest(pcs) AS r FROM s), t),
-  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, start_us ORDER BY score DESC, r, ord) AS place FROM (SELECT *, CASE WHEN matched >= 2 THEN matched::DOUBLE / len(tp) + CASE WHEN r = low THEN 0.15::DOUBLE ELSE 0 END + bonus ELSE 0 END AS score FROM c)) WHERE place = 1)"""
+  lw AS (SELECT track_id, start_us, midi % 12 AS r, min(midi) AS low_midi FROM p GROUP BY ALL),
+  c AS (SELECT *, len(list_intersect(list_transform(tp, lambda x: (x + r) % 12), pcs)) AS matched FROM (SELECT * FROM s JOIN lw USING (track_id, start_us)), t),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, start_us ORDER BY score DESC, low_midi, ord) AS place FROM (SELECT *, CASE WHEN matched >= 2 THEN matched::DOUBLE / len(tp) + CASE WHEN r = low THEN 0.15::DOUBLE ELSE 0 END + bonus ELSE 0 END AS score FROM c)) WHERE place = 1)"""
 
 
 @query(f"WITH {DET}, {SEGMENTS}, {CHORDS} SELECT seg.track_id, seg.start_us, seg.end_us, CASE WHEN n >= 2 AND score > 0.3 THEN {NAMES}[r + 1] || CASE quality WHEN 'maj' THEN '' WHEN 'min' THEN 'm' ELSE quality END ELSE 'N.C.' END AS chord, bs.midi AS bass, CASE WHEN n >= 2 AND score > 0.3 THEN round(score, 4) ELSE 0 END AS score FROM seg LEFT JOIN b USING (track_id, start_us) LEFT JOIN bs USING (track_id, start_us)")

@@ -34,6 +34,7 @@ def test_query_equals_its_sql(spark, db, name):
     ([60, 64, 67], "C", "C"), ([60, 63, 67], "Cm", "Cm"), ([60, 64, 67, 71], "Cmaj7", "C"), ([60, 64, 67, 70], "C7", "C"), ([60, 63, 67, 70], "Cmin7", "Cm"),
     ([62, 65, 69], "Dm", "Dm"), ([67, 71, 74, 77], "G7", "G"), ([60, 65, 67], "Csus4", "C5"), ([60, 62, 67], "Csus2", "C5"), ([60, 64, 68], "Caug", "Caug"),
     ([60, 63, 66], "Cdim", "Cdim"), ([60, 64, 67, 69], "C", "C"), ([60, 64, 67, 70, 74], "C7", "C"), ([57, 60, 64, 67], "Amin7", "Am"), ([60], None, None),
+    ([], None, None), (None, None, None), ([None, 60, 64, 67], "C", "C"), ([49, 50, 71, 78, 79], "Gmaj7", "Bm"),
 ])
 def test_chord_names(spark, midis, strict, plain):
     rows = spark.createDataFrame([(midis,)], "midis array<int>")
