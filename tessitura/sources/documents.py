@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.functions import scalars
+
 # Column -> (first character from 1, width); the last column takes the rest.
 LAYOUT = {"position": (1, 10), "time": (12, 8), "chord": (21, 10), "bass": (32, 8)}
 MELODY_AT = 41
@@ -50,3 +52,26 @@ def write_json(rows: DataFrame, path: str) -> None:
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines by a stated schema: fields that a line lacks are null, lines that are no JSON are all null."""
     return spark.read.schema(schema).json(path)
+
+
+NOTE = "event_id: long, midi: int, name: string, start: double, duration: double, duration_beats: double, velocity: double, role: string"
+DOCUMENT = f"metadata struct<track_id: long, bpm: double, time_signature: string, num_notes: long>, note_events array<struct<{NOTE}>>"
+
+
+def event_documents(events: DataFrame, bpm: float, per_bar: int = 4) -> DataFrame:
+    """track_id and json: a document for each track, with its notes by start, then from the highest down; numbers have three digits after the point.
+
+    A track is one document, as its readers take it; without events there is none.
+    """
+    beats = F.col("dur_us") / F.lit(60e6 / bpm)
+    note = F.struct("event_id", "midi", scalars.note_name(F.col("midi")).alias("name"), F.bround(F.col("start_us") / 1e6, 3).alias("start"), F.bround(F.col("dur_us") / 1e6, 3).alias("duration"), F.bround(beats, 3).alias("duration_beats"), F.bround("velocity", 3).alias("velocity"), "role")
+    order = F.struct("start_us", (-F.col("midi")).alias("high"), F.col("event_id").alias("id"), note.alias("note"))
+    rows = events.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["note"]).alias("note_events"))
+    metadata = F.struct("track_id", F.lit(bpm).alias("bpm"), F.lit(f"{per_bar}/4").alias("time_signature"), F.size("note_events").cast("long").alias("num_notes"))
+    return rows.select("track_id", F.to_json(F.struct(metadata.alias("metadata"), "note_events")).alias("json"))
+
+
+def events_of_documents(docs: DataFrame, column: str = "json") -> DataFrame:
+    """The notes of such documents, with their metadata; what can't be read gives no row."""
+    rows = docs.select(F.from_json(column, DOCUMENT).alias("d")).select("d.metadata.*", F.explode("d.note_events").alias("note"))
+    return rows.select("track_id", "bpm", "time_signature", "note.*")
