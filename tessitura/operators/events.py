@@ -95,8 +95,9 @@ def attacks(notes: DataFrame, segments: DataFrame, share: float = 0.1) -> DataFr
 
 
 def bar_lines(events: DataFrame, name: Column) -> DataFrame:
-    """Events (with place, bar, beat, beats) as lines of text; the first of a bar but the first has an empty line before it."""
-    line = F.format_string("%-6d %-8.2f %-6.2f %-8s %-8s %.2f", "bar", "beat", "beats", name, "role", "velocity")
+    """Events (with place, bar, beat, beats) as lines of text, of two digits, halves up; the first of a bar but the first has an empty line before it."""
+    two = lambda c: F.floor(F.col(c) * 100 + 0.5) / F.lit(100.0)
+    line = F.format_string("%-6d %-8.2f %-6.2f %-8s %-8s %.2f", "bar", two("beat"), two("beats"), name, "role", two("velocity"))
     events = events.withColumn("_before", F.lag("bar").over(W.partitionBy("track_id").orderBy("place")))
     before = F.col("_before")
     lines = F.when(F.coalesce((before != F.col("bar")) & (before > 0), F.lit(False)), F.array(F.lit(""), line)).otherwise(F.array(line))

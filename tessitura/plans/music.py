@@ -128,7 +128,7 @@ LINES = f"""WITH {EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY track
   b AS (SELECT *, floor(pos / 4)::INT + 1 AS bar, fmod(pos, 4.0::DOUBLE) + 1 AS beat, lag(floor(pos / 4)::INT + 1) OVER (PARTITION BY track_id ORDER BY place) AS last FROM o),"""
 
 
-@query(f"""{LINES} l AS (SELECT track_id, place, bar <> last AND last > 0 AS gap, printf('%-6d %-8.2f %-6.2f %-8s %-8s %.2f', bar, beat, dur_us / {BEAT}, {NAMES}[midi % 12 + 1] || (midi // 12 - 1)::VARCHAR, role, velocity) AS line FROM b)
+@query(f"""{LINES} l AS (SELECT track_id, place, bar <> last AND last > 0 AS gap, printf('%-6d %-8.2f %-6.2f %-8s %-8s %.2f', bar, floor(beat * 100 + 0.5) / 100, floor(dur_us / {BEAT} * 100 + 0.5) / 100, {NAMES}[midi % 12 + 1] || (midi // 12 - 1)::VARCHAR, role, floor(velocity * 100 + 0.5) / 100) AS line FROM b)
 SELECT track_id, place::INT AS place, 0 AS part, CASE WHEN gap THEN '' ELSE line END AS line FROM l UNION ALL SELECT track_id, place, 1, line FROM l WHERE gap""")
 def fused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines of text, bars apart."""
@@ -146,7 +146,7 @@ def fused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT track_id, bpm, first_us, bar_alignment, coalesce(covered, 0) / bars AS bar_coverage, beat_alignment,
     greatest(0, 1 - 3 * CASE WHEN bpm < 70 THEN (70 - bpm) / 70 WHEN bpm > 130 THEN (bpm - 130) / 130 ELSE 0 END)::DOUBLE AS bpm_preference FROM a LEFT JOIN c USING (track_id, bpm, first_us)),
   t AS (SELECT *, 0.3::DOUBLE * bar_alignment + 0.2::DOUBLE * bar_coverage + 0.15::DOUBLE * beat_alignment + 0.35::DOUBLE * bpm_preference AS total FROM s)
-SELECT track_id, bpm, first_us, round(bar_alignment, 5) AS bar_alignment, round(bar_coverage, 5) AS bar_coverage, round(beat_alignment, 5) AS beat_alignment, round(bpm_preference, 5) AS bpm_preference, round(total, 5) AS total,
+SELECT track_id, bpm, first_us, round(bar_alignment, 11) AS bar_alignment, round(bar_coverage, 11) AS bar_coverage, round(beat_alignment, 11) AS beat_alignment, round(bpm_preference, 11) AS bpm_preference, round(total, 11) AS total,
   row_number() OVER (PARTITION BY track_id ORDER BY round(total, 9) DESC, bpm, first_us) = 1 AS best FROM t""")
 def grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of 24 beat grids for each track, and which is the best."""
@@ -156,7 +156,7 @@ def grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = grid.scores(onsets, grids, SPAN_US)
     top = grid.best(scored).select("track_id", "bpm", "first_us", F.lit(True).alias("best"))
     out = scored.join(top, ["track_id", "bpm", "first_us"], "left")
-    return out.select("track_id", "bpm", "first_us", *[F.round(c, 5).alias(c) for c in (*grid.WEIGHTS, "total")], F.coalesce("best", F.lit(False)).alias("best"))
+    return out.select("track_id", "bpm", "first_us", *[F.round(c, 11).alias(c) for c in (*grid.WEIGHTS, "total")], F.coalesce("best", F.lit(False)).alias("best"))
 
 
 GAPS = f"{DET}, g AS (SELECT * FROM (SELECT track_id, lead(t_us) OVER (PARTITION BY track_id ORDER BY t_us) - t_us AS gap FROM det WHERE role = 'onset') WHERE gap IS NOT NULL)"
