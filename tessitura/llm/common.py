@@ -23,8 +23,9 @@ BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of a folder; also bounds the session's Arrow batches by bytes."""
+    """A table of a folder; also bounds the session's batches, which else hold thousands of long texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -259,7 +260,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(16 << 20)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

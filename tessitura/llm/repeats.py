@@ -292,8 +292,8 @@ class Finder:
         """The maximal repeats through the anchors of spans(): name of the group, length, id, row and start of each occurrence."""
         return self.contexts.mapInArrow(_by_anchor(self.k, _groups), "name long, length int, id long, row long, start long")
 
-    def result(self, docs: DataFrame) -> DataFrame:
-        """docs with _spans (packed pairs of offsets of what is removed, or null) and _copy (of an earlier whole text).
+    def result(self, docs: DataFrame, fn, schema) -> DataFrame:
+        """What fn makes of Arrow batches of docs and _spans (packed pairs of offsets of what is removed, or null) and _copy (of an earlier whole text).
 
         Only texts that lose something are shuffled: a bitmap of their ids lets the others pass.
         """
@@ -305,16 +305,21 @@ class Finder:
         marks = spans.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_spans", F.lit(False).alias("_copy")).unionByName(copies)
         marks = common.stored(marks.groupBy("_id", "_row").agg(F.first("_spans", ignorenulls=True).alias("_spans"), F.max("_copy").alias("_copy")))
         losing = self.bitmap(marks.select("_id"))
+        known = docs.withColumn("_id", self.ids["id"])
 
-        @F.arrow_udf("boolean")
-        def loses(ids: pa.Array) -> pa.Array:
-            return pa.array(in_bitmap(losing.value, ids.to_numpy(zero_copy_only=False)))
+        def part(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = in_bitmap(losing.value, batch.column(batch.num_columns - 1).to_numpy())
+                yield batch.filter(pa.array(hit == wanted))
 
-        known = docs.withColumns({"_id": self.ids["id"], "_row": self.ids["row"]}).withColumn("_loses", loses("_id"))
-        names = [F.col(f"`{c}`") for c in docs.columns]
-        rest = known.where("not _loses").select(*names, F.lit(None).cast("binary").alias("_spans"), F.lit(False).alias("_copy"))
-        some = known.where("_loses").drop("_loses").join(marks, ["_id", "_row"], "left")
-        return rest.unionByName(some.select(*names, "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy")))
+        def unmarked(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [*batch.columns[:-1], pa.nulls(len(batch), pa.binary()), pa.array(np.zeros(len(batch), bool))]
+            return pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "_spans", "_copy"])
+
+        rest = known.mapInArrow(lambda batches: fn(map(unmarked, part(batches, False))), schema)
+        some = known.mapInArrow(lambda batches: part(batches, True), known.schema).withColumn("_row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        some = some.join(marks, ["_id", "_row"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy"))
+        return rest.unionByName(some.mapInArrow(fn, schema))
 
 
 def _by_anchor(k: int, what):
@@ -427,27 +432,25 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 
 def digests(docs: DataFrame, k: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    marked = Finder(docs, k).result(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, raw, packed, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = raw or b""
+            for doc, text, packed, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = (text or "").encode("utf-8", "replace")
                 spans = pairs_of(packed, copy, len(raw), k)
                 out.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes(), "_spans", "_copy"]
-    return marked.select(*columns).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return Finder(rows, k).result(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut(docs: DataFrame, k: int = 100) -> DataFrame:
-    """docs with texts less what repeats, in whole characters; texts of which nothing is left are dropped."""
+    """docs with texts less what repeats, in whole characters; texts of which nothing is left are dropped. Columns named _id, _row, _spans and _copy are not allowed."""
     names, schema = docs.columns, docs.schema
-    marked = Finder(docs, k).result(docs)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -463,7 +466,7 @@ def cut(docs: DataFrame, k: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array(there, pa.bool_()))
         common.tidy()
 
-    out = marked.mapInArrow(run, schema)
+    out = Finder(docs, k).result(docs, run, schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out
 
 
