@@ -138,7 +138,7 @@ def fused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.bar_lines(rows, scalars.note_name(F.col("midi")))
 
 
-@query(f"""WITH {DET}, o AS (SELECT track_id, t_us FROM det WHERE role = 'onset'), g AS (SELECT unnest([50, 60, 67, 80, 100, 120, 134, 160])::DOUBLE AS bpm), f AS (SELECT unnest([0, 250000, 500000])::BIGINT AS first_us),
+@query(f"""WITH {DET}, o AS (SELECT track_id, t_us FROM det WHERE role = 'onset'), g AS (SELECT unnest([53, 61, 67, 79, 101, 113, 131, 151])::DOUBLE AS bpm), f AS (SELECT unnest([0, 250000, 500000])::BIGINT AS first_us),
   x AS (SELECT *, (t_us - first_us) / (60e6::DOUBLE / bpm) AS beat FROM o, g, f), y AS (SELECT *, abs(beat - round_even(beat / 4, 0) * 4) AS far, greatest(1, floor(300 / (240 / bpm)))::INT AS bars FROM x),
   a AS (SELECT track_id, bpm, first_us, bars, avg(CASE WHEN far < 0.3 THEN 1 WHEN far < 0.6 THEN 0.7::DOUBLE WHEN abs(far - 2) < 0.3 THEN 0.5 ELSE 0 END::DOUBLE) AS bar_alignment,
     greatest(0, 1 - 2 * avg(abs(beat - round_even(beat * 2, 0) / 2))) AS beat_alignment FROM y GROUP BY ALL),
@@ -146,17 +146,17 @@ def fused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT track_id, bpm, first_us, bar_alignment, coalesce(covered, 0) / bars AS bar_coverage, beat_alignment,
     greatest(0, 1 - 3 * CASE WHEN bpm < 70 THEN (70 - bpm) / 70 WHEN bpm > 130 THEN (bpm - 130) / 130 ELSE 0 END)::DOUBLE AS bpm_preference FROM a LEFT JOIN c USING (track_id, bpm, first_us)),
   t AS (SELECT *, 0.3::DOUBLE * bar_alignment + 0.2::DOUBLE * bar_coverage + 0.15::DOUBLE * beat_alignment + 0.35::DOUBLE * bpm_preference AS total FROM s)
-SELECT track_id, bpm, first_us, round(bar_alignment, 11) AS bar_alignment, round(bar_coverage, 11) AS bar_coverage, round(beat_alignment, 11) AS beat_alignment, round(bpm_preference, 11) AS bpm_preference, round(total, 11) AS total,
+SELECT track_id, bpm, first_us, round(bar_alignment, 11) AS bar_alignment, round(bar_coverage, 11) AS bar_coverage, round(beat_alignment, 6) AS beat_alignment, round(bpm_preference, 11) AS bpm_preference, round(total, 6) AS total,
   row_number() OVER (PARTITION BY track_id ORDER BY round(total, 9) DESC, bpm, first_us) = 1 AS best FROM t""")
 def grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of 24 beat grids for each track, and which is the best."""
     onsets = _onsets(spark, sf_dir)
-    bpm = F.explode(F.array(*[F.lit(float(x)) for x in (50, 60, 67, 80, 100, 120, 134, 160)])).alias("bpm")
+    bpm = F.explode(F.array(*[F.lit(float(x)) for x in (53, 61, 67, 79, 101, 113, 131, 151)])).alias("bpm")
     grids = onsets.select("track_id").distinct().select("track_id", bpm).select("*", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 250_000, 500_000)])).alias("first_us"))
     scored = grid.scores(onsets, grids, SPAN_US)
     top = grid.best(scored).select("track_id", "bpm", "first_us", F.lit(True).alias("best"))
     out = scored.join(top, ["track_id", "bpm", "first_us"], "left")
-    return out.select("track_id", "bpm", "first_us", *[F.round(c, 11).alias(c) for c in (*grid.WEIGHTS, "total")], F.coalesce("best", F.lit(False)).alias("best"))
+    return out.select("track_id", "bpm", "first_us", *[F.round(c, 6 if c in ("beat_alignment", "total") else 11).alias(c) for c in (*grid.WEIGHTS, "total")], F.coalesce("best", F.lit(False)).alias("best"))
 
 
 GAPS = f"{DET}, g AS (SELECT * FROM (SELECT track_id, lead(t_us) OVER (PARTITION BY track_id ORDER BY t_us) - t_us AS gap FROM det WHERE role = 'onset') WHERE gap IS NOT NULL)"
