@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -272,3 +273,22 @@ def test_a_small_language_keeps_its_words(spark):
     found = [{r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in lang_id.predict(docs, lang_id.train(docs, least=least)).collect()} for least in (0.01, 1e-9, 2.0)]
     assert found[0] == found[1] == found[2] and len(found[0]) == len(rows) and found[0][901][0] == "bb"
     assert len(lang_id.gram_keys([b"a" * 200], 4)[0]) == 199
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese = "".join(chr(0x4E00 + 37 * i) for i in range(40))
+    sentence = "the quick brown fox jumps over the lazy dog while nine more animals look on in silence and wait for rain"
+    d = spark.createDataFrame([(1, "x" + chinese + "y"), (2, "so says Grace Hopper: yes"), (3, "gracehopper"), (4, "foreword " + sentence.replace("quick ", "") + " end"), (5, None), (6, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, chinese), (2, "Grace Hopper"), (3, sentence), (4, "?!"), (5, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["match_start"], r["match_end"]) for r in decontaminate.leaks(d, b, 0.07).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 3)} and got[1, 1] == (0, 1, 41) and got[2, 2][0] == 0
+    assert got[4, 3] == (6, 9, 9 + len(sentence) - 6)
+
+
+def test_search_goes_on_until_no_exchange_helps():
+    rng = random.Random(5)
+    counts = Counter(rng.randint(300, 1100) for _ in range(2000))
+    first = packing.best_fit(dict(counts), 2048)
+    after = packing.local_search(first, 2048)
+    assert sum((Counter({k: v * n for k, v in content}) for content, n in after.items()), Counter()) == counts
+    assert all(sum(k * v for k, v in content) <= 2048 for content in after) and sum(after.values()) < sum(first.values())
