@@ -6,8 +6,9 @@ content: of the 20-byte grams of every k-byte window the least by hash is its an
 equal windows have the same anchor at the same place. An anchor's context is the stretch
 of the windows that have it. Then, with nothing but anchors that occur more than once:
 
-1. equal contexts are grouped; all but the first are covered (a pre-aggregated minimum,
-   so a passage in very many documents is no hot group);
+1. equal contexts are grouped, in one packed shuffle by anchor; all but the first are
+   covered. A task sends on only the first of each that it has gathered, so a passage in
+   very many documents is no hot group;
 2. the different contexts of an anchor make an enhanced suffix array: suffixes from the
    anchor on in order, with the lengths of common prefixes. A stack scan gives its
    interval tree; at each interval the members are parted by their left extensions, whose
@@ -16,8 +17,10 @@ of the windows that have it. Then, with nothing but anchors that occur more than
 3. the contexts of an anchor with more than ``HOT`` are first split, by the bytes to the
    left of it and once more by those to its right: two that share k bytes around an anchor
    share half of what is beyond it on one side at least. Groups that are still too large are
-   split by half of what is left, until they share all k bytes, where all but the first are
-   covered (a pre-aggregated minimum). So no task gets more than ``HOT`` contexts at a time.
+   split by half of what is left, until they share all k bytes. At each step those that agree
+   in all that can still matter are one from there on: all but the first are covered (a
+   pre-aggregated minimum). So no task gets more than ``HOT`` contexts at a time, and what
+   agrees is not split again.
 
 Exact copies of a whole text are settled before that. Broadcast are bitmaps of at most
 ``2 ** MAX_BITS`` bits, which prune less where they fill up.
@@ -35,6 +38,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,6 +189,34 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 SPAN = "id long, row long, start long, end long"
+#: What is shuffled of an anchor's context: name, context, id, row, start and number of windows; and of a covered stretch.
+HEAD, STRETCH = ["<u8", "<u8", "<i8", "<i8", "<u4", "<u2"], ["<i8", "<i8", "<u4", "<u4"]
+#: Anchors that a task gathers before it sends the first of each context.
+GATHER = 200_000
+
+
+def _first_of_each(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of each name, context and number of windows, all that come after the first in the corpus) of columns as HEAD has them; repeated rows are one."""
+    name, context, id_, row, start, n = columns
+    order = np.lexsort((start, row, id_, n, context, name))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in (name, context, n):
+        new[1:] |= c[order][1:] != c[order][:-1]
+    first = order[new]
+    own = first[np.cumsum(new) - 1]
+    later = order[(id_[order] != id_[own]) | (row[order] != row[own]) | (start[order] != start[own])]
+    return first, later
+
+
+def _stretches(id_: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(id, row, start, end) of contexts, those of one text that touch as one; a text's contexts end in the order in which they start."""
+    order = np.lexsort((start, row, id_))
+    id_, row, start = id_[order], row[order], start[order].astype(np.int64)
+    end = start + n[order].astype(np.int64) - 1 + k
+    cut = np.ones(len(order), bool)
+    cut[1:] = (id_[1:] != id_[:-1]) | (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+    return id_[cut], row[cut], start[cut], end[np.append(cut[1:], True)] if len(end) else end
 
 
 class Finder:
@@ -195,7 +227,7 @@ class Finder:
         text = F.coalesce("text", F.lit(""))
         self.ids = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "row": F.xxhash64(text)}
         self.docs = docs.select(*[c.alias(n) for n, c in self.ids.items()], text.cast("binary").alias("text"))
-        size = common.total_bytes(docs)
+        self.size = size = common.total_bytes(docs)
         self.parts = common.parts_for(size)
         self.bits = max(self.parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
         same = docs.select(*[c.alias(n) for n, c in self.ids.items()], F.md5(text.cast("binary")).alias("same"))
@@ -223,30 +255,69 @@ class Finder:
         return self.shared(common.repeated(self.docs.mapInArrow(scatter, common.Scatter.SCHEMA), self.bits, log_p))
 
     def occurrences(self) -> DataFrame:
-        """The anchors that occur more than once: name, context, id, row, start (of the context) and n (windows)."""
+        """What the anchors that occur more than once tell: id, row, start and end of contexts that start earlier too, with no name; and of the first of each context of an anchor with several, with its name and m, their number.
+
+        One packed shuffle by anchor. A task sends only the first of each context that it has gathered; what it knows to be covered goes apart, dealt by text and joined to stretches.
+        """
         k, firsts, frequent = self.k, self.firsts, self.frequent()
+        parts = common.parts_for(self.size, least=16)
+
+        def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            heads, spans = common.Scatter(HEAD), common.Scatter(STRETCH)
+            held: list[list[np.ndarray]] = []
+
+            def given(at_end: bool) -> Iterator[pa.RecordBatch]:
+                if held:
+                    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    held.clear()
+                    first, later = _first_of_each(columns)
+                    name = columns[0][first]
+                    yield from sent(False, heads.add(common.mix(name) & np.uint64(parts - 1), *(c[first] for c in columns)))
+                    id_, row, start, end = _stretches(*(c[later] for c in columns[2:]), k)
+                    yield from sent(True, spans.add(common.mix(id_.view(np.uint64) ^ row.view(np.uint64)) & np.uint64(parts - 1), id_, row, start, end))
+                if at_end:
+                    yield from sent(False, heads.take())
+                    yield from sent(True, spans.take())
+
+            def sent(covered: bool, b: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+                if b is not None:
+                    yield pa.record_batch([*b.columns, pa.array(np.full(len(b), covered))], names=["p", "chunk", "covered"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for found, ids, rows, offsets in blocks(batches, k, firsts.value):
                 kept = np.flatnonzero(common.in_upper(frequent.value, found.name))
                 text = found.text[kept]
-                columns = [found.name[kept].view(np.int64), found.context[kept].view(np.int64), ids[text], rows[text], found.first[kept] + offsets[text], (found.last - found.first)[kept] + 1]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["name", "context", "id", "row", "start", "n"])
-
-        return self.docs.mapInArrow(run, "name long, context long, id long, row long, start long, n long")
+                held.append([found.name[kept], found.context[kept], ids[text], rows[text], found.first[kept] + offsets[text], (found.last - found.first)[kept] + 1])
+                if sum(len(x[0]) for x in held) >= GATHER:
+                    yield from given(False)
+            yield from given(True)
+
+        def settle(table: pa.Table) -> pa.Table:
+            chunk, covered = table.column("chunk"), table.column("covered")
+            known = common.gathered(chunk.filter(covered).to_pylist(), STRETCH)
+            columns = common.gathered(chunk.filter(pc.invert(covered)).to_pylist(), HEAD)
+            first, later = _first_of_each(columns)
+            more = _stretches(*(c[later] for c in columns[2:]), k)
+            name, _, id_, row, start, n = (c[first] for c in columns)
+            _, at, m = np.unique(name, return_inverse=True, return_counts=True)
+            some = np.flatnonzero(m[at] > 1)
+            start = start.astype(np.int64)
+            spans = [np.concatenate((x, y)).astype(np.int64) for x, y in zip(known, more, strict=True)]
+            heads = [id_[some], row[some], start[some], start[some] + n[some] - 1 + k]
+            none = pa.nulls(len(spans[0]), pa.int64())
+            names = [pa.concat_arrays([none, pa.array(x.view(np.int64))]) for x in (name[some], m[at[some]])]
+            return pa.table([*names, *(pa.array(np.concatenate((x, y)).astype(np.int64)) for x, y in zip(spans, heads, strict=True))], names=["name", "m", "id", "row", "start", "end"])
+
+        chunks = self.docs.mapInArrow(scatter, common.Scatter.SCHEMA + ", covered boolean")
+        return chunks.groupBy("p").applyInArrow(settle, "name long, m long, id long, row long, start long, end long")
 
     def spans(self) -> DataFrame:
         """SPAN rows of what is covered; they may overlap. Whole copies are not among them."""
         k, firsts = self.k, self.firsts
         found = common.stored(self.occurrences())
-        contexts = found.groupBy("name", "context", "n").agg(F.min(F.struct("id", "row", "start")).alias("head"))
-        contexts = common.stored(contexts)
-        later = found.join(contexts.select("context", "head"), "context").where(F.struct("id", "row", "start") > F.col("head"))
-        later = later.select("id", "row", "start", (F.col("start") + F.col("n") - 1 + k).alias("end"))
-        several = common.stored(contexts.groupBy("name").agg(F.count("*").alias("m")).where("m > 1"))
-        many = several.where(F.col("m") > HOT).select("name")
+        later = found.where("name is null").select("id", "row", "start", "end")
+        heads = found.where("name is not null")
+        many = heads.where(F.col("m") > HOT).select("name").distinct()
         any_hot, hot = not many.isEmpty(), self.bitmap(many)
-        heads = contexts.join(several, "name", "left_semi").select("name", "head.*")
         places = self.bitmap(heads.select(F.expr("id ^ row ^ (start * 1000003)").alias("place")))
 
         def take(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -258,35 +329,42 @@ class Finder:
                 yield pa.record_batch([pa.array(in_bitmap(hot.value, name)), pa.array(name), pa.array(id_[at]), pa.array(row[at]), pa.array(start[at]), pa.array(left), pa.array(raw, pa.binary())], names=["many", "name", "id", "row", "start", "left", "raw"])
 
         taken = common.stored(self.docs.mapInArrow(take, "many boolean, name long, id long, row long, start long, left int, raw binary"))
-        small, last = taken.where("not many").drop("many"), None
+        small = taken.where("not many").drop("many")
         if any_hot:
-            more, last = self.split(taken.where("many").drop("many", "name"))
-            small = small.unionByName(more)
-        self.contexts = small.repartition("name").sortWithinPartitions("name", "id", "row", "start")
-        out = later.unionByName(self.contexts.mapInArrow(_by_anchor(k, _covered), SPAN))
-        return out if last is None else out.unionByName(last)
-
-    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(contexts by groups of at most HOT, spans of those that share k bytes) of contexts of anchors that have too many."""
-        columns, left = ["id", "row", "start", "left", "raw"], self.k - GRAM
-        rows, small = rows.withColumns({"l": F.lit(0), "r": F.lit(0)}), None
-        while left:
-            step = (left + 1) // 2
-            left -= step
+            for more, covered in self.split(taken.where("many").drop("many", "name")):
+                small, later = small if more is None else small.unionByName(more), later.unionByName(covered)
+        self.contexts = small.repartition("name").sortWithinPartitions("name", "id", "row", F.expr("start + left"))
+        return later.unionByName(self.contexts.mapInArrow(_by_anchor(k, _covered), SPAN))
+
+    def split(self, rows: DataFrame) -> Iterator[tuple[DataFrame | None, DataFrame]]:
+        """Of contexts of anchors that have too many, step by step: (contexts by groups of at most HOT, or None; spans that are settled).
+
+        A group that shares l bytes to the left of its anchor and r to the right has, with
+        ``rest`` bytes left to share, no use for more than l + rest and r + rest. Those that
+        agree in that are one from there on; all but the first are covered.
+        """
+        columns, alike, rest = ["id", "row", "start", "left", "raw"], ["l", "r", "left", "raw"], self.k - GRAM
+        rows = rows.withColumns({"l": F.lit(0), "r": F.lit(0)})
+        while rest:
+            step = (rest + 1) // 2
+            rest -= step
             sides = F.explode(F.array(F.struct((F.col("l") + step).alias("l"), "r"), F.struct("l", (F.col("r") + step).alias("r"))))
             rows = rows.select(*columns, sides.alias("to")).select(*columns, "to.*").where(f"left >= l and octet_length(raw) >= left + {GRAM} + r")
-            rows = rows.distinct().withColumn("name", F.xxhash64("l", "r", F.expr(f"substring(raw, left - l + 1, l + {GRAM} + r)")))
-            n = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-            rows = common.stored(rows.join(n, "name"))
-            if left:
-                few = rows.where(F.col("n") <= HOT).select("name", *columns)
-                small = few if small is None else small.unionByName(few)
-                rows = rows.where(F.col("n") > HOT).drop("n", "name")
-        place = (F.col("start") + F.col("left") - F.col("l")).alias("place")
-        rows = rows.select("name", "id", "row", place)
-        head = rows.groupBy("name").agg(F.min(F.struct("id", "row", "place")).alias("head"))
-        rows = rows.join(head, "name").where(F.struct("id", "row", "place") > F.col("head"))
-        return small, rows.select("id", "row", F.col("place").alias("start"), (F.col("place") + self.k).alias("end"))
+            rows = rows.selectExpr("*", f"greatest(0, left - l - {rest}) as low", f"least(octet_length(raw), left + {GRAM} + r + {rest}) as high").where(f"high - low >= {self.k}")
+            rows = common.stored(rows.selectExpr("id", "row", "start + low as start", "left - low as left", "substring(raw, low + 1, high - low) as raw", "l", "r"))
+            heads = common.stored(rows.groupBy(*alike).agg(F.min(F.struct("id", "row", "start")).alias("head")))
+            covered = rows.join(heads, alike).where(F.struct("id", "row", "start") > F.col("head"))
+            covered = covered.selectExpr("id", "row", "start", "start + octet_length(raw) as end")
+            if not rest:
+                yield None, covered
+                return
+            heads = heads.select("head.*", *alike).withColumn("name", F.xxhash64("l", "r", F.expr(f"substring(raw, left - l + 1, l + {GRAM} + r)")))
+            n = heads.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+            rows = common.stored(heads.join(n, "name"))
+            yield rows.where(F.col("n") <= HOT).select("name", *columns), covered
+            rows = rows.where(F.col("n") > HOT).drop("n", "name")
+            if rows.isEmpty():
+                return
 
     def groups(self) -> DataFrame:
         """The maximal repeats through the anchors of spans(): name of the group, length, id, row and start of each occurrence."""
