@@ -227,3 +227,23 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "embeddings"))
+
+
+#: By all pairs; for vectors without null components.
+SQL = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND isfinite(a.norm) AND isfinite(b.norm) AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+), reached AS (
+  SELECT vec_id, vec_id AS low FROM vectors
+  UNION
+  SELECT l.b, r.low FROM reached r JOIN links l ON l.a = r.vec_id
+), least AS (
+  SELECT vec_id, min(low) AS low FROM reached GROUP BY vec_id
+), degrees AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, low = vec_id AS kept FROM least LEFT JOIN degrees USING (vec_id)
+"""

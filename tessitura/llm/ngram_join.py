@@ -442,3 +442,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.read(spark, sf_dir, "documents"))
+
+
+#: By a plain self-join on all shingles; for tables without repeated doc_ids.
+SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lists AS MATERIALIZED (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS l FROM words
+), same AS (
+  SELECT doc_id, CASE WHEN len(l) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY l) END AS n_same FROM lists
+), sets AS MATERIALIZED (
+  SELECT doc_id, unnest(l) AS s FROM lists
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), edges AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT a AS doc_id, a AS low FROM edges
+  UNION
+  SELECT e.b, r.low FROM reached r JOIN edges e ON e.a = r.doc_id
+), least AS (
+  SELECT doc_id, min(low) AS low FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.low, d.doc_id) AS component_id, n_same::BIGINT AS n_same
+FROM same d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_language_id": lang_id.op10_language_id,
 }
 #: Where SQL can express a query.
-ORACLE_SQL = {"op5_warc_derivatives": warc.SQL, "op6_url_filters": url_filters.SQL}
+ORACLE_SQL = {
+    "op3_ngram_jaccard_join": ngram_join.SQL,
+    "op5_warc_derivatives": warc.SQL,
+    "op6_url_filters": url_filters.SQL,
+    "op8_embedding_near_dedup": embeddings.SQL,
+}
