@@ -214,7 +214,7 @@ def repeated(chunks: DataFrame, bits: int, log_p: int) -> np.ndarray:
         return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
 
     out, each = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - log_p - 3)
-    for r in chunks.groupBy("p").applyInArrow(several, "p int, bits binary").toLocalIterator():
+    for r in chunks.groupBy("p").applyInArrow(several, "p int, bits binary").collect():  # 2 ** bits bits in all
         out[r["p"] * each : (r["p"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -266,6 +266,13 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df stored; the shuffles that went before are cleared from the disks."""
+    df = stored(df)
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes what stored() wrote, of tables that no later result reads."""
     for df in tables:

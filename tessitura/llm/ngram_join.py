@@ -98,7 +98,7 @@ def bitmap_of(ids: DataFrame, bits: int = MAX_BITS) -> np.ndarray:
         return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([seen.tobytes()], pa.binary())})
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in ids.where(F.col(ids.columns[0]).isNotNull()).mapInArrow(run, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary").toLocalIterator():
+    for r in ids.where(F.col(ids.columns[0]).isNotNull()).mapInArrow(run, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary").collect():  # as many bits in all
         out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 

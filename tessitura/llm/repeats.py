@@ -43,9 +43,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm import common
-from tessitura.llm.ngram_join import MAX_BITS, bitmap_of, in_bitmap
+from tessitura.llm.ngram_join import bitmap_of, in_bitmap
 
 GRAM = 20
+MAX_BITS = 27
 #: Bytes that are worked on at a time; places within take 20 bits at most.
 BLOCK = 1 << 19
 HOT = 1000
@@ -238,7 +239,7 @@ class Finder:
         return self.spark.sparkContext.broadcast(what)
 
     def bitmap(self, keys: DataFrame):
-        return self.shared(bitmap_of(keys, MAX_BITS))
+        return self.shared(bitmap_of(keys, self.bits))
 
     def frequent(self):
         """A bitmap of the anchors that occur more than once, by all documents."""
@@ -313,7 +314,7 @@ class Finder:
     def spans(self) -> DataFrame:
         """SPAN rows of what is covered; they may overlap. Whole copies are not among them."""
         k, firsts = self.k, self.firsts
-        found = common.stored(self.occurrences())
+        found = common.released(self.occurrences())
         later = found.where("name is null").select("id", "row", "start", "end")
         heads = found.where("name is not null")
         many = heads.where(F.col("m") > HOT).select("name").distinct()
@@ -375,7 +376,7 @@ class Finder:
 
         Only texts that lose something are shuffled: a bitmap of their ids lets the others pass.
         """
-        spans = common.stored(self.spans())
+        spans = common.released(self.spans())
         spans = spans.repartition("id", "row").sortWithinPartitions("id", "row", "start").mapInArrow(_packed, "id long, row long, _spans binary")
         low = self.same.groupBy("same").agg(F.min("id").alias("_low"), F.count("*").alias("n")).where("n > 1").select("same", "_low")
         copies = self.same.join(low, "same").where("id > _low").select("id", "row").distinct()

@@ -163,13 +163,6 @@ def _counted_grams(docs: DataFrame, n: int, parts: int, bits: int, seen: int, be
     return docs.mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "key long, context long, suffix long, times long")
 
 
-def _released(df: DataFrame) -> DataFrame:
-    """df stored; the shuffles that went before are cleared from the disks."""
-    df = common.stored(df)
-    df.sparkSession._jvm.System.gc()
-    return df
-
-
 class Tree:
     """The frequent n-grams of each level by sorted key: what they gain as pairs, what they leave to their suffix as contexts; and a bitmap of the others of two words and more."""
 
@@ -202,7 +195,7 @@ def train(docs: DataFrame, depth: int = 2, least: float = 1e-6, divergence: floa
     """By the rows of docs (doc_id, held_out, text as bytes) that are not held out: a tree, and the values (key, level, often, times, pair, left) of all its n-grams; times is null but for words."""
     spark = docs.sparkSession
     size = common.total_bytes(docs)
-    words = _released(_counted(docs, common.parts_for(size, 32 << 20, 16)))
+    words = common.released(_counted(docs, common.parts_for(size, 32 << 20, 16)))
     sums = words.agg(F.sum("times").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
     unit = float(np.log10(total + distinct + 1))
@@ -215,17 +208,17 @@ def train(docs: DataFrame, depth: int = 2, least: float = 1e-6, divergence: floa
         parts = common.parts_for(size, 16 << 20, 16)
         bits = max(parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
         grams = _counted_grams(docs, n, parts, bits, seen, below)
-        grams = _released(grams.join(level.select(F.col("key").alias("suffix"), F.col("logp").alias("before")), "suffix").drop("suffix"))
+        grams = common.released(grams.join(level.select(F.col("key").alias("suffix"), F.col("logp").alias("before")), "suffix").drop("suffix"))
         p0, ln = F.pow(lit(10.0), F.col("before")), float(np.log(10))
         far = F.sum(F.col("times") * (F.log("times") - F.col("before") * lit(ln))).alias("far")
         context = grams.groupBy("context").agg(F.sum("times").alias("kept"), F.sum(p0).alias("kept0"), far).join(level.select(F.col("key").alias("context"), F.col("times").alias("c")), "context")
         rest, rest0 = F.greatest(none, 1 - F.col("kept") / F.col("c")), F.greatest(lit(1e-12), 1 - F.col("kept0"))
         far = F.col("far") / F.col("c") - F.col("kept") / F.col("c") * F.log("c") + F.when(rest > 0, rest * F.log(rest / rest0)).otherwise(0.0)
         weight = F.when(far >= divergence, (F.col("c") * rest + mass) / (F.col("c") + mass))
-        context = _released(context.select("context", F.col("c").cast("long").alias("c"), weight.alias("weight")))
+        context = common.released(context.select("context", F.col("c").cast("long").alias("c"), weight.alias("weight")))
         p = F.when(F.col("weight").isNull(), p0).otherwise(F.col("times") / (F.col("c") + mass) + F.col("weight") * p0)
         left = F.log10(F.coalesce("weight", lit(1.0)))
-        level = _released(grams.join(context, "context").select("key", "times", F.log10(p).alias("logp"), (F.log10(p) - F.col("before") - left).alias("pair")))
+        level = common.released(grams.join(context, "context").select("key", "times", F.log10(p).alias("logp"), (F.log10(p) - F.col("before") - left).alias("pair")))
         common.dropped(grams)
         often = lit(None).cast("long")
         values.append(level.select("key", lit(n).alias("level"), F.col("times").alias("often"), often.alias("times"), "pair", none.alias("left")))
@@ -238,7 +231,7 @@ def train(docs: DataFrame, depth: int = 2, least: float = 1e-6, divergence: floa
     for more in values[1:]:
         table = table.unionByName(more)
     floor = max(1.0, least * total)
-    table = _released(table.where("times is not null or abs(pair) > 1e-12 or left <> 0"))  # the others change no score
+    table = common.released(table.where("times is not null or abs(pair) > 1e-12 or left <> 0"))  # the others change no score
     common.dropped(*kept)
     head = table.where(F.col("often") >= floor).toPandas()
     keys, pairs, lefts = [], [], []
@@ -253,7 +246,7 @@ def train(docs: DataFrame, depth: int = 2, least: float = 1e-6, divergence: floa
 
 
 def _row_key(doc: int | None, text: bytes | None) -> int:
-    return xxhash.xxh3_64_intdigest(text or b"", seed=(doc or 0) & 0xFFFFFFFFFFFFFFFF) 
+    return xxhash.xxh3_64_intdigest(text or b"", seed=(doc or 0) & 0xFFFFFFFFFFFFFFFF)
 
 
 def score(docs: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
@@ -314,7 +307,7 @@ def score(docs: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
     kept = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, logs double"
     texts = docs.mapInArrow(run, f"{kept}, p int, chunk binary").withColumn("learned", F.lit(False))
     learned = values.select("key", (F.col("pair") + F.col("left")).alias("value"), F.coalesce("times", F.lit(0)).alias("times")).mapInArrow(dealt, common.Scatter.SCHEMA).withColumn("learned", F.lit(True))
-    both = _released(texts.unionByName(learned, allowMissingColumns=True).groupBy("p").applyInArrow(look_up, kept))
+    both = common.released(texts.unionByName(learned, allowMissingColumns=True).groupBy("p").applyInArrow(look_up, kept))
     rows, rare = both.where("n_tokens is not null"), both.where("n_tokens is null").select("row", F.col("logs").alias("rare_logs"), F.col("base").alias("rare_base"), F.col("n_known").alias("rare_known"))
     rare = rare.groupBy("row").agg(F.sum("rare_logs").alias("rare_logs"), F.sum("rare_base").alias("rare_base"), F.sum("rare_known").alias("rare_known"))
     same = rows.groupBy("row").agg(F.count("*").alias("same"), F.sum(F.col("n_tokens") - F.col("n_known")).alias("rare"))
