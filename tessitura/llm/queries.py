@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, repeats, suffix_tree_lm, toxicity, url_filters, warc
+from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, repeats, suffix_tree_lm, toxicity, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
     "op9_toxicity_crf": toxicity.op9_toxicity_crf,
     "op10_language_id": lang_id.op10_language_id,
+    "op11_exponion_codes": vector_codes.op11_exponion_codes,
 }
 #: Where SQL can express a query.
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op5_warc_derivatives": warc.SQL,
     "op6_url_filters": url_filters.SQL,
     "op8_embedding_near_dedup": embeddings.SQL,
+    "op11_exponion_codes": vector_codes.SQL,
 }
