@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, repeats, suffix_tree_lm, toxicity, url_filters, vector_codes, warc
+from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, periodic_runs, repeats, suffix_tree_lm, toxicity, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity_crf": toxicity.op9_toxicity_crf,
     "op10_language_id": lang_id.op10_language_id,
     "op11_exponion_codes": vector_codes.op11_exponion_codes,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 #: Where SQL can express a query.
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_url_filters": url_filters.SQL,
     "op8_embedding_near_dedup": embeddings.SQL,
     "op11_exponion_codes": vector_codes.SQL,
+    "op12_periodic_runs": periodic_runs.SQL,
 }
