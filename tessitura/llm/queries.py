@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.llm import decontaminate, embeddings, lang_id, ngram_join, packing, periodic_runs, repeats, suffix_tree_lm, toxicity, url_filters, vector_codes, warc
+from tessitura.llm import decontaminate, differencing, embeddings, lang_id, ngram_join, packing, periodic_runs, repeats, suffix_tree_lm, toxicity, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": lang_id.op10_language_id,
     "op11_exponion_codes": vector_codes.op11_exponion_codes,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_differencing_packing": differencing.op13_differencing_packing,
 }
 #: Where SQL can express a query.
 ORACLE_SQL = {
