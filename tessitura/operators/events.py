@@ -48,13 +48,13 @@ def present(events: DataFrame, notes: DataFrame, slice_us: int) -> DataFrame:
     slices = notes.select("track_id", "slice_idx").distinct().withColumn("_there", F.lit(1))
     held = notes.select("track_id", "slice_idx", "midi", "role").distinct().withColumn("_held", F.lit(1))
     met = reach.join(slices, ["track_id", "slice_idx"]).join(held, ["track_id", "slice_idx", "midi", "role"], "left")
-    n = met.groupBy("event_id").agg(F.count("*").alias("total"), F.count("_held").alias("present"))
-    return events.join(n, "event_id", "left").fillna(0, ["total", "present"])
+    n = met.groupBy("track_id", "event_id").agg(F.count("*").alias("total"), F.count("_held").alias("present"))
+    return events.join(n, ["track_id", "event_id"], "left").fillna(0, ["total", "present"])
 
 
 def by_majority(events: DataFrame, beat_us: float, share: float = 0.4, least: int = 2) -> DataFrame:
     """Events of present() that enough of their slices hold; melody and short ones need less, and events without a slice stay."""
-    part = F.col("present") / F.col("total")
+    part = F.try_divide("present", "total")
     melody = (F.col("role") == "melody") & (part >= share * 0.5)
     short = (F.col("dur_us") / beat_us <= 0.5) & (F.col("present") >= 1)
     return events.where((F.col("total") == 0) | ((part >= share) & (F.col("present") >= least)) | melody | short)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.plans import music, queries
+from tessitura.plans import fusion, music, queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries.QUERIES | music.QUERIES
-ORACLE_SQL: dict[str, str] = queries.ORACLE_SQL | music.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries.QUERIES | music.QUERIES | fusion.QUERIES
+ORACLE_SQL: dict[str, str] = queries.ORACLE_SQL | music.ORACLE_SQL | fusion.ORACLE_SQL
 FLAGSHIP = queries.chord_segments
