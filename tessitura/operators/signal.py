@@ -22,6 +22,11 @@ def magnitudes(samples: Column, n: int = 64) -> Column:
     return F.array(*bins)
 
 
+def total(values: Column) -> Column:
+    """Sum of an array."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def energy(samples: Column) -> Column:
     return F.aggregate(samples, F.lit(0.0), lambda a, x: a + x * x)
 

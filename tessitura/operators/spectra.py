@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.operators import peaks as curve
+
 
 def window(kind: str, n: int) -> np.ndarray:
     """hann (periodic), hanning and hamming (symmetric)."""
@@ -29,32 +31,33 @@ def framed(signals: DataFrame, samples: str, size: int, hop: int) -> DataFrame:
     return rows.withColumn("frame", F.slice(samples, F.col("frame_idx") * hop + 1, size))
 
 
-def _each(df: DataFrame, column: str, into: str, fn) -> DataFrame:
-    """df with an array made of another by rows; fn(matrix of rows of equal length) -> matrix."""
+def each(df: DataFrame, column: str, into: str, fn, spark_type: str = "array<double>", kind: pa.DataType = pa.list_(pa.float64())) -> DataFrame:
+    """df with a column made of an array by rows; fn(matrix of rows of equal length) -> a value for each. Null and empty arrays give null."""
     df = df.drop(into)
     names = df.columns
     at = names.index(column)
-    schema = df.select("*", F.expr(f"cast(null as array<double>) as `{into}`")).schema
+    schema = df.select("*", F.expr(f"cast(null as {spark_type}) as `{into}`")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(at).to_pylist()
+            rows = batch.column(at)
+            flat = rows.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).astype(float)
+            lengths = rows.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
             out: list = [None] * len(rows)
-            lengths = np.array([-1 if r is None else len(r) for r in rows])
             for n in np.unique(lengths[lengths > 0]):
                 where = np.flatnonzero(lengths == n)
-                made = fn(np.array([[0.0 if x is None else x for x in rows[k]] for k in where], float))
-                for k, x in zip(where, made, strict=True):
-                    out[k] = x.tolist()
+                for k, x in zip(where, fn(flat[starts[where][:, None] + np.arange(n)]), strict=True):
+                    out[k] = x
             columns = [batch.column(k) for k in range(len(names))]
-            yield pa.record_batch([*columns, pa.array(out, pa.list_(pa.float64()))], names=[*names, into])
+            yield pa.record_batch([*columns, pa.array(out, kind)], names=[*names, into])
 
     return df.mapInArrow(run, schema)
 
 
 def spectrum(frames: DataFrame, samples: str, into: str = "mags", kind: str | None = None, pad: int = 1) -> DataFrame:
     """Magnitudes of the lower half of the Fourier transform of each windowed frame, with zeros after it up to ``pad`` times its length."""
-    return _each(frames, samples, into, lambda x: np.abs(np.fft.rfft(x * (window(kind, x.shape[1]) if kind else 1.0), x.shape[1] * pad)))
+    return each(frames, samples, into, lambda x: np.abs(np.fft.rfft(x * (window(kind, x.shape[1]) if kind else 1.0), x.shape[1] * pad)))
 
 
 def bin_hz(k: Column, rate: float, fft: int) -> Column:
@@ -64,32 +67,9 @@ def bin_hz(k: Column, rate: float, fft: int) -> Column:
 def peaks(x: np.ndarray, height: float | None = None, distance: int = 1, prominence: float | None = None) -> np.ndarray:
     """Places of local maxima (the middle of a flat top), of those at least ``height`` high the higher of any two closer than ``distance``, and of these those that stand out by ``prominence``."""
     x = np.asarray(x, float)
-    edge = np.flatnonzero(np.diff(x)) + 1
-    start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(x)])) - 1
-    inner = (start > 0) & (end < len(x) - 1)
-    start, end = start[inner], end[inner]
-    top = (x[start] > x[start - 1]) & (x[end] > x[end + 1])
-    at = (start[top] + end[top]) // 2
-    if height is not None:
-        at = at[x[at] >= height]
-    if distance > 1:
-        kept = np.ones(len(at), bool)
-        for i in np.argsort(x[at], kind="stable")[::-1]:
-            if kept[i]:
-                near = np.abs(at - at[i]) < distance
-                near[i] = False
-                kept[near] = False
-        at = at[kept]
-    if prominence is not None:
-        at = np.array([p for p in at if x[p] - max(_base(x[:p][::-1], x[p]), _base(x[p + 1 :], x[p])) >= prominence], np.int64)
-    return at
-
-
-def _base(side: np.ndarray, top: float) -> float:
-    """The lowest value beside a peak before something is higher."""
-    higher = np.flatnonzero(side > top)
-    reach = side[: higher[0]] if len(higher) else side
-    return float(reach.min()) if len(reach) else top
+    if not len(x):
+        return np.zeros(0, np.int64)
+    return curve.decided(x, np.full(len(x), -np.inf if height is None else height), slice(0, len(x)), True, True, distance, prominence)
 
 
 def spectral_peaks(frames: DataFrame, mags: str, low: int, high: int, height: float = 0.02, distance: int = 3, prominence: float = 0.01, most: int = 20) -> DataFrame:
@@ -104,9 +84,4 @@ def spectral_peaks(frames: DataFrame, mags: str, low: int, high: int, height: fl
             out.append((at[np.argsort(-share[at], kind="stable")][:most] + low).astype(float))
         return out
 
-    return _each(frames, mags, "peaks", found)
-
-
-def onset_envelope(frames: DataFrame, flux: Column, rise: Column) -> Column:
-    """0.6 of the flux and 0.4 of the rise in energy, each over its greatest, which come as columns; a greatest of 0 counts as 1."""
-    return F.lit(0.6) * flux + F.lit(0.4) * rise
+    return each(frames, mags, "peaks", found)

@@ -210,13 +210,6 @@ def windowed_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "frame_idx", F.round(add(F.col("mags")), 3).alias("total"), F.round(F.array_max("mags"), 3).alias("most"), F.round(hfc, 3).alias("hfc"))
 
 
-@query()
-def frame_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of the strongest peaks of each signal's spectrum."""
-    rows = spectra.spectrum(adapters.frames(spark, sf_dir), "samples", "mags")
-    return spectra.spectral_peaks(rows, "mags", 1, 32).select("track_id", "frame_idx", F.col("peaks").cast("array<int>").alias("peaks"))
-
-
 @query(f"WITH {EVENTS} SELECT event_id, track_id, midi, role, round_even(velocity, 3) AS velocity, round_even(start_us / 1e6, 3) AS start, round_even(dur_us / 1e6, 3) AS duration, '4/4' AS time_signature FROM ev")
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each track as a JSON document, read back."""
