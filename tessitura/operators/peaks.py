@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.sources import shared
+
 
 def spaced(x: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
     """Which of the peaks at some places stay where the higher of two closer than ``distance`` removes the other, of equals the later."""
@@ -72,8 +74,8 @@ def decided(x: np.ndarray, height: np.ndarray, core: slice, first: bool, last: b
 def picked(curve: DataFrame, value: str, height: str, distance: int = 1, prominence: float | None = None, chunk: int = 4096) -> DataFrame:
     """track_id and frame_idx of the peaks of each track's curve (track_id, frame_idx without gaps, value and height): flat tops at their middle, of those at least height high the higher of any two closer than ``distance``, of these those that stand out by ``prominence``.
 
-    Null values count as 0; rows with a null track or index are left out. Passes are kept in the session's
-    cache, as they are counted and read; they hold peaks only.
+    Null values count as 0; rows with a null track or index are left out. Passes are
+    checkpointed, as they are counted and read; they hold peaks only.
     """
     rows = curve.where("track_id is not null and frame_idx is not null")
     kind = rows.schema["track_id"].dataType.simpleString()
@@ -95,7 +97,7 @@ def picked(curve: DataFrame, value: str, height: str, distance: int = 1, promine
     out, reach = None, 1
     while True:
         wanted = targets.withColumn("d", F.explode(F.sequence(F.col("c") - reach, F.col("c") + reach)))
-        found = rows.join(wanted, ["track_id", "d"]).groupBy("track_id", "c").applyInArrow(look, f"track_id {kind}, c long, frame_idx long").persist()
+        found = shared.cut(rows.join(wanted, ["track_id", "d"]).groupBy("track_id", "c").applyInArrow(look, f"track_id {kind}, c long, frame_idx long"))
         done = found.where("frame_idx is not null").select("track_id", "frame_idx")
         out = done if out is None else out.unionByName(done)
         targets = found.where("frame_idx is null").select("track_id", "c").join(ends, "track_id")

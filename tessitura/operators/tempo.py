@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.operators import spectra
+
 
 def autocorrelation(onsets: DataFrame, bin_us: int, max_lag: int) -> DataFrame:
     """track_id, lag, strength: how onset counts per bin agree with themselves lag bins later, over lag 0.
@@ -38,3 +42,86 @@ def first_downbeat(onsets: DataFrame, bpm: float, window_us: int = 2_000_000) ->
     best = scored.groupBy("track_id").agg(F.max(F.struct("score", (-F.col("at")).alias("early"))).alias("b")).select("track_id", (-F.col("b.early")).alias("found"))
     first = marks.groupBy("track_id").agg(F.min("t_us").alias("first"))
     return first.join(best, "track_id", "left").select("track_id", F.coalesce("found", "first").alias("downbeat_us"))
+
+
+def tempogram(curve: DataFrame, value: str, per_second: float, low: int = 60, high: int = 160, window: float = 8.0, hop: float = 4.0) -> DataFrame:
+    """track_id, start (seconds), bpm and strength of overlapping windows of a curve (track_id, frame_idx without gaps).
+
+    In each window the whole tempo whose lag the curve agrees with best, of equals the slowest;
+    120 and 0 where it agrees with none. A frame is sent to the windows that hold it, and a
+    window is one bounded array. Windows lie wholly before the track's last frame.
+    """
+    size, step = int(window * per_second), int(hop * per_second)
+    rows = curve.where("track_id is not null and frame_idx is not null").select("track_id", F.col("frame_idx").cast("long").alias("i"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"))
+    ends = rows.groupBy("track_id").agg(F.min("i").alias("lo"), (F.max("i") - F.min("i") + 1).alias("n"))
+    rows = rows.join(ends, "track_id").withColumn("i", F.col("i") - F.col("lo"))
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("i") - size) / step) + 1)
+    rows = rows.withColumn("w", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col("i") / step))))).where((F.col("w") * step < F.col("n") - size) & (F.col("w") * step <= F.col("i")))
+    windows = rows.groupBy("track_id", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("xs"))
+    tempi = np.arange(low, high + 1)
+    lags = (per_second * 60 / tempi).astype(int)
+
+    def told(x: np.ndarray) -> list[dict]:
+        power = (x * x).sum(1)
+        there = (lags > 0) & (lags < x.shape[1])
+        r = {lag: (x[:, : x.shape[1] - lag] * x[:, lag:]).sum(1) for lag in set(lags[there].tolist())}
+        strength = np.zeros((len(x), len(tempi)))
+        for k in np.flatnonzero(there):
+            strength[:, k] = r[lags[k]]
+        strength = np.round(np.where(power > 0, 1 / np.where(power > 0, power, 1), 1)[:, None] * strength, 12)
+        best = strength.argmax(1)
+        most = strength[np.arange(len(x)), best]
+        return [{"bpm": float(tempi[k]) if s > 0 else 120.0, "strength": float(max(s, 0.0))} for k, s in zip(best, most, strict=True)]
+
+    kind = pa.struct([("bpm", pa.float64()), ("strength", pa.float64())])
+    found = spectra.each(windows, "xs", "best", told, "struct<bpm: double, strength: double>", kind)
+    return found.select("track_id", (F.col("w") * step / F.lit(float(per_second))).alias("start"), "best.bpm", "best.strength")
+
+
+def steady_tempo(curve: DataFrame, tempi: DataFrame, least: float = 0.2) -> DataFrame:
+    """track_id, bpm and confidence of each track of a curve: the median of its tempogram's tempi stronger than ``least``, and how little they differ; 120 and 0 without one."""
+    sure = tempi.where(F.col("strength") > least).groupBy("track_id").agg(F.median("bpm").alias("bpm"), F.greatest(F.lit(0.0), 1 - F.stddev_pop("bpm") / 30).alias("confidence"))
+    return curve.where("track_id is not null").select("track_id").distinct().join(sure, "track_id", "left").select("track_id", F.coalesce("bpm", F.lit(120.0)).alias("bpm"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def correlation(curve: DataFrame, value: str, max_lag: int, chunk: int = 4096) -> DataFrame:
+    """track_id, n and r: how a track's curve (frame_idx without gaps) agrees with itself at lags 0 to max_lag, over lag 0, an array.
+
+    Chunks of a track are summed apart, each with the ``max_lag`` values after it.
+    """
+    rows = curve.where("track_id is not null and frame_idx is not null").select("track_id", F.col("frame_idx").cast("long").alias("i"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"))
+    c = F.floor(F.col("i") / chunk)
+    low = F.floor((F.col("i") - max_lag) / chunk)
+    spread = rows.withColumn("c", F.explode(F.sequence(low, c)))
+    kind = rows.schema["track_id"].dataType.simpleString()
+
+    def sums(table: pa.Table) -> pa.Table:
+        c = table.column("c")[0].as_py()
+        x = np.zeros(chunk + max_lag)
+        at = table.column("i").to_numpy() - c * chunk
+        x[at] = table.column("x").to_numpy()
+        r = [float(x[:chunk] @ x[lag : lag + chunk]) for lag in range(max_lag + 1)]
+        one = table.column("track_id")[:1]
+        return pa.table({"track_id": one, "n": pa.array([int((at < chunk).sum())], pa.int64()), "r": pa.array([r], pa.list_(pa.float64()))})
+
+    parts = spread.groupBy("track_id", "c").applyInArrow(sums, f"track_id {kind}, n long, r array<double>")
+    total = parts.groupBy("track_id").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("r")[k]) for k in range(max_lag + 1)]).alias("r"))
+    return total.select("track_id", "n", F.when(F.col("r")[0] > 0, F.transform("r", lambda v: v / F.col("r")[0])).otherwise(F.col("r")).alias("r"))
+
+
+def correlated_tempi(curve: DataFrame, value: str, per_second: float, low: float = 60.0, high: float = 150.0, height: float = 0.1, distance: int = 5, most: int = 10) -> DataFrame:
+    """track_id, bpm and strength of the highest peaks of a curve's correlation with itself, at lags of tempi in a range."""
+    first, last = int(per_second * 60 / high), int(per_second * 60 / low)
+    rows = correlation(curve, value, last).withColumn("r", F.slice("r", F.lit(1), F.least(F.lit(last), F.col("n") - 1).cast("int")))
+
+    def found(x: np.ndarray) -> list[list[dict]]:
+        out = []
+        for r in x:
+            at = spectra.peaks(r[first:], height, distance) + first
+            at = at[np.argsort(-r[at], kind="stable")][:most]
+            out.append([{"bpm": 60 * per_second / int(k), "strength": float(r[k])} for k in at if k])
+        return out
+
+    kind = pa.list_(pa.struct([("bpm", pa.float64()), ("strength", pa.float64())]))
+    rows = spectra.each(rows, "r", "found", found, "array<struct<bpm: double, strength: double>>", kind)
+    return rows.select("track_id", F.explode("found").alias("f")).select("track_id", "f.bpm", "f.strength")

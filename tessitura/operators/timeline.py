@@ -32,9 +32,9 @@ def following(rows: DataFrame, at: str, into: str, bucket_us: int = BUCKET_US) -
     """Rows with the time of the next one in their track, null for the last; of rows of a time the next has the same."""
     rows = _bucketed(rows, at, bucket_us)
     heads = rows.groupBy("track_id", "_bucket").agg(F.min(at).alias("_low"))
-    heads = heads.select("track_id", "_bucket", F.lead("_low").over(W.partitionBy("track_id").orderBy("_bucket")).alias("_next"))
+    heads = heads.select("track_id", "_bucket", F.lead("_low").over(W.partitionBy("track_id").orderBy("_bucket")).alias("_ahead"))
     here = F.lead(at).over(W.partitionBy("track_id", "_bucket").orderBy(at))
-    return rows.join(heads, ["track_id", "_bucket"]).withColumn(into, F.coalesce(here, F.col("_next"))).drop("_bucket", "_next")
+    return rows.join(heads, ["track_id", "_bucket"]).withColumn(into, F.coalesce(here, F.col("_ahead"))).drop("_bucket", "_ahead")
 
 
 def held_by(points: DataFrame, spans: DataFrame, at: str = "t_us", carried: tuple[str, ...] = (), bucket_us: int = BUCKET_US) -> DataFrame:

@@ -179,15 +179,6 @@ def gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.histogram(valid, "gap_us", 20).select("track_id", "bin", F.round("low", 3).alias("low"), "n")
 
 
-@query(HISTOGRAM.replace("BINS", "20") + f""", p AS (SELECT * FROM (SELECT *, lag(n) OVER (PARTITION BY track_id ORDER BY bin) AS before, lead(n) OVER (PARTITION BY track_id ORDER BY bin) AS after FROM b) WHERE n > before AND n > after AND n > 2),
-  q AS (SELECT track_id, 60e6 / (lo + bin * ((hi - lo) / 20) + (hi - lo) / 20 / 2) AS bpm, n FROM p), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY n DESC, bpm) AS k FROM q) WHERE k <= 5),
-  c AS (SELECT track_id, count(*) AS onsets FROM det WHERE role = 'onset' GROUP BY ALL)
-SELECT track_id, round(coalesce(bpm, 60e6 / mid), 4) AS bpm, coalesce(n, 1) AS n FROM w LEFT JOIN r USING (track_id) WHERE valid >= 3
-UNION ALL SELECT track_id, unnest(CASE WHEN onsets < 3 THEN [120.0::DOUBLE] ELSE [120.0::DOUBLE, 90, 100] END), 0 FROM c LEFT JOIN w USING (track_id) WHERE coalesce(valid, 0) < 3""")
-def interval_tempi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.interval_tempi(_onsets(spark, sf_dir), bins=20).select("track_id", F.round("bpm", 4).alias("bpm"), "n")
-
-
 @query(f"WITH {DET} SELECT event_id, round(t_us / {BEAT}, 4) AS beat, round(abs(t_us / {BEAT} - round_even(t_us / {BEAT} / 4, 0) * 4), 4) AS from_bar, round(floor(t_us / {BEAT} / 4) * 4 * {BEAT}, 2) AS bar_us FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t_us, event_id) AS place FROM det WHERE role = 'onset') WHERE place % 3 = 1")
 def third_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each third onset of a track, with its distance from a bar and the start of its own."""

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.plans import detection, fusion, music, queries
+from tessitura.plans import detection, fusion, music, queries, tempi
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries.QUERIES | music.QUERIES | fusion.QUERIES | detection.QUERIES
-ORACLE_SQL: dict[str, str] = queries.ORACLE_SQL | music.ORACLE_SQL | fusion.ORACLE_SQL | detection.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries.QUERIES | music.QUERIES | fusion.QUERIES | detection.QUERIES | tempi.QUERIES
+ORACLE_SQL: dict[str, str] = queries.ORACLE_SQL | music.ORACLE_SQL | fusion.ORACLE_SQL | detection.ORACLE_SQL | tempi.ORACLE_SQL
 FLAGSHIP = queries.chord_segments

@@ -67,7 +67,7 @@ def test_grids_and_tempi_of_a_click_track(spark):
     grids = onsets.select("track_id").distinct().select("track_id", F.explode(F.array(*map(F.lit, [90.0, 100.0, 110.0]))).alias("bpm"), F.lit(400_000).cast("long").alias("first_us"))
     best = {r["track_id"]: r for r in grid.best(grid.scores(onsets, grids, 24_000_000)).collect()}
     assert best[1]["bpm"] == 100 and round(best[1]["beat_alignment"], 6) == 1 and best[1]["bar_coverage"] == 1
-    assert sorted((r["track_id"], round(r["bpm"])) for r in grid.interval_tempi(onsets).collect()) == [(1, 100), (2, 120)]
+    assert sorted((r["track_id"], round(r["bpm"])) for r in grid.interval_tempi(onsets).collect()) == [(1, 50), (1, 99), (1, 198), (2, 120)]
     assert grid.scores(onsets.limit(0), grids, 1).count() == grid.interval_tempi(onsets.limit(0)).count() == 0
 
 
