@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.operators import timeline
+
 
 def ordered(events: DataFrame) -> DataFrame:
     """With place, from 1: by start, then from the highest note down, in each track."""
-    return events.withColumn("place", F.row_number().over(W.partitionBy("track_id").orderBy("start_us", F.desc("midi"), "event_id")))
+    return timeline.numbered(events.withColumn("_high", -F.col("midi")), ["start_us", "_high", "event_id"], "place").drop("_high")
 
 
 def artefacts_removed(melody: DataFrame, others: DataFrame, cents: float = 50.0, ratio: float = 1.5) -> DataFrame:
@@ -83,7 +85,7 @@ def attacks(notes: DataFrame, segments: DataFrame, share: float = 0.1) -> DataFr
     segment before or is seen within the first ``share`` of it, else ``tied``; until_us is the
     end of the last of the segments in a row that hold the pitch.
     """
-    numbered = segments.withColumn("seg_idx", F.row_number().over(W.partitionBy("track_id").orderBy("start_us")))
+    numbered = timeline.numbered(segments, ["start_us"], "seg_idx")
     seen = notes.groupBy("track_id", "start_us", "end_us", "midi").agg(F.min("t_us").alias("first_us"))
     seen = seen.join(numbered.select("track_id", "start_us", "seg_idx"), ["track_id", "start_us"])
     by = W.partitionBy("track_id", "midi").orderBy("seg_idx")

@@ -6,23 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.operators import timeline
+
 
 def onset_segments(onsets: DataFrame, duration_us: int, first_gap_us: int, least_us: int) -> DataFrame:
     """Segments between the distinct onsets of a track, with one from 0 if the first onset is late; those under least_us are left out."""
     marks = onsets.select("track_id", "t_us").distinct()
     starts = marks.groupBy("track_id").agg(F.min("t_us").alias("low")).where(F.col("low") > first_gap_us).select("track_id", F.lit(0).cast("long").alias("t_us"))
-    by = W.partitionBy("track_id").orderBy("t_us")
-    out = marks.unionByName(starts).select("track_id", F.col("t_us").alias("start_us"), F.coalesce(F.lead("t_us").over(by), F.lit(duration_us)).alias("end_us"))
+    rows = timeline.following(marks.unionByName(starts), "t_us", "next_us")
+    out = rows.select("track_id", F.col("t_us").alias("start_us"), F.coalesce("next_us", F.lit(duration_us)).alias("end_us"))
     return out.where(F.col("end_us") - F.col("start_us") >= least_us)
 
 
 def in_segment(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """Points with the segment that holds them: as-of by one window over both, then the end is checked."""
-    marks = segments.select("track_id", F.col("start_us").alias("t_us"), F.struct("start_us", "end_us").alias("segment"))
-    rows = points.withColumn("_point", F.lit(1)).unionByName(marks.withColumn("_point", F.lit(0)), allowMissingColumns=True)
-    by = W.partitionBy("track_id").orderBy("t_us", "_point").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("segment", F.last("segment", ignorenulls=True).over(by)).where("_point = 1")
-    return rows.where(F.col("t_us") < F.col("segment.end_us")).select(*points.columns, "segment.start_us", "segment.end_us")
+    """Points with the segment that holds them, as of its start, in buckets of time."""
+    return timeline.held_by(points, segments)
 
 
 def sustained(onsets: DataFrame, slices: DataFrame, steps: int) -> DataFrame:

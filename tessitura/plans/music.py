@@ -70,7 +70,7 @@ def bass_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("set_id", F.array_min("midis").alias("bass"), F.array_join(harmony.intervals(F.col("midis")).cast("array<string>"), " ").alias("intervals"))
 
 
-@query(f"WITH {EVENTS} SELECT event_id, row_number() OVER (PARTITION BY track_id ORDER BY start_us, midi DESC, event_id)::INT AS place, count(*) OVER (PARTITION BY track_id, midi) AS same_pitch FROM ev")
+@query(f"WITH {EVENTS} SELECT event_id, row_number() OVER (PARTITION BY track_id ORDER BY start_us, midi DESC, event_id) AS place, count(*) OVER (PARTITION BY track_id, midi) AS same_pitch FROM ev")
 def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each event in its track, and how often its pitch is there."""
     rows = ev.ordered(_events(spark, sf_dir))
@@ -113,7 +113,7 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVENTS}, {SEGMENTS}, n AS (SELECT track_id, start_us, end_us, row_number() OVER (PARTITION BY track_id ORDER BY start_us) AS seg_idx FROM seg),
   x AS (SELECT n.track_id, seg_idx, n.start_us, end_us, midi, min(t_us) AS first_us FROM n JOIN det d ON d.track_id = n.track_id AND t_us >= n.start_us AND t_us < end_us WHERE role <> 'onset' GROUP BY ALL)
-SELECT track_id, seg_idx::INT AS seg_idx, midi, first_us,
+SELECT track_id, seg_idx, midi, first_us,
   CASE WHEN EXISTS (SELECT 1 FROM x b WHERE b.track_id = x.track_id AND b.midi = x.midi AND b.seg_idx = x.seg_idx - 1) AND first_us - start_us >= (end_us - start_us) * 0.1::DOUBLE THEN 'tied' ELSE 'new' END AS kind,
   (SELECT max(l.end_us) FROM x l WHERE l.track_id = x.track_id AND l.midi = x.midi AND l.seg_idx >= x.seg_idx AND l.seg_idx - x.seg_idx + 1 =
      (SELECT count(*) FROM x c WHERE c.track_id = x.track_id AND c.midi = x.midi AND c.seg_idx BETWEEN x.seg_idx AND l.seg_idx)) AS until_us FROM x""")
