@@ -152,6 +152,81 @@ def detected_notes(frames: DataFrame, mags: str, rate: float, low: float, high:
 
 
 def note_rows(frames: DataFrame, role: str) -> DataFrame:
-    """A row for each note of detected_notes(), with its name and role."""
-    rows = frames.withColumn("note", F.explode("notes")).select(*[c for c in frames.columns if c != "notes"], "note.*")
+    """A row for each note of detected_notes(), with its name and role; columns of the names of these are replaced."""
+    made = ["notes", "name", "role", *frames.schema["notes"].dataType.elementType.names]
+    rows = frames.select(*[F.col(f"`{c}`") for c in frames.columns if c not in made], F.explode("notes").alias("_note")).select("*", "_note.*").drop("_note")
     return rows.withColumns({"name": scalars.note_name(F.col("midi")), "role": F.lit(role)})
+
+
+TONE = "freq: double, amp: double, midi: int, harmonics: array<struct<freq: double, amp: double, number: int>>"
+
+
+def claimed_tones(freq: np.ndarray, amp: np.ndarray, most: int, tolerance: float = 0.03) -> list[dict]:
+    """Tones of a frame's peaks, from the lowest on: a peak that is a harmonic of a tone so far is its, of several the lowest's, else a tone of its own, ``most`` at most."""
+    out: list[dict] = []
+    for k in np.argsort(freq, kind="stable"):
+        f, a = float(freq[k]), float(amp[k])
+        for tone in out:
+            n = int(np.rint(f / tone["freq"]))
+            if f > tone["freq"] > 0 and n >= 2 and abs(f / tone["freq"] - n) / n < tolerance:
+                tone["harmonics"].append({"freq": f, "amp": a, "number": n})
+                break
+        else:
+            if len(out) < most:
+                out.append({"freq": f, "amp": a, "midi": int(np.rint(69 + 12 * np.log2(f / 440.0))) if f > 0 else 0, "harmonics": []})
+    return out
+
+
+def tones(frames: DataFrame, mags: str, rate: float, low: float, high: float, height: float = 0.02, most: int = 10, distance: int = 3, prominence: float = 0.01) -> DataFrame:
+    """frames with tones (an array of structs): peaks from ``low`` to under ``high`` Hz, over the whole frame's greatest magnitude, with the harmonics that they claim. A silent frame has none."""
+
+    def found(x: np.ndarray) -> list[list[dict]]:
+        hz = np.arange(x.shape[1]) * (rate / (2 * (x.shape[1] - 1)))
+        band = slice(*np.searchsorted(hz, [low, high]).tolist())
+        out = []
+        for row in x:
+            top = row.max(initial=0.0)
+            at = spectra.peaks(row[band] / top, height, distance, prominence) + band.start if top >= 1e-10 else np.zeros(0, np.int64)
+            out.append(claimed_tones(hz[at], row[at], most))
+        return out
+
+    harmonic = pa.struct([("freq", pa.float64()), ("amp", pa.float64()), ("number", pa.int32())])
+    kind = pa.list_(pa.struct([("freq", pa.float64()), ("amp", pa.float64()), ("midi", pa.int32()), ("harmonics", pa.list_(harmonic))]))
+    return spectra.each(frames, mags, "tones", found, f"array<struct<{TONE}>>", kind)
+
+
+def dominant(tones_: Column, most: int = 10) -> Column:
+    """An array of exactly ``most`` structs (freq, amp): tones of most harmonics and greatest amplitude first, of equals the lower, then zeros."""
+    ranked = F.array_sort(F.transform(tones_, lambda t, i: F.struct((-(F.size(t["harmonics"]) * 2 + t["amp"])).alias("less"), i.alias("i"), t["freq"].alias("freq"), t["amp"].alias("amp"))))
+    first = F.transform(F.slice(ranked, 1, most), lambda r: F.struct(r["freq"].alias("freq"), r["amp"].alias("amp")))
+    return F.concat(first, F.array_repeat(F.struct(F.lit(0.0).alias("freq"), F.lit(0.0).alias("amp")), F.lit(most) - F.size(first)))
+
+
+def frames_at(blocks: DataFrame, times: DataFrame, rate: float, size: int) -> DataFrame:
+    """times (track_id, t_us, other columns) with the ``size`` samples around each as ``frame``, from the start on where it is early, with zeros past the end.
+
+    blocks (track_id, frame_idx from 0, samples) cut a track in turns of ``size`` samples, the last one
+    shorter or filled; a time meets the two blocks that it reaches, in equi-joins.
+    """
+    start = F.greatest(F.lit(0), F.floor(F.col("t_us") * F.lit(rate) / 1e6) - size // 2).cast("long")
+    rows = times.where("t_us is not null").withColumn("_start", start).withColumn("_block", F.floor(F.col("_start") / size))
+    for name, shift in (("_one", 0), ("_two", 1)):
+        block = (F.col("frame_idx") - shift).cast("long").alias("_block")
+        rows = rows.join(blocks.select("track_id", block, F.col("samples").cast("array<double>").alias(name)), ["track_id", "_block"], "left")
+    none = F.array().cast("array<double>")
+    there = F.slice(F.concat(F.coalesce("_one", none), F.when(F.size("_one") == size, F.coalesce("_two", none)).otherwise(none)), F.pmod(F.col("_start"), F.lit(size)).cast("int") + 1, F.lit(size))
+    rows = rows.withColumn("frame", there).withColumn("frame", F.concat("frame", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("frame"))))
+    return rows.select(*times.columns, "frame")
+
+
+def melody_notes(blocks: DataFrame, onset_times: DataFrame, rate: float, size: int = 8192) -> DataFrame:
+    """A row for each melody note at an onset (track_id, t_us); onsets without one have none."""
+    rows = spectra.spectrum(frames_at(blocks, onset_times, rate, size), "frame", "mags", "hann", 2).drop("frame")
+    return note_rows(detected_notes(rows, "mags", rate, 300.0, 2000.0, 0.03, 3, 0.25).drop("mags"), "melody")
+
+
+def chord_notes(slices: DataFrame, frame: str, rate: float) -> DataFrame:
+    """A row for each bass and chord note of the frames of slices."""
+    rows = spectra.spectrum(slices, frame, "mags", "hann", 2).drop(frame)
+    bass = note_rows(detected_notes(rows, "mags", rate, 50.0, 200.0, 0.02, 2, 0.2).drop("mags"), "bass")
+    return bass.unionByName(note_rows(detected_notes(rows, "mags", rate, 130.0, 500.0, 0.02, 6, 0.2).drop("mags"), "chord"))

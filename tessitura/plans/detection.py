@@ -103,3 +103,31 @@ def detected_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where something begins, of frames 32 samples apart at 8 kHz."""
     found = detection.onsets(_numbered(spark, sf_dir), "samples", 8000.0, 32, gap_ms=12.0)
     return found.select("track_id", "frame_idx", "t_us", F.round("strength", 6).alias("strength"))
+
+
+TONES = f"""WITH RECURSIVE {magnitudes('0.5 - 0.5 * cos(2 * pi() * i / 64)', 128)}, band AS MATERIALIZED (SELECT vec_id, k, x FROM (SELECT vec_id, k, mag / max(mag) OVER (PARTITION BY vec_id) AS x FROM mg) WHERE k >= 2 AND k < 48), {peaks('band', 'vec_id', '0.02::DOUBLE', 3, 0.01)},
+  low AS MATERIALIZED (SELECT p.vec_id, k, k * 62.5::DOUBLE AS hz, mag AS amp, row_number() OVER (PARTITION BY p.vec_id ORDER BY k) AS n FROM peak p JOIN mg USING (vec_id, k)),
+  claim AS (SELECT DISTINCT vec_id, 0::BIGINT AS n, []::DOUBLE[] AS roots, 0::DOUBLE AS root FROM low
+    UNION ALL SELECT vec_id, n, CASE WHEN root = 0 AND len(roots) < 4 THEN list_append(roots, hz) ELSE roots END, CASE WHEN root = 0 AND len(roots) < 4 THEN hz WHEN root = 0 THEN -1 ELSE root END FROM
+      (SELECT l.vec_id, l.n, hz, roots, coalesce([f FOR f IN roots IF round_even(hz / f, 0) >= 2 AND abs(hz / f - round_even(hz / f, 0)) / round_even(hz / f, 0) < 0.03::DOUBLE][1], 0) AS root FROM claim c JOIN low l ON l.vec_id = c.vec_id AND l.n = c.n + 1)),
+  tone AS (SELECT vec_id, root AS freq, max(amp) FILTER (hz = root) AS amp, count(*) - 1 AS harmonics FROM claim JOIN low USING (vec_id, n) WHERE root > 0 GROUP BY ALL)"""
+
+
+def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectra.spectrum(adapters.frames(spark, sf_dir), "samples", "mags", "hann", 2).select(F.col("frame_idx").alias("vec_id"), "mags")
+    return detection.tones(rows, "mags", 8000.0, 100.0, 3000.0, most=4)
+
+
+@query(f"{TONES} SELECT vec_id, freq, round(amp, 6) AS amp, round_even(69 + 12 * log2(freq / 440::DOUBLE), 0)::INT AS midi, harmonics::INT AS harmonics FROM tone")
+def claimed_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tones of each signal, from the lowest on, and how many harmonics they claim."""
+    rows = _tones(spark, sf_dir).select("vec_id", F.explode("tones").alias("t"))
+    return rows.select("vec_id", "t.freq", F.round("t.amp", 6).alias("amp"), "t.midi", F.size("t.harmonics").alias("harmonics"))
+
+
+@query(f"""{TONES}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY harmonics * 2 + amp DESC, freq) - 1 AS place FROM tone)
+SELECT vec_id, place::INT AS place, coalesce(freq, 0) AS freq, round(coalesce(amp, 0), 6) AS amp FROM (SELECT vec_id, unnest(range(4)) AS place FROM embeddings WHERE len(embedding) = 64) LEFT JOIN r USING (vec_id, place)""")
+def dominant_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tones of each signal, filled with zeros."""
+    rows = _tones(spark, sf_dir).select("vec_id", F.posexplode(detection.dominant(F.col("tones"), 4)).alias("place", "t"))
+    return rows.select("vec_id", "place", "t.freq", F.round("t.amp", 6).alias("amp"))
