@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.operators import fusion, harmony
-from tessitura.plans.queries import BPM, DET, SPAN_US
-from tessitura.sources import adapters
+from tessitura.plans.queries import BPM, DET, NAMES, SPAN_US
+from tessitura.sources import adapters, scores
 
 QUERIES, ORACLE_SQL = {}, {}
 BEAT_US = 60e6 / BPM
@@ -29,16 +29,16 @@ def query(sql: str):
 FUSED = f"""WITH RECURSIVE {DET},
   nt AS (SELECT event_id, track_id, slice_idx * 100000 AS t_us, slice_idx, midi, role, confidence FROM det WHERE role IN ('melody', 'chord', 'bass')),
   ons AS (SELECT DISTINCT track_id, t_us FROM det WHERE role = 'onset'), edge AS (SELECT track_id, min(t_us) AS lo, max(t_us) AS hi FROM ons GROUP BY ALL),
-  mark AS (SELECT * FROM ons UNION SELECT track_id, 0 FROM edge WHERE lo > 100000 UNION SELECT track_id, {SPAN_US} FROM edge WHERE hi < {SPAN_US - 100_000}),
-  piece AS (SELECT track_id, t_us AS start_us, (SELECT min(b.t_us) FROM mark b WHERE b.track_id = a.track_id AND b.t_us > a.t_us) AS end_us FROM mark a),
+  bound AS (SELECT * FROM ons UNION SELECT track_id, 0 FROM edge WHERE lo > 100000 UNION SELECT track_id, {SPAN_US} FROM edge WHERE hi < {SPAN_US - 100_000}),
+  piece AS (SELECT track_id, t_us AS start_us, (SELECT min(b.t_us) FROM bound b WHERE b.track_id = a.track_id AND b.t_us > a.t_us) AS end_us FROM bound a),
   part AS (SELECT * FROM piece WHERE end_us - start_us >= 50000 UNION ALL SELECT DISTINCT track_id, 0, {SPAN_US} FROM nt WHERE track_id NOT IN (SELECT track_id FROM edge)),
   seg AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_us) AS seg_idx FROM part),
   held AS (SELECT s.track_id, seg_idx, start_us, end_us, midi, role, round(avg(confidence), 9) AS confidence, min(t_us) AS first_us FROM seg s JOIN nt n ON n.track_id = s.track_id AND t_us >= start_us AND t_us < end_us GROUP BY ALL),
-  one AS MATERIALIZED (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY track_id, seg_idx, midi ORDER BY list_position(['melody', 'chord', 'bass'], role)) = 1),
-  stop AS (SELECT track_id, midi, seg_idx, end_us FROM one x WHERE NOT EXISTS (SELECT 1 FROM one y WHERE y.track_id = x.track_id AND y.midi = x.midi AND y.seg_idx = x.seg_idx + 1)),
+  single AS MATERIALIZED (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY track_id, seg_idx, midi ORDER BY list_position(['melody', 'chord', 'bass'], role)) = 1),
+  stop AS (SELECT track_id, midi, seg_idx, end_us FROM single x WHERE NOT EXISTS (SELECT 1 FROM single y WHERE y.track_id = x.track_id AND y.midi = x.midi AND y.seg_idx = x.seg_idx + 1)),
   look AS (SELECT o.*, before.end_us AS before_us, p.seg_idx IS NULL OR o.first_us - o.start_us < (o.end_us - o.start_us) * 0.1::DOUBLE AS is_new,
       (SELECT min(s.end_us) FROM stop s WHERE s.track_id = o.track_id AND s.midi = o.midi AND s.seg_idx >= o.seg_idx) - o.start_us AS len
-    FROM one o LEFT JOIN one p ON p.track_id = o.track_id AND p.midi = o.midi AND p.seg_idx = o.seg_idx - 1 LEFT JOIN seg before ON before.track_id = o.track_id AND before.seg_idx = o.seg_idx - 1),
+    FROM single o LEFT JOIN single p ON p.track_id = o.track_id AND p.midi = o.midi AND p.seg_idx = o.seg_idx - 1 LEFT JOIN seg before ON before.track_id = o.track_id AND before.seg_idx = o.seg_idx - 1),
   beat AS (SELECT *, round_even(start_us / {BEAT} / 0.25::DOUBLE, 0) * 0.25::DOUBLE AS place, list_sort([{{'far': abs(v - len / {BEAT}), 'v': v}} FOR v IN [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0]::DOUBLE[]])[1].v AS beats FROM look),
   row AS MATERIALIZED (SELECT *, round_even(place * {BEAT}, 0)::BIGINT AS at_us, round_even(beats * {BEAT}, 0)::BIGINT AS dur_us, row_number() OVER (PARTITION BY track_id, midi ORDER BY seg_idx) AS n FROM beat),
   fold AS (SELECT DISTINCT track_id, midi, 0::BIGINT AS n, NULL::BIGINT AS last_us, false AS begins FROM row
@@ -127,3 +127,28 @@ def harmonised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fused_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job from slices and onsets to what is played."""
     return _shown(fusion.score(*_inputs(spark, sf_dir), SPAN_US, adapters.SLICE_US, BEAT_US))
+
+
+def _songs(events: DataFrame) -> DataFrame:
+    track = F.concat(F.lit("track "), F.col("track_id").cast("string")).alias("source_file")
+    return events.select("track_id").distinct().select("track_id", track, F.lit(SPAN_US).alias("duration_us"), F.lit(BPM).alias("bpm"), F.lit("4/4").alias("time_signature"), F.lit(0).cast("long").alias("first_us"))
+
+
+@query(f"""{FUSED}, t AS (SELECT track_id, max(bar) AS num_bars, count(*) AS num_notes FROM fused GROUP BY ALL)
+SELECT f.track_id, 'track ' || f.track_id AS source_file, 300.0::DOUBLE AS duration_seconds, 67.0::DOUBLE AS bpm, num_bars, num_notes, (row_number() OVER (PARTITION BY f.track_id ORDER BY start_us, midi DESC, event_id) - 1)::INT AS place, midi, bar, beat, beats AS duration_beats,
+  (v // 10000000 + (v % 10000000 > 5000000 OR v % 10000000 = 5000000 AND v // 10000000 % 2 = 1)::INT) / 100 AS velocity, role, is_tied, (round_even(start_us / 1e6, 4) * 1e6)::BIGINT AS start_us, (round_even(dur_us / 1e6, 4) * 1e6)::BIGINT AS dur_us FROM (SELECT *, round(velocity * 1e9)::BIGINT AS v FROM fused) f JOIN t USING (track_id)""")
+def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused events of each track as a JSON document, read back with all their fields."""
+    events = fusion.fused(*_inputs(spark, sf_dir), SPAN_US, BEAT_US)
+    rows = scores.note_rows(scores.read_documents(scores.documents(events, _songs(events))))
+    return rows.select("track_id", "source_file", "duration_seconds", "bpm", "num_bars", "num_notes", "place", "midi", "bar", "beat", "duration_beats", "velocity", "role", "is_tied", "start_us", "dur_us")
+
+
+@query(f"""{FUSED}, o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_us, midi DESC, event_id) AS place, max(bar) OVER (PARTITION BY track_id) AS bars, count(*) OVER (PARTITION BY track_id) AS n FROM fused),
+  l AS (SELECT *, bar <> lag(bar) OVER (PARTITION BY track_id ORDER BY place) AS apart, printf('%-6d %-8.2f %-6.2f %-8s %-8s %.2f', bar, floor(beat * 100 + 0.5) / 100, floor(beats * 100 + 0.5) / 100, {NAMES}[midi % 12 + 1] || (midi // 12 - 1)::VARCHAR, role, floor(velocity * 100 + 0.5) / 100) || CASE WHEN is_tied THEN ' (tie)' ELSE '' END AS line FROM o),
+  h AS (SELECT DISTINCT track_id, ['# Fused Transcription: track ' || track_id, '# Duration: 300.00s', '# BPM: 67', '# Time Signature: 4/4', '# Total Bars: ' || bars, '# Total Notes: ' || n, '', 'Bar    Beat     Dur    Note     Role     Vel', repeat('-', 50)] AS head FROM o)
+SELECT track_id, 0::BIGINT AS place, unnest(range(9))::INT AS part, unnest(head) AS line FROM h UNION ALL SELECT track_id, place, 0, CASE WHEN apart THEN '' ELSE line END FROM l UNION ALL SELECT track_id, place, 1, line FROM l WHERE apart""")
+def score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused events of each track as text with its header, bars apart."""
+    events = fusion.fused(*_inputs(spark, sf_dir), SPAN_US, BEAT_US)
+    return scores.text_lines(events, _songs(events))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.operators import detection, grid, tempo
+from tessitura.operators import alignment, detection, fusion, grid, tempo
 from tessitura.plans.detection import CURVE, _numbered, peaks
-from tessitura.plans.music import GAPS, HISTOGRAM
+from tessitura.plans.fusion import BEAT_US, FUSED, _inputs
+from tessitura.plans.music import HISTOGRAM
 from tessitura.plans.queries import DET, SPAN_US
 from tessitura.sources import adapters
 
@@ -69,9 +70,12 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("track_id", F.round("bpm", 6).alias("bpm"), "first_us", *[F.round(c, 6).alias(c) for c in PARTS])
 
 
-@query(f"""{TEMPI}, {MARKS}, start AS (SELECT track_id, CASE WHEN bpm > 130 AND bpm / 2 >= 70 THEN bpm / 2 WHEN bpm < 70 AND bpm * 2 <= 130 THEN bpm * 2 ELSE bpm END AS bpm FROM tempi WHERE place = 1), {searched('start', 'one')},
+SEARCH = f"""{MARKS}, start AS (SELECT track_id, CASE WHEN bpm > 130 AND bpm / 2 >= 70 THEN bpm / 2 WHEN bpm < 70 AND bpm * 2 <= 130 THEN bpm * 2 ELSE bpm END AS bpm FROM tempi WHERE place = 1), {searched('start', 'one')},
   half AS (SELECT track_id, bpm / 2 AS bpm FROM one WHERE bar_alignment < 0.3), {searched('half', 'two')},
-  pick AS (SELECT * FROM one WHERE track_id NOT IN (SELECT t.track_id FROM two t JOIN one o USING (track_id) WHERE t.bar_alignment > o.bar_alignment) UNION ALL SELECT t.* FROM two t JOIN one o USING (track_id) WHERE t.bar_alignment > o.bar_alignment)
+  pick AS (SELECT * FROM one WHERE track_id NOT IN (SELECT t.track_id FROM two t JOIN one o USING (track_id) WHERE t.bar_alignment > o.bar_alignment) UNION ALL SELECT t.* FROM two t JOIN one o USING (track_id) WHERE t.bar_alignment > o.bar_alignment)"""
+
+
+@query(f"""{TEMPI}, {SEARCH}
 SELECT track_id, round(bpm, 6) AS bpm, first_us, {', '.join(f'round({c}, 6) AS {c}' for c in PARTS)} FROM pick""")
 def found_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tempo and first beat of each track, by search."""
@@ -125,3 +129,36 @@ def correlated_tempi(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = detection.combined(detection.strengths(_numbered(spark, sf_dir), "samples"), detection.ONSET)
     found = tempo.correlated_tempi(curve, "strength", 24.0, 60.0, 160.0)
     return found.select("track_id", F.round("bpm", 6).alias("bpm"), F.round("strength", 6).alias("strength"))
+
+
+#: Events on the grids found for their tracks.
+ALIGNED = f"""{FUSED}, {TEMPI.split('det AS', 1)[1].split('FROM events),', 1)[1]}, {SEARCH},
+  placed AS (SELECT f.*, bpm, first_us, (start_us - first_us) / (60e6::DOUBLE / bpm) AS spot FROM fused f JOIN pick USING (track_id)),
+  near AS (SELECT *, round_even(spot / 0.5, 0) * 0.5 AS step FROM placed), moved AS (SELECT *, abs(spot - step) AS distance, CASE WHEN abs(spot - step) <= 0.3::DOUBLE THEN step ELSE spot END AS final FROM near),
+  fit AS (SELECT *, list_sort([{{'far': abs(v - beats), 'v': v}} FOR v IN [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0]::DOUBLE[]])[1] AS n FROM moved),
+  ended AS MATERIALIZED (SELECT *, CASE WHEN beats > 6 THEN 6 WHEN beats < 0.25 THEN 0.25 WHEN n.far / beats < 0.3::DOUBLE THEN n.v ELSE beats END AS written FROM fit)"""
+
+
+@query(f"""{ALIGNED} SELECT track_id, event_id, CASE WHEN distance <= 0.3::DOUBLE THEN round_even(first_us + step * (60e6::DOUBLE / bpm), 0)::BIGINT ELSE start_us END AS start_us, round_even(written * (60e6::DOUBLE / bpm), 0)::BIGINT AS dur_us, written AS beats,
+  CASE WHEN final < 0 THEN 0 ELSE floor(final / 4)::INT + 1 END AS bar, round(CASE WHEN final < 0 THEN 1 ELSE fmod(final, 4.0::DOUBLE) + 1 END, 6) AS beat, distance <= 0.3::DOUBLE AS on_grid FROM ended""")
+def aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events brought onto the grid that is found for their track."""
+    rows = alignment.aligned(*_aligned(spark, sf_dir))
+    return rows.select("track_id", "event_id", "start_us", "dur_us", "beats", "bar", F.round("beat", 6).alias("beat"), "on_grid")
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    notes, onsets = _inputs(spark, sf_dir)
+    events = fusion.fused(notes, onsets, SPAN_US, BEAT_US)
+    initial = notes.select("track_id", F.lit(60e6 / BEAT_US).alias("bpm"), F.lit(0).alias("first_us")).distinct()
+    return events, alignment.grids_for(events, onsets, SPAN_US, initial)
+
+
+@query(f"""{ALIGNED}, full_score AS (SELECT * FROM pick), {scored('(SELECT track_id, bpm, first_us FROM full_score)', 'mark', 'final_score')},
+  told AS (SELECT track_id, count(*) FILTER (distance <= 0.3::DOUBLE) AS on_grid, count(*) FILTER (distance > 0.3::DOUBLE) AS off_grid, avg(distance) AS mean_distance, count(*) FILTER (CASE WHEN final < 0 THEN true ELSE fmod(final, 4.0::DOUBLE) < 0.1::DOUBLE END) AS on_first_beat FROM ended GROUP BY ALL)
+SELECT track_id, round(s.bpm, 6) AS bpm, s.first_us, {', '.join(f'round(s.{c}, 6) AS {c}' for c in PARTS)}, on_grid, off_grid, round(mean_distance, 6) AS mean_distance, on_first_beat FROM final_score s JOIN told USING (track_id)""")
+def alignment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each track's grid, its score, and how its events keep it."""
+    events, grids = _aligned(spark, sf_dir)
+    rows = alignment.statistics(alignment.aligned(events, grids), grids)
+    return rows.select("track_id", F.round("bpm", 6).alias("bpm"), "first_us", *[F.round(c, 6).alias(c) for c in (*PARTS, "mean_distance")], "on_grid", "off_grid", "on_first_beat")
