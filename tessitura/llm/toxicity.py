@@ -9,7 +9,9 @@ offsets in the text.
 Labels are per document, so the tokens' labels for training come from them: in toxic
 documents those words are labelled of which a feature is far more frequent, by document
 (copies counted once), in toxic than in clean documents. Training reads a bounded sample of labelled documents:
-``sample`` of each class, least hash of the id first, and of each the first ``longest`` characters.
+``sample`` toxic and ``background`` clean ones, least hash of the id first, of each the first ``longest``
+characters, and of a class as many as hold ``most`` characters in all. The background is the larger, so
+that words of a language with few documents are told from those that clean texts hold too.
 Scoring reads all of every text; its work goes by chunks with 64 words of context on
 both sides, beyond which the chain's messages agree to rounding.
 
@@ -39,7 +41,7 @@ ROUNDS, RATE, DECAY = 50, 0.5, 1e-5
 #: Marginals from which on a word counts for its document.
 CLEAR = 0.2
 #: A labelling feature's least documents, and times that it is more frequent in toxic ones.
-SEEN, TIMES = 5, 20.0
+SEEN, TIMES = 3, 10.0
 
 
 def features(word: bytes) -> list[str]:
@@ -221,14 +223,20 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 500, longest: int = 200_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 500, background: int = 1500, longest: int = 200_000, most: int = 20_000_000) -> Model | None:
     """A model of the labelled documents (doc_id, text) and labels (doc_id, toxic); None with fewer than two classes."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    usable = docs.where("text is not null").select("doc_id").distinct().join(marks, "doc_id")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = [usable.where(F.col("_toxic") == k).orderBy(*order).limit(sample) for k in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1])
-    kept = docs.where("text is not null").select("doc_id", F.substring("text", 1, longest).alias("text")).join(F.broadcast(ids), "doc_id")  # 2 * sample rows
+    lengths = docs.where("text is not null").groupBy("doc_id").agg(F.max(F.least(F.length("text"), F.lit(longest))).alias("_n"))
+    usable = lengths.join(marks, "doc_id")
+    chosen: list[tuple] = []
+    for k, rows in ((0, background), (1, sample)):
+        held = 0
+        for r in usable.where(F.col("_toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():
+            held += r["_n"]
+            if held <= most:
+                chosen.append((r["doc_id"], k))
+    ids = docs.sparkSession.createDataFrame(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}, _toxic int")
+    kept = docs.where("text is not null").select("doc_id", F.substring("text", 1, longest).alias("text")).join(F.broadcast(ids), "doc_id")  # sample + background rows
     rows = kept.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     toxic = [int(r["_toxic"]) for r in rows]
     return fit([r["text"] for r in rows], toxic) if 0 < sum(toxic) < len(toxic) else None
