@@ -223,7 +223,7 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 500, background: int = 1500, longest: int = 200_000, most: int = 20_000_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 500, background: int = 1000, longest: int = 200_000, most: int = 20_000_000) -> Model | None:
     """A model of the labelled documents (doc_id, text) and labels (doc_id, toxic); None with fewer than two classes."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     lengths = docs.where("text is not null").groupBy("doc_id").agg(F.max(F.least(F.length("text"), F.lit(longest))).alias("_n"))

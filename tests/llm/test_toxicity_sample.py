@@ -13,5 +13,5 @@ def test_the_sample_is_bounded_in_rows_and_characters(spark, monkeypatch):
     ((texts, toxic),) = seen
     clean = [t for t, y in zip(texts, toxic, strict=True) if not y]
     assert sum(toxic) == 10 and all(len(t) <= 100 for t in texts) and 14 <= len(clean) <= 16 and sum(map(len, clean)) <= 1_500
-    toxicity.train(docs, labels, sample=500, background=1500)
+    toxicity.train(docs, labels, sample=500, background=1000)
     assert len(seen[1][0]) == 61 and sum(seen[1][1]) == 31
