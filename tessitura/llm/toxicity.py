@@ -37,6 +37,8 @@ from tessitura.llm import common
 
 RUN = re.compile(rb"[a-z\x80-\xff]+")
 CHUNK, MARGIN = 512, 64
+#: Chunks of which the slopes are taken at a time, so that fitting needs no more of the driver's memory for more words than the words themselves.
+ROWS = 256
 ROUNDS, RATE, DECAY = 50, 0.5, 1e-5
 #: Marginals from which on a word counts for its document.
 CLEAR = 0.2
@@ -160,6 +162,38 @@ def token_labels(words: Words, toxic: list[int], chosen: list[int]) -> list[np.n
     return [gives[w] * y for w, y in zip(words.texts, toxic, strict=True)]
 
 
+class Block:
+    """Some rows (words by number, labels), longest first, of which the field's slopes are taken at a time."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], of_word: np.ndarray, none: int):
+        self.lengths, self.none = np.array([len(w) for w, _ in rows], np.int64), none
+        self.mask = np.arange(self.lengths[0]) < self.lengths[:, None]
+        self.y = np.zeros(self.mask.shape, np.int8)
+        self.y[self.mask] = np.concatenate([t for _, t in rows])
+        flat = of_word[np.concatenate([w for w, _ in rows])]
+        self.some = np.flatnonzero((flat != none).any(axis=1))
+        self.flat = flat[self.some]
+        sides = [self.mask & (self.y == 0), self.mask & (self.y == 1)]
+        self.held = np.array([float((sides[i][:, :-1] & sides[j][:, 1:]).sum()) for i in (0, 1) for j in (0, 1)])
+
+    def slopes(self, weights: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the weights and of bias, start and moves, without decay and without what the labels' moves hold."""
+        own = np.full(int(self.lengths.sum()), other[0])
+        own[self.some] += weights[self.flat].sum(axis=1)
+        emissions = np.zeros(self.mask.shape)
+        emissions[self.mask] = own
+        ahead, back, x = messages(emissions, self.lengths, other[2:].reshape(2, 2), other[1])
+        p = ahead[..., 1] * back[..., 1]
+        p = p / np.maximum(p + ahead[..., 0] * back[..., 0], 1e-300)
+        a = np.exp(other[2:])
+        to = (back[:, 1:, 0], back[:, 1:, 1] * x[:, 1:])
+        each = [ahead[:, :-1, i] * to[j] * a[2 * i + j] for i in (0, 1) for j in (0, 1)]
+        whole = np.maximum(each[0] + each[1] + each[2] + each[3], 1e-300)
+        error = (self.y - p)[self.mask]
+        slope = np.bincount(self.flat.reshape(-1), np.repeat(error[self.some], 4), self.none + 1)
+        return slope, np.array([error.sum(), (self.y[:, 0] - p[:, 0]).sum(), *(-(e / whole)[self.mask[:, 1:]].sum() for e in each)])
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """A field and a curve from documents labelled 0 or 1. Features of toxic words get a weight."""
     words = Words(texts)
@@ -173,37 +207,17 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     none = len(names)
     of_word = np.array([([place.get(f, none) for f in fs] + [none] * 4)[:4] for fs in words.features] or [[none] * 4])
     rows = sorted(((w[at : at + CHUNK], y[at : at + CHUNK]) for w, y in zip(words.texts, labels, strict=True) for at in range(0, len(w), CHUNK)), key=lambda r: -len(r[0]))
-    lengths = np.array([len(w) for w, _ in rows], np.int64)
-    steps = int(lengths[0]) if rows else 1
-    mask = np.arange(steps) < lengths[:, None]
-    y = np.zeros(mask.shape)
-    for r, (_, t) in enumerate(rows):
-        y[r, : len(t)] = t
-    flat = of_word[np.concatenate([w for w, _ in rows])] if rows else np.zeros((0, 4), np.int64)
-    some = np.flatnonzero((flat != none).any(axis=1))
-    flat_some = flat[some]
+    blocks = [Block(rows[at : at + ROWS], of_word, none) for at in range(0, len(rows), ROWS)]
+    n, held = sum(int(b.lengths.sum()) for b in blocks), sum((b.held for b in blocks), np.zeros(4))
     weights, other = np.zeros(none + 1), np.zeros(6)  # bias, start, moves
     other[0] = -7.0
     speed, speed2 = np.zeros(none + 1), np.zeros(6)
-    pairs = mask[:, 1:]
-    sides = [(1 - y) * mask, y * mask]
-    held = np.array([(sides[i][:, :-1] * sides[j][:, 1:]).sum() for i in (0, 1) for j in (0, 1)])
     for _ in range(ROUNDS):
         weights[none] = 0
-        own = np.full(len(flat), other[0])
-        own[some] += weights[flat_some].sum(axis=1)
-        emissions = np.zeros(mask.shape)
-        emissions[mask] = own
-        ahead, back, x = messages(emissions, lengths, other[2:].reshape(2, 2), other[1])
-        p = ahead[..., 1] * back[..., 1]
-        p = p / np.maximum(p + ahead[..., 0] * back[..., 0], 1e-300)
-        a = np.exp(other[2:])
-        to = (back[:, 1:, 0], back[:, 1:, 1] * x[:, 1:])
-        each = [ahead[:, :-1, i] * to[j] * a[2 * i + j] for i in (0, 1) for j in (0, 1)]
-        whole = np.maximum(each[0] + each[1] + each[2] + each[3], 1e-300)
-        error = (y - p)[mask]
-        slope = np.bincount(flat_some.reshape(-1), np.repeat(error[some], 4), none + 1) - DECAY * len(flat) * weights
-        slope2 = np.concatenate(([error.sum(), (y[:, 0] - p[:, 0]).sum()], held - np.array([(e / whole)[pairs].sum() for e in each]))) - DECAY * len(flat) * other
+        slope, slope2 = -DECAY * n * weights, np.append(np.zeros(2), held) - DECAY * n * other
+        for b in blocks:
+            more, more2 = b.slopes(weights, other)
+            slope, slope2 = slope + more, slope2 + more2
         speed, speed2 = speed + slope**2, speed2 + slope2**2
         weights += RATE * slope / np.sqrt(speed + 1e-9)
         other += RATE * slope2 / np.sqrt(speed2 + 1e-9)
@@ -239,7 +253,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 500, background: int
     kept = docs.where("text is not null").select("doc_id", F.substring("text", 1, longest).alias("text")).join(F.broadcast(ids), "doc_id")  # sample + background rows
     rows = kept.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     toxic = [int(r["_toxic"]) for r in rows]
-    return fit([r["text"] for r in rows], toxic) if 0 < sum(toxic) < len(toxic) else None
+    model = fit([r["text"] for r in rows], toxic) if 0 < sum(toxic) < len(toxic) else None
+    del rows
+    common.tidy()  # the driver keeps it else, whatever comes after
+    return model
 
 
 class _Emissions(dict):
