@@ -232,7 +232,7 @@ class Finder:
         self.parts = common.parts_for(size)
         self.bits = max(self.parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
         same = docs.select(*[c.alias(n) for n, c in self.ids.items()], F.md5(text.cast("binary")).alias("same"))
-        self.same = common.stored(same)
+        self.same, self.tables = common.stored(same), []
         self.firsts = self.shared(bitmap_of(self.same.groupBy("same").agg(F.min("id").alias("id")).select("id"), self.bits))
 
     def shared(self, what):
@@ -241,6 +241,11 @@ class Finder:
     def bitmap(self, keys: DataFrame):
         return self.shared(bitmap_of(keys, self.bits))
 
+    def kept(self, table: DataFrame) -> DataFrame:
+        """A table in the shared folder that spans() reads, for result() to delete."""
+        self.tables.append(table)
+        return table
+
     def frequent(self):
         """A bitmap of the anchors that occur more than once, by all documents."""
         k, firsts, log_p = self.k, self.firsts, self.parts.bit_length() - 1
@@ -314,25 +319,26 @@ class Finder:
     def spans(self) -> DataFrame:
         """SPAN rows of what is covered; they may overlap. Whole copies are not among them."""
         k, firsts = self.k, self.firsts
-        found = common.released(self.occurrences())
+        found = self.kept(common.released(self.occurrences()))
         later = found.where("name is null").select("id", "row", "start", "end")
         heads = found.where("name is not null")
         many = heads.where(F.col("m") > HOT).select("name").distinct()
         any_hot, hot = not many.isEmpty(), self.bitmap(many)
         places = self.bitmap(heads.select(F.expr("id ^ row ^ (start * 1000003)").alias("place")))
 
-        def take(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        def take(batches: Iterator[pa.RecordBatch], many: bool) -> Iterable[pa.RecordBatch]:
             for found, ids, rows, offsets in blocks(batches, k, firsts.value):
                 id_, row, start = ids[found.text], rows[found.text], found.first + offsets[found.text]
                 at = np.flatnonzero(in_bitmap(places.value, id_ ^ row ^ (start * np.int64(1000003))))
+                at = at[in_bitmap(hot.value, found.name[at].view(np.int64)) == many]
                 raw = [found.raw[a:b] for a, b in zip(found.first[at].tolist(), (found.last[at] + k).tolist(), strict=True)]
                 name, left = found.name[at].view(np.int64), (found.place - found.first)[at].astype(np.int32)
-                yield pa.record_batch([pa.array(in_bitmap(hot.value, name)), pa.array(name), pa.array(id_[at]), pa.array(row[at]), pa.array(start[at]), pa.array(left), pa.array(raw, pa.binary())], names=["many", "name", "id", "row", "start", "left", "raw"])
+                yield pa.record_batch([pa.array(name), pa.array(id_[at]), pa.array(row[at]), pa.array(start[at]), pa.array(left), pa.array(raw, pa.binary())], names=["name", "id", "row", "start", "left", "raw"])
 
-        taken = common.stored(self.docs.mapInArrow(take, "many boolean, name long, id long, row long, start long, left int, raw binary"))
-        small = taken.where("not many").drop("many")
+        taken = lambda many: self.docs.mapInArrow(lambda batches: take(batches, many), "name long, id long, row long, start long, left int, raw binary")
+        small = taken(False)  # goes right into its shuffle
         if any_hot:
-            for more, covered in self.split(taken.where("many").drop("many", "name")):
+            for more, covered in self.split(self.kept(common.stored(taken(True).drop("name")))):
                 small, later = small if more is None else small.unionByName(more), later.unionByName(covered)
         self.contexts = small.repartition("name").sortWithinPartitions("name", "id", "row", F.expr("start + left"))
         return later.unionByName(self.contexts.mapInArrow(_by_anchor(k, _covered), SPAN))
@@ -352,8 +358,8 @@ class Finder:
             sides = F.explode(F.array(F.struct((F.col("l") + step).alias("l"), "r"), F.struct("l", (F.col("r") + step).alias("r"))))
             rows = rows.select(*columns, sides.alias("to")).select(*columns, "to.*").where(f"left >= l and octet_length(raw) >= left + {GRAM} + r")
             rows = rows.selectExpr("*", f"greatest(0, left - l - {rest}) as low", f"least(octet_length(raw), left + {GRAM} + r + {rest}) as high").where(f"high - low >= {self.k}")
-            rows = common.stored(rows.selectExpr("id", "row", "start + low as start", "left - low as left", "substring(raw, low + 1, high - low) as raw", "l", "r"))
-            heads = common.stored(rows.groupBy(*alike).agg(F.min(F.struct("id", "row", "start")).alias("head")))
+            rows = self.kept(common.stored(rows.selectExpr("id", "row", "start + low as start", "left - low as left", "substring(raw, low + 1, high - low) as raw", "l", "r")))
+            heads = self.kept(common.stored(rows.groupBy(*alike).agg(F.min(F.struct("id", "row", "start")).alias("head"))))
             covered = rows.join(heads, alike).where(F.struct("id", "row", "start") > F.col("head"))
             covered = covered.selectExpr("id", "row", "start", "start + octet_length(raw) as end")
             if not rest:
@@ -361,14 +367,14 @@ class Finder:
                 return
             heads = heads.select("head.*", *alike).withColumn("name", F.xxhash64("l", "r", F.expr(f"substring(raw, left - l + 1, l + {GRAM} + r)")))
             n = heads.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-            rows = common.stored(heads.join(n, "name"))
+            rows = self.kept(common.stored(heads.join(n, "name")))
             yield rows.where(F.col("n") <= HOT).select("name", *columns), covered
             rows = rows.where(F.col("n") > HOT).drop("n", "name")
             if rows.isEmpty():
                 return
 
     def groups(self) -> DataFrame:
-        """The maximal repeats through the anchors of spans(): name of the group, length, id, row and start of each occurrence."""
+        """The maximal repeats through the anchors of spans(), before result() deletes the tables that they are read from: name of the group, length, id, row and start of each occurrence."""
         return self.contexts.mapInArrow(_by_anchor(self.k, _groups), "name long, length int, id long, row long, start long")
 
     def result(self, docs: DataFrame, fn, schema) -> DataFrame:
@@ -376,13 +382,15 @@ class Finder:
 
         Only texts that lose something are shuffled: a bitmap of their ids lets the others pass.
         """
-        spans = common.released(self.spans())
-        spans = spans.repartition("id", "row").sortWithinPartitions("id", "row", "start").mapInArrow(_packed, "id long, row long, _spans binary")
+        found = common.released(self.spans())
+        common.dropped(*self.tables)
+        spans = found.repartition("id", "row").sortWithinPartitions("id", "row", "start").mapInArrow(_packed, "id long, row long, _spans binary")
         low = self.same.groupBy("same").agg(F.min("id").alias("_low"), F.count("*").alias("n")).where("n > 1").select("same", "_low")
         copies = self.same.join(low, "same").where("id > _low").select("id", "row").distinct()
         copies = copies.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.lit(None).cast("binary").alias("_spans"), F.lit(True).alias("_copy"))
         marks = spans.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_spans", F.lit(False).alias("_copy")).unionByName(copies)
         marks = common.stored(marks.groupBy("_id", "_row").agg(F.first("_spans", ignorenulls=True).alias("_spans"), F.max("_copy").alias("_copy")))
+        common.dropped(found, self.same)
         losing = self.bitmap(marks.select("_id"))
         known = docs.withColumn("_id", self.ids["id"])
 

@@ -52,6 +52,22 @@ def test_removal_equals_looking_at_all_strings(spark, seed, monkeypatch):
     assert repeats.digests(table.limit(0)).count() == 0
 
 
+def test_removal_leaves_only_the_table_that_its_result_reads(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 3)
+    rng, written, dropped = random.Random(9), [], []
+    stored, drop = repeats.common.stored, repeats.common.dropped
+    monkeypatch.setattr(repeats.common, "stored", lambda df: (written.append(out := stored(df)), out)[1])
+    monkeypatch.setattr(repeats.common, "dropped", lambda *tables: (dropped.extend(t.stored_at for t in tables), drop(*tables)))
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    docs = [(i, "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(200))) + passage[: 100 + i] + "".join(rng.choice("xyz") for _ in range(60))) for i in range(30)]
+    docs.append((40, docs[7][1]))
+    got = {r[0]: tuple(r[1:]) for r in repeats.digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_removal([(i, t.encode()) for i, t in docs], 100)
+    assert len(written) > 6 and len({t.stored_at for t in written} - set(dropped)) == 1
+    columns = {c for t in written for c in t.columns}
+    assert "raw" in columns and "many" not in columns  # texts are written for anchors with too many contexts only
+
+
 def test_long_texts_in_parts(spark):
     rng = random.Random(3)
     big = "".join(rng.choice("abcdefgh") for _ in range(repeats.BLOCK * 2 + 5000))
