@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of texts that are hashed at a time.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,7 +193,7 @@ class Scatter:
             return None
         p, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.n = [], 0
-        order = np.argsort(p, kind="stable")
+        order = np.argsort(p.astype(np.int16) if 0 <= p.min() and p.max() < 1 << 15 else p, kind="stable")  # short numbers are sorted by their digits
         p, columns = p[order], [c[order] for c in columns]
         cuts = np.flatnonzero(np.diff(p, prepend=p[0] - 1))
         ends = np.append(cuts[1:], len(p))
@@ -273,6 +274,21 @@ def released(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffles of what is run as soon as it ends, which else wait for the driver to find them unused."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes what stored() wrote, of tables that no later result reads."""
     for df in tables:

@@ -28,7 +28,7 @@ anchor and takes its class from equal texts; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -64,8 +64,8 @@ def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bitmap_of(ids: DataFrame, bits: int = MAX_BITS) -> np.ndarray:
-    """A bitmap of the ids of a one-column table: a task gives out one map, of fixed size, at most."""
+def bitmap_of(ids: DataFrame, bits: int = MAX_BITS, keys: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> np.ndarray:
+    """A bitmap of the ids of a one-column table, or of the keys in its batches: a task gives out one map, of fixed size, at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         mine: dict[int, np.ndarray] = {}
@@ -83,7 +83,8 @@ def bitmap_of(ids: DataFrame, bits: int = MAX_BITS) -> np.ndarray:
             held.clear()
 
         for batch in batches:
-            held.append(common.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64((1 << bits) - 1))
+            own = keys(batch) if keys else batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            held.append(common.mix(own) & np.uint64((1 << bits) - 1))
             if sum(map(len, held)) > 1_000_000:
                 enter()
         if held:

@@ -19,6 +19,10 @@ of the training tokens, at most ``1 / least`` a level, are broadcast so that no
 the shuffle is hot; all others are looked up by a packed shuffle, if a bitmap of fixed
 size does not rule them out. Neither ``least`` nor the bitmap changes a score.
 
+Records stay packed from counting to scores. An n-gram is counted where its suffix is and
+valued where its context is; with a broadcast suffix or context it goes by its own key,
+and such contexts are summed up in parts. Shuffles are deleted once their table is written.
+
 Defined cases: a null text is empty and has one token, its end; without training texts
 N = V = 0 and every token has probability 1; repeated rows each keep a row; a null
 doc_id counts as not held out; an empty table gives an empty result.
@@ -26,7 +30,7 @@ doc_id counts as not held out; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +45,40 @@ from tessitura.llm.ngram_join import MAX_BITS, bitmap_of, in_bitmap
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task gathers before it counts them.
-FLUSH = 1_000_000
+FLUSH = 600_000
+#: Records that chunks hold: (key, times); with its log10 probability; with what it gains as a pair; (key, what it adds to a score, to the base).
+WORD, ENTRY, HEAD, VALUE = ["<u8", "<u8"], ["<u8", "<u8", "<f8"], ["<u8", "<u8", "<f8", "<f8"], ["<u8", "<f8", "<f8"]
+#: (context, key, times, log10 probability in the suffix); (context, kept, kept0, far); (row, known words, base, score).
+GRAM, SUMS, SCORES = ["<u8", "<u8", "<u8", "<f8"], ["<u8", "<f8", "<f8", "<f8"], ["<u8", "<u4", "<f8", "<f8"]
 
 
 def places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The place of each key, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+    out = np.full(len(keys), -1, np.int64)
+    if not len(sorted_keys) or not len(keys):
+        return out
+    if len(keys) < len(sorted_keys) or keys.dtype != np.uint64:
+        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+        return np.where(sorted_keys[at] == keys, at, -1)
+    bits = np.uint64(max(8, (4 * len(sorted_keys)).bit_length()))  # keys are hashes: their upper bits lead to few
+    first = np.searchsorted(sorted_keys >> (np.uint64(64) - bits), np.arange((1 << int(bits)) + 1, dtype=np.uint64))
+    slot = (keys >> (np.uint64(64) - bits)).astype(np.int64)
+    at = first[slot]
+    todo = np.flatnonzero(first[slot + 1] > at)
+    at, end, want = at[todo], first[slot[todo] + 1], keys[todo]
+    while len(todo):
+        same = sorted_keys[at] == want
+        out[todo[same]] = at[same]
+        more = ~same & (at + 1 < end)
+        todo, at, end, want = todo[more], at[more] + 1, end[more], want[more]
+    return out
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys, where in it each distinct one starts)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
 
 
 def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -91,14 +120,63 @@ def climb(tokens: np.ndarray, lengths: np.ndarray, depth: int) -> list[tuple[np.
     return levels
 
 
+def _side(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The group of a shuffle that each key belongs to."""
+    return common.mix(keys) & np.uint64(parts - 1)
+
+
+def _dealt(chunks: DataFrame, parts: int, kinds: list[str], to: list[str], of: Callable[..., tuple[np.ndarray, ...]] | None = None) -> DataFrame:
+    """(p, chunk) of the records in ``chunk``, by the key that comes first; ``of`` makes other records of them."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        out = common.Scatter(to)
+        for batch in batches:
+            for chunk in batch.column(0):
+                columns = common.gathered([chunk.as_py()], kinds)
+                key, *more = of(*columns) if of else columns
+                if (b := out.add(_side(key, parts), key, *more)) is not None:
+                    yield b
+        if (b := out.take()) is not None:
+            yield b
+
+    return chunks.select("chunk").mapInArrow(deal, common.Scatter.SCHEMA)
+
+
+def _collected(chunks: DataFrame, kinds: list[str]) -> list[np.ndarray]:
+    """The records in ``chunk``, by key. They fit the driver."""
+    with common.cleared(chunks.sparkSession):
+        columns = common.gathered([r["chunk"] for r in chunks.select("chunk").collect()], kinds)
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def _released(df: DataFrame) -> DataFrame:
+    with common.cleared(df.sparkSession):
+        return common.released(df)
+
+
+def _bitmap(chunks: DataFrame, kinds: list[str]) -> np.ndarray:
+    """A bitmap of the keys of records in ``chunk``."""
+    with common.cleared(chunks.sparkSession):
+        return bitmap_of(chunks.select("chunk"), keys=lambda batch: common.gathered(batch.column(0).to_pylist(), kinds)[0])
+
+
+def _packed(table: dict, *columns: np.ndarray, kinds: list[str], each: int = 1 << 13, **names) -> None:
+    """Adds records to the rows of a table, few in a row: Parquet writes and reads a hundred rows at a time, whatever their size."""
+    for at in range(0, len(columns[0]), each):
+        for name, value in names.items():
+            table[name].append(value)
+        table["chunk"].append(b"".join(c[at : at + each].astype(k, copy=False).tobytes() for c, k in zip(columns, kinds, strict=True)))
+
+
 def _counted(docs: DataFrame, parts: int) -> DataFrame:
-    """(key, times) of all words."""
+    """(total, distinct, chunk) of all words; chunks hold WORD."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         out = common.Scatter(["<u8", "<u4"])
         for _, tokens, _ in token_blocks(batches):
             keys, times = np.unique(tokens, return_counts=True)
-            if (b := out.add(common.mix(keys) & np.uint64(parts - 1), keys, times)) is not None:
+            if (b := out.add(_side(keys, parts), keys, times)) is not None:
                 yield b
         if (b := out.take()) is not None:
             yield b
@@ -106,17 +184,21 @@ def _counted(docs: DataFrame, parts: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         keys, times = common.gathered(table.column("chunk").to_pylist(), ["<u8", "<u4"])
         keys, at = np.unique(keys, return_inverse=True)
-        return pa.table({"key": pa.array(keys.view(np.int64)), "times": pa.array(np.bincount(at, times, len(keys)).astype(np.int64))})
+        times = np.bincount(at, times, len(keys)).astype(np.int64)
+        out = {"total": [int(times.sum())], "distinct": [len(keys)], "chunk": [None]}
+        _packed(out, keys, times, kinds=WORD, total=0, distinct=0)
+        return pa.table(out, schema=pa.schema([("total", pa.int64()), ("distinct", pa.int64()), ("chunk", pa.binary())]))
 
-    return docs.where("not held_out").mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "key long, times long")
+    return docs.where("not held_out").mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "total long, distinct long, chunk binary")
 
 
-def _counted_grams(docs: DataFrame, n: int, parts: int, bits: int, seen: int, below: Broadcast | None) -> DataFrame:
-    """(key, context, suffix, times) of the n-grams that were seen so often, twice at least; ``below`` is a bitmap of those of n - 1 words.
+def _occurrences(docs: DataFrame, n: int, parts: int, bits: int, below: Broadcast | None, head: Broadcast) -> DataFrame:
+    """(p, chunk) of what n-grams occur in training texts, as (context, suffix, times), without those that occur once; ``below`` is a bitmap of those of n - 1 words that are kept.
 
     A first pass finds which may be seen twice, so that the second shuffles no others.
+    An n-gram goes where its suffix is, if that is not in the head.
     """
-    kinds, log_p = ["<u8", "<u8", "<u4"], parts.bit_length() - 1
+    log_p = parts.bit_length() - 1
     docs = docs.where("not held_out")
 
     def of(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,40 +219,141 @@ def _counted_grams(docs: DataFrame, n: int, parts: int, bits: int, seen: int, be
         if (b := out.take()) is not None:
             yield b
 
-    twice = docs.sparkSession.sparkContext.broadcast(common.repeated(docs.mapInArrow(names, common.Scatter.SCHEMA), bits, log_p))
+    with common.cleared(docs.sparkSession):
+        twice = docs.sparkSession.sparkContext.broadcast(common.repeated(docs.mapInArrow(names, common.Scatter.SCHEMA), bits, log_p))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        out = common.Scatter(kinds)
+        out, often = common.Scatter(["<u8", "<u8", "<u4"]), head.value[0]
         for _, tokens, lengths in token_blocks(batches):
             parts_key, key, ok = of(tokens, lengths)
             at = np.flatnonzero(ok)
             at = at[common.in_upper(twice.value, key[at])]
-            key, first, times = np.unique(key[at], return_index=True, return_counts=True)
-            at = at[first]
-            if (b := out.add(key & np.uint64(parts - 1), parts_key[at - 1], parts_key[at], times)) is not None:
+            order, cuts = grouped(key[at])
+            times, at = np.diff(cuts, append=len(at)), at[order[cuts]]
+            key, suffix = key[at], parts_key[at]
+            if (b := out.add(_side(np.where(places(often, suffix) >= 0, key, suffix), parts), parts_key[at - 1], suffix, times)) is not None:
                 yield b
         if (b := out.take()) is not None:
             yield b
 
-    def add(table: pa.Table) -> pa.Table:
-        context, suffix, times = common.gathered(table.column("chunk").to_pylist(), kinds)
-        keys, first, at = np.unique(joined(context, suffix), return_index=True, return_inverse=True)
-        total = np.bincount(at, times, len(keys)).astype(np.int64)
-        kept = total >= seen
-        columns = [x[kept].view(np.int64) for x in (keys, context[first], suffix[first], total)]
-        return pa.table([pa.array(x) for x in columns], names=["key", "context", "suffix", "times"])
+    return docs.mapInArrow(scatter, common.Scatter.SCHEMA)
+
+
+def _both(chunks: DataFrame, learned: DataFrame) -> DataFrame:
+    return chunks.withColumn("learned", F.lit(False)).unionByName(learned.withColumn("learned", F.lit(True)), allowMissingColumns=True).groupBy("p")
+
+
+def _sides(table: pa.Table, kinds: list[str], learned: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The records of a group of _both(): the first as they are, what was learned by key."""
+    chunk, which = table.column("chunk"), table.column("learned")
+    columns = common.gathered(chunk.filter(which).to_pylist(), learned)
+    order = np.argsort(columns[0], kind="stable")
+    return common.gathered(chunk.filter(pc.and_(pc.invert(which), chunk.is_valid())).to_pylist(), kinds), [c[order] for c in columns]
+
+
+def _looked_up(head: list[np.ndarray], own: list[np.ndarray], keys: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key is in the head, its value there or among a group's own; NaN without)."""
+    out, at, mine = np.full(len(keys), np.nan), places(head[0], keys), places(own[0], keys)
+    out[mine >= 0] = own[column][mine[mine >= 0]]
+    out[at >= 0] = head[column][at[at >= 0]]
+    return at >= 0, out
+
+
+def _weights(c: np.ndarray, kept: np.ndarray, kept0: np.ndarray, far: np.ndarray, divergence: float, mass: float) -> np.ndarray:
+    """What contexts leave to their suffixes; NaN for those that are no states."""
+    rest, rest0 = np.maximum(0.0, 1 - kept / c), np.maximum(1e-12, 1 - kept0)
+    far = far / c - kept / c * np.log(c) + np.where(rest > 0, rest * np.log(np.where(rest > 0, rest, 1.0) / rest0), 0.0)
+    return np.where(far >= divergence, (c * rest + mass) / (c + mass), np.nan)
+
+
+def _sums(context: np.ndarray, times: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(context, what is kept after it, its share in the suffix, how far they are apart, place of each n-gram's)."""
+    own, at = np.unique(context, return_inverse=True)
+    far = times * (np.log(times) - before * np.log(10))
+    return own, *(np.bincount(at, x, len(own)) for x in (times, 10.0**before, far)), at
 
-    return docs.mapInArrow(scatter, common.Scatter.SCHEMA).groupBy("p").applyInArrow(add, "key long, context long, suffix long, times long")
+
+def _grams(occurrences: DataFrame, level: DataFrame, parts: int, seen: int, head: Broadcast) -> DataFrame:
+    """(hot, p, chunk): GRAM of the n-grams that were seen so often, where their context is if that is not in the head; of contexts in the head SUMS, as hot."""
+
+    def count(table: pa.Table) -> pa.Table:
+        (context, suffix, times), own = _sides(table, ["<u8", "<u8", "<u4"], ENTRY)
+        keys = joined(context, suffix)
+        order, cuts = grouped(keys)
+        times = np.add.reduceat(times[order], cuts, dtype=np.uint64) if len(cuts) else times
+        kept = times >= seen
+        first, times = order[cuts][kept], times[kept].astype(float)
+        _, before = _looked_up(head.value, own, suffix[first], 2)
+        there = ~np.isnan(before)
+        keys, context, times, before = keys[first][there], context[first][there], times[there], before[there]
+        hot = places(head.value[0], context) >= 0
+        batches = []
+        for which, kinds, to, columns in ((False, GRAM, np.where(hot, keys, context), (context, keys, times, before)), (True, SUMS, *(lambda x: (x[0], x[:4]))(_sums(context[hot], times[hot], before[hot])))):
+            out = common.Scatter(kinds, 1 << 62)
+            out.add(_side(to, parts), *columns)
+            if (b := out.take()) is not None:
+                batches.append(pa.record_batch([pa.array(np.full(len(b), which)), *b.columns], schema=schema))
+        return pa.Table.from_batches(batches, schema=schema)
+
+    schema = pa.schema([("hot", pa.bool_()), *common.Scatter.ARROW])
+    return _both(occurrences, level).applyInArrow(count, "hot boolean, p int, chunk binary")
+
+
+def _states(sums: DataFrame, head: Broadcast, divergence: float, mass: float) -> DataFrame:
+    """Chunks of (context, weight) of contexts in the head."""
+
+    def add(table: pa.Table) -> pa.Table:
+        context, *parts = common.gathered(table.column("chunk").to_pylist(), SUMS)
+        own, at = np.unique(context, return_inverse=True)
+        c = head.value[1][places(head.value[0], own)].astype(float)
+        out = {"chunk": []}
+        _packed(out, own, _weights(c, *(np.bincount(at, x, len(own)) for x in parts), divergence, mass), kinds=["<u8", "<f8"])
+        return pa.table(out, schema=pa.schema([("chunk", pa.binary())]))
+
+    return sums.groupBy("p").applyInArrow(add, "chunk binary")
+
+
+def _valued(grams: DataFrame, level: DataFrame, n: int, head: Broadcast, weights: Broadcast, floor: float, divergence: float, mass: float, last: bool) -> DataFrame:
+    """(kind, level, chunk): HEAD of n-grams that reach the floor; of the others ENTRY, if a level follows, and VALUE, with that of contexts below."""
+
+    def value(table: pa.Table) -> pa.Table:
+        (context, keys, times, before), own = _sides(table, GRAM, ENTRY)
+        often, c = _looked_up(head.value, own, context, 1)
+        there = ~np.isnan(c)
+        context, keys, times, before, often, c = (x[there] for x in (context, keys, times.astype(float), before, often, c))
+        weight = np.full(len(keys), np.nan)
+        weight[often] = weights.value[1][places(weights.value[0], context[often])] if often.any() else 0.0
+        states, *parts, at = _sums(context[~often], times[~often], before[~often])
+        first = np.zeros(len(states), np.int64)
+        first[at] = np.flatnonzero(~often)
+        left = _weights(c[first], *parts, divergence, mass)
+        weight[~often] = left[at]
+        p0, state = 10.0**before, ~np.isnan(weight)
+        logp = np.where(state, np.log10(np.where(state, times / (c + mass) + weight * p0, 1.0)), before)
+        pair = np.where(state, logp - before - np.log10(np.where(state, weight, 1.0)), 0.0)
+        top = times >= floor
+        out = {"kind": [], "level": [], "chunk": []}
+        _packed(out, *(x[top] for x in (keys, times, logp, pair)), kinds=HEAD, kind=0, level=n)
+        if not last:
+            _packed(out, *(x[~top] for x in (keys, times, logp)), kinds=ENTRY, kind=1, level=n)
+        changes = ~top & (np.abs(pair) > 1e-12)  # the others change no score
+        _packed(out, keys[changes], pair[changes], np.zeros(changes.sum()), kinds=VALUE, kind=2, level=n)
+        left = np.log10(np.where(np.isnan(left), 1.0, left))
+        changes = left != 0
+        _packed(out, states[changes], left[changes], np.zeros(changes.sum()), kinds=VALUE, kind=2, level=n - 1)
+        return pa.table(out, schema=pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("chunk", pa.binary())]))
+
+    return _both(grams, level).applyInArrow(value, "kind int, level int, chunk binary")
 
 
 class Tree:
-    """The frequent n-grams of each level by sorted key: what they gain as pairs, what they leave to their suffix as contexts; and a bitmap of the others of two words and more."""
+    """The frequent n-grams of each level by sorted key: what they gain as pairs, what they leave to their suffix as contexts; and a bitmap of each level's others, but for words."""
 
-    def __init__(self, keys: list[np.ndarray], pairs: list[np.ndarray], left: list[np.ndarray], others: np.ndarray, total: int, unit: float):
+    def __init__(self, keys: list[np.ndarray], pairs: list[np.ndarray], left: list[np.ndarray], others: list[np.ndarray | None], total: int, unit: float):
         self.keys, self.pairs, self.left, self.others, self.total, self.unit = keys, pairs, left, others, total, unit
 
-    def score(self, tokens: np.ndarray, lengths: np.ndarray, missed: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, place of the word or -1) of each token, without what n-grams that are not frequent add; ``missed`` gets for each level their tokens and keys."""
+    def score(self, tokens: np.ndarray, lengths: np.ndarray, missed: list | None = None, levels: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, place of the word or -1) of each token, without what n-grams that are not frequent add; ``missed`` gets their tokens and keys, for each of the levels (from 0)."""
         out, found = np.zeros(len(tokens)), None
         if tokens.dtype != np.uint64:  # rounded to floats, as by np.append of an int: the words that they stand for
             at = places(self.keys[0], tokens)
@@ -183,66 +366,73 @@ class Tree:
                 after = np.flatnonzero(there[:-1]) + 1
                 after = after[np.repeat(np.cumsum(lengths) - lengths, lengths)[after] != after]
                 out[after] += self.left[n][at[after - 1]]
-            if missed is not None:
-                rare = np.flatnonzero(ok & ~there)
-                rare = rare[in_bitmap(self.others, key[rare])] if n else rare
-                missed.append((rare, key[rare]))
+            if n in levels:
+                missed.append(self.rare(n, key, ok & ~there))
             found = at if found is None else found
         return out, found
 
+    def rare(self, n: int, key: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, keys) of the n-grams that may be among those that are not frequent."""
+        rare = np.flatnonzero(ok)
+        rare = rare if self.others[n] is None else rare[in_bitmap(self.others[n], key[rare])]
+        return rare, key[rare]
+
+    def missed(self, tokens: np.ndarray, lengths: np.ndarray, levels: Iterable[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What score() gives as missed, without the score."""
+        found = climb(tokens, lengths, max(levels))
+        rare = [self.rare(n, *found[n]) for n in levels]
+        return [(at[new], key[new]) for n, (at, key) in zip(levels, rare, strict=True) for new in [places(self.keys[n], key) < 0]]
+
 
 def train(docs: DataFrame, depth: int = 2, least: float = 1e-6, divergence: float = 0.02, mass: float = 10.0, seen: int = 2) -> tuple[Tree, DataFrame]:
-    """By the rows of docs (doc_id, held_out, text as bytes) that are not held out: a tree, and the values (key, level, often, times, pair, left) of all its n-grams; times is null but for words."""
+    """By the rows of docs (doc_id, held_out, text as bytes) that are not held out: a tree, and the values (level, chunk) of all its other n-grams, packed as VALUE."""
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     size = common.total_bytes(docs)
-    words = common.released(_counted(docs, common.parts_for(size, 32 << 20, 16)))
-    sums = words.agg(F.sum("times").alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = sums["total"] or 0, sums["distinct"]
+    parts = common.parts_for(size, 16 << 20, 16)
+    bits = max(parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
+    words = _released(_counted(docs, parts))
+    sums = words.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    total, distinct = sums["total"] or 0, sums["distinct"] or 0
     unit = float(np.log10(total + distinct + 1))
-    level = words.select("key", "times", (F.log10(F.col("times") + 1.0) - F.lit(unit)).alias("logp"))
-    lit, none = F.lit, F.lit(0.0)
-    kept = [words]
-    values = [words.select("key", lit(1).alias("level"), F.col("times").alias("often"), "times", F.log10(F.col("times") + 1.0).alias("pair"), none.alias("left"))]
+    floor = max(1.0, least * total)
+    words = words.where("chunk is not null")
+    top = lambda key, times: (key[times >= floor], times[times >= floor])
+    low = lambda key, times: (key[times < floor], times[times < floor])
+    key, times = _collected(_dealt(words, 1, WORD, WORD, top), WORD)  # at most 1 / least, as of each level
+    logs = np.log10(times + 1.0)
+    keys, pairs, lefts, others = [key], [logs - unit], [np.zeros(len(key))], [None]
+    head = send([key, times, logs - unit])
+    level = _dealt(words, parts, WORD, ENTRY, lambda key, times: (*low(key, times), np.log10(low(key, times)[1] + 1.0) - unit))
+    values = _dealt(words, 1, WORD, VALUE, lambda key, times: (low(key, times)[0], *2 * (np.log10(low(key, times)[1] + 1.0),))).select(F.lit(1).alias("level"), "chunk")
     below = None
     for n in range(2, depth + 2):
-        parts = common.parts_for(size, 16 << 20, 16)
-        bits = max(parts.bit_length() + 3, min(MAX_BITS, max(16, size.bit_length())))
-        grams = _counted_grams(docs, n, parts, bits, seen, below)
-        grams = common.released(grams.join(level.select(F.col("key").alias("suffix"), F.col("logp").alias("before")), "suffix").drop("suffix"))
-        p0, ln = F.pow(lit(10.0), F.col("before")), float(np.log(10))
-        far = F.sum(F.col("times") * (F.log("times") - F.col("before") * lit(ln))).alias("far")
-        context = grams.groupBy("context").agg(F.sum("times").alias("kept"), F.sum(p0).alias("kept0"), far).join(level.select(F.col("key").alias("context"), F.col("times").alias("c")), "context")
-        rest, rest0 = F.greatest(none, 1 - F.col("kept") / F.col("c")), F.greatest(lit(1e-12), 1 - F.col("kept0"))
-        far = F.col("far") / F.col("c") - F.col("kept") / F.col("c") * F.log("c") + F.when(rest > 0, rest * F.log(rest / rest0)).otherwise(0.0)
-        weight = F.when(far >= divergence, (F.col("c") * rest + mass) / (F.col("c") + mass))
-        context = common.released(context.select("context", F.col("c").cast("long").alias("c"), weight.alias("weight")))
-        p = F.when(F.col("weight").isNull(), p0).otherwise(F.col("times") / (F.col("c") + mass) + F.col("weight") * p0)
-        left = F.log10(F.coalesce("weight", lit(1.0)))
-        level = common.released(grams.join(context, "context").select("key", "times", F.log10(p).alias("logp"), (F.log10(p) - F.col("before") - left).alias("pair")))
+        grams = _released(_grams(_occurrences(docs, n, parts, bits, below, head), level, parts, seen, head))
+        weights = _collected(_states(grams.where("hot"), head, divergence, mass), ["<u8", "<f8"])
+        at = places(keys[-1], weights[0])
+        lefts[-1][at] = np.where(np.isnan(weights[1]), 0.0, np.log10(np.where(np.isnan(weights[1]), 1.0, weights[1])))
+        made = _released(_valued(grams.where("not hot").drop("hot"), level, n, head, send(weights), floor, divergence, mass, n > depth))
         common.dropped(grams)
-        often = lit(None).cast("long")
-        values.append(level.select("key", lit(n).alias("level"), F.col("times").alias("often"), often.alias("times"), "pair", none.alias("left")))
-        values.append(context.where("weight is not null").select(F.col("context").alias("key"), lit(n - 1).alias("level"), F.col("c").alias("often"), often.alias("times"), none.alias("pair"), left.alias("left")))
-        if n <= depth:
-            below = spark.sparkContext.broadcast(bitmap_of(level.select("key")))
-        kept.append(level)
-        kept.append(context)
-    table = values[0]
-    for more in values[1:]:
-        table = table.unionByName(more)
-    floor = max(1.0, least * total)
-    table = common.released(table.where("times is not null or abs(pair) > 1e-12 or left <> 0"))  # the others change no score
-    common.dropped(*kept)
-    head = table.where(F.col("often") >= floor).toPandas()
-    keys, pairs, lefts = [], [], []
-    for n in range(1, depth + 2):
-        own = head[head["level"] == n]
-        key, at = np.unique(own["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        key, times, logp, pair = _collected(made.where("kind = 0"), HEAD)
         keys.append(key)
-        pairs.append(np.bincount(at, own["pair"].to_numpy(float), len(key)) - (unit if n == 1 else 0.0))
-        lefts.append(np.bincount(at, own["left"].to_numpy(float), len(key)))
-    rest = table.where(F.col("often") < floor)
-    return Tree(keys, pairs, lefts[:-1], bitmap_of(rest.where("level > 1").select("key")), total, unit), rest
+        pairs.append(pair)
+        lefts.append(np.zeros(len(key)))
+        values = values.unionByName(made.where("kind = 2").select("level", "chunk"))
+        if n <= depth:
+            head = send([key, times, logp])
+            level = _dealt(made.where("kind = 1"), parts, ENTRY, ENTRY)
+            below = send(_bitmap(made.where("kind = 1"), ENTRY) | _bits(key))
+    for n in range(2, depth + 2):
+        others.append(_bitmap(values.where(F.col("level") == n), VALUE))
+    return Tree(keys, pairs, lefts[:-1], others, total, unit), values
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """A bitmap of keys on the driver, as bitmap_of() makes it."""
+    out = np.zeros(1 << (MAX_BITS - 3), np.uint8)
+    at = common.mix(keys) & np.uint64((1 << MAX_BITS) - 1)
+    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+    return out
 
 
 def _row_key(doc: int | None, text: bytes | None) -> int:
@@ -250,69 +440,77 @@ def _row_key(doc: int | None, text: bytes | None) -> int:
 
 
 def score(docs: DataFrame, tree: Tree, values: DataFrame) -> DataFrame:
-    """By a trained tree and the values of its other n-grams: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
+    """By a trained tree and the values of its other n-grams: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
+
+    Texts are read twice, for every other level each, so that a shuffle holds the lookups of half of them.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tree)
     parts = common.parts_for(common.total_bytes(docs), 32 << 20, 16)
-    kinds = ["<u8", "<f8", "<u4"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        tree, out = shared.value, common.Scatter(["<u8", "<u8"])
-        for rows, tokens, lengths in token_blocks(batches, 500_000):
-            logs, place = tree.score(tokens, lengths, missed := [])
-            known = place >= 0
-            base = np.where(known, tree.pairs[0][place] if len(tree.pairs[0]) else 0.0, 0.0)
-            starts = np.cumsum(lengths) - lengths
-            keys = np.array([_row_key(doc, text) for doc, _, text in rows], np.uint64)
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array(keys.view(np.int64)), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
-            yield pa.record_batch([*columns, pa.array((keys & np.uint64(parts - 1)).astype(np.int32)), pa.nulls(len(rows), pa.binary())], names=names)
-            at, rare = (np.concatenate(c) for c in zip(*missed, strict=True))
-            order = np.argsort(at, kind="stable")  # a row's own together, which compress well
-            rare, of = rare[order], np.repeat(keys, lengths)[at[order]]
-            if (b := out.add(common.mix(rare) & np.uint64(parts - 1), rare, of)) is not None:
+
+    def run(levels: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            tree, out = shared.value, common.Scatter(["<u8", "<u8"])
+            for rows, tokens, lengths in token_blocks(batches, 500_000):
+                keys = np.array([_row_key(doc, text) for doc, _, text in rows], np.uint64)
+                if levels[0]:
+                    missed = tree.missed(tokens, lengths, levels)
+                else:
+                    logs, place = tree.score(tokens, lengths, missed := [], levels)
+                    known = place >= 0
+                    base = np.where(known, tree.pairs[0][place] if len(tree.pairs[0]) else 0.0, 0.0)
+                    starts = np.cumsum(lengths) - lengths
+                    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(keys.view(np.int64)), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
+                    yield pa.record_batch([*columns, pa.array(_side(keys, parts).astype(np.int32)), pa.nulls(len(rows), pa.binary())], schema=schema)
+                at, rare = (np.concatenate(c) for c in zip(*missed, strict=True))
+                order = np.argsort(at, kind="stable")  # a row's own together, which compress well
+                rare, of = rare[order], np.repeat(keys, lengths)[at[order]]
+                if (b := out.add(_side(rare, parts), rare, of)) is not None:
+                    yield chunks(b)
+            if (b := out.take()) is not None:
                 yield chunks(b)
-        if (b := out.take()) is not None:
-            yield chunks(b)
 
-    names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "logs", "p", "chunk"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return texts
 
-    def chunks(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([*(pa.nulls(len(b), k) for k in types), *b.columns], names=names)
+    kept = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, logs double"
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("logs", pa.float64()), *common.Scatter.ARROW])
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        out = common.Scatter(kinds)
-        for batch in batches:
-            key, value, times = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            key = key.view(np.uint64)
-            if (b := out.add(common.mix(key) & np.uint64(parts - 1), key, value, times)) is not None:
-                yield b
-        if (b := out.take()) is not None:
-            yield b
+    def chunks(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([*(pa.nulls(len(b), k) for k in schema.types[:-2]), *b.columns], schema=schema)
 
     def look_up(table: pa.Table) -> pa.Table:
-        chunk, learned = table.column("chunk"), table.column("learned")
-        gram, of = common.gathered(chunk.filter(pc.and_(pc.invert(learned), chunk.is_valid())).to_pylist(), ["<u8", "<u8"])
-        key, value, times = common.gathered(chunk.filter(learned).to_pylist(), kinds)
+        (gram, of), (key, value, base) = _sides(table, ["<u8", "<u8"], VALUE)
         key, at = np.unique(key, return_inverse=True)
-        value, times = np.bincount(at, value, len(key)), np.bincount(at, times, len(key))
+        value, base = np.bincount(at, value, len(key)), np.bincount(at, base, len(key))
         place = places(key, gram)
-        gram, of, place = gram[place >= 0], of[place >= 0], place[place >= 0]
+        of, place = of[place >= 0], place[place >= 0]
         row, at = np.unique(of, return_inverse=True)
-        known, base, logs = (np.bincount(at, x[place], len(row)) for x in (times > 0, np.log10(times + 1), value))
-        added = [pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.bool_()), pa.array(row.view(np.int64)), pa.nulls(len(row), pa.int64()), pa.array(known.astype(np.int64)), pa.array(base, pa.float64()), pa.array(logs, pa.float64())]
-        rows = table.filter(table.column("row").is_valid()).select(names[:7])
-        return pa.concat_tables([rows, pa.table(added, schema=rows.schema)])
-
-    kept = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, logs double"
-    texts = docs.mapInArrow(run, f"{kept}, p int, chunk binary").withColumn("learned", F.lit(False))
-    learned = values.select("key", (F.col("pair") + F.col("left")).alias("value"), F.coalesce("times", F.lit(0)).alias("times")).mapInArrow(dealt, common.Scatter.SCHEMA).withColumn("learned", F.lit(True))
-    both = common.released(texts.unionByName(learned, allowMissingColumns=True).groupBy("p").applyInArrow(look_up, kept))
-    rows, rare = both.where("n_tokens is not null"), both.where("n_tokens is null").select("row", F.col("logs").alias("rare_logs"), F.col("base").alias("rare_base"), F.col("n_known").alias("rare_known"))
-    rare = rare.groupBy("row").agg(F.sum("rare_logs").alias("rare_logs"), F.sum("rare_base").alias("rare_base"), F.sum("rare_known").alias("rare_known"))
+        known, base, logs = (np.bincount(at, x[place], len(row)) for x in (base > 0, base, value))
+        out = common.Scatter(SCORES, 1 << 62)
+        out.add(_side(row, parts), row, known, base, logs)
+        rows = table.filter(table.column("row").is_valid()).select(schema.names).cast(schema)
+        return rows if (b := out.take()) is None else pa.concat_tables([rows, pa.Table.from_batches([chunks(b)])])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        row, known, base, logs = common.gathered(table.column("chunk").to_pylist(), SCORES)
+        row, at = np.unique(row, return_inverse=True)
+        known, base, logs = (np.bincount(at, x, len(row)) for x in (known, base, logs))
+        return pa.table({"row": row.view(np.int64), "rare_known": known.astype(np.int64), "rare_base": base, "rare_logs": logs})
+
+    found = []
+    for levels in (list(range(len(tree.keys))[k::2]) for k in (0, 1)):
+        if levels:
+            texts = docs.mapInArrow(run(levels), f"{kept}, p int, chunk binary")
+            learned = _dealt(values.where((F.col("level") - 1).isin(levels)), parts, VALUE, VALUE)
+            found.append(_released(_both(texts, learned).applyInArrow(look_up, f"{kept}, p int, chunk binary")))
+    rows = found[0].where("n_tokens is not null")
+    sums = found[0].where("chunk is not null").select("p", "chunk")
+    for more in found[1:]:
+        sums = sums.unionByName(more.where("chunk is not null").select("p", "chunk"))
+    sums = sums.groupBy("p").applyInArrow(add_up, "row long, rare_known long, rare_base double, rare_logs double")
     same = rows.groupBy("row").agg(F.count("*").alias("same"), F.sum(F.col("n_tokens") - F.col("n_known")).alias("rare"))
     add = lambda name: (F.coalesce(name, F.lit(0.0)) / F.col("same") - F.col("rare") / F.col("same") * F.lit(tree.unit))
-    rare = same.join(rare, "row", "left").select("row", add("rare_logs").alias("add"), add("rare_base").alias("add_base"), F.expr("coalesce(rare_known, 0) div same").alias("add_known"))
+    rare = same.join(sums, "row", "left").select("row", add("rare_logs").alias("add"), add("rare_base").alias("add_base"), F.expr("coalesce(rare_known, 0) div same").alias("add_known"))
     out = rows.join(rare, "row")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("add_known")).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + F.col("add_base")).alias("base_score"), (F.col("logs") + F.col("add")).alias("score"))
 
