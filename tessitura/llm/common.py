@@ -52,15 +52,20 @@ def letter_runs(text: str) -> list[bytes]:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit values that spreads their bits."""
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+    out = h >> np.uint64(31)
+    out ^= h  # in place: memory that is new is dear
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    h = out >> np.uint64(29)
+    h ^= out
+    return h
 
 
 #: Bytes of texts that are hashed at a time.
-BLOCK = 1 << 17
+BLOCK = 1 << 15
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: 0 for blanks, 1 for all other bytes.
+SOLID = bytes((~SPACE).tolist())
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,13 +87,21 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(unsigned 64-bit hash, start) of each lower-cased word of some UTF-8 bytes."""
     if not raw:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    x = np.frombuffer(raw.translate(LOWER), np.uint8)
-    solid = np.concatenate(([False], ~SPACE[x], [False]))
+    low = raw.translate(LOWER)
+    solid = np.frombuffer(b"".join((b"\0", low.translate(SOLID), b"\0")), np.uint8)
     edges = np.flatnonzero(solid[1:] != solid[:-1])
     start, end = edges[::2], edges[1::2]
-    powers, back = Powers.upto(len(x))
-    sums = np.append(np.uint64(0), np.cumsum(_BYTE[x] * powers[: len(x)]))
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start
+    powers, back = Powers.upto(len(low))
+    terms = _BYTE.take(np.frombuffer(low, np.uint8))
+    terms *= powers[: len(low)]
+    sums = np.empty(len(low) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(terms, out=sums[1:])
+    sums = sums[edges]
+    h = sums[1::2] - sums[::2]
+    h *= back[start]
+    h += (end - start).view(np.uint64)
+    return mix(h), start
 
 
 def texts_hashes(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -194,10 +207,10 @@ class Scatter:
         p, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.n = [], 0
         order = np.argsort(p.astype(np.int16) if 0 <= p.min() and p.max() < 1 << 15 else p, kind="stable")  # short numbers are sorted by their digits
-        p, columns = p[order], [c[order] for c in columns]
+        p, columns = p[order], [c.take(order) for c in columns]
         cuts = np.flatnonzero(np.diff(p, prepend=p[0] - 1))
         ends = np.append(cuts[1:], len(p))
-        chunks = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts, ends, strict=True)]
+        chunks = [b"".join([c[a:b] for c in columns]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
         out = pa.record_batch([pa.array(p[cuts]), pa.array(chunks, pa.binary())], schema=self.ARROW)
         del columns, chunks, order
         tidy()
@@ -208,14 +221,25 @@ def repeated(chunks: DataFrame, bits: int, log_p: int) -> np.ndarray:
     """A bitmap by their upper bits of the keys that were scattered twice: p is a key's upper ``log_p`` bits, the one column its next 32."""
 
     def several(key: tuple, table: pa.Table) -> pa.Table:
-        (v,) = gathered(table.column("chunk").to_pylist(), ["<u4"])
-        v = np.sort(v)
-        seen = np.zeros(1 << (bits - log_p), np.uint8)
-        seen[v[1:][v[1:] == v[:-1]] >> np.uint32(32 - bits + log_p)] = 1
-        return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
+        seen = repeated_here(table.column("chunk").to_pylist(), bits - log_p)
+        return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([seen], pa.binary())})
 
+    return joined_bits(chunks.groupBy("p").applyInArrow(several, "p int, bits binary"), bits, log_p)
+
+
+def repeated_here(chunks: list[bytes], bits: int) -> bytes:
+    """A group's share of what repeated() gives."""
+    (v,) = gathered(chunks, ["<u4"])
+    v = np.sort(v)
+    seen = np.zeros(1 << bits, np.uint8)
+    seen[v[1:][v[1:] == v[:-1]] >> np.uint32(32 - bits)] = 1
+    return np.packbits(seen, bitorder="little").tobytes()
+
+
+def joined_bits(shares: DataFrame, bits: int, log_p: int) -> np.ndarray:
+    """A bitmap by the groups' shares (p, bits)."""
     out, each = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - log_p - 3)
-    for r in chunks.groupBy("p").applyInArrow(several, "p int, bits binary").collect():  # 2 ** bits bits in all
+    for r in shares.collect():  # 2 ** bits bits in all
         out[r["p"] * each : (r["p"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
     return out
 

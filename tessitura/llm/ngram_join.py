@@ -72,12 +72,13 @@ def bitmap_of(ids: DataFrame, bits: int = MAX_BITS, keys: Callable[[pa.RecordBat
         held: list[np.ndarray] = []
 
         def enter() -> None:
-            at = np.unique(np.concatenate(held))
-            page = at >> np.uint64(15)
+            at = np.concatenate(held)
+            at = np.sort(at.astype(np.uint32) if bits <= 32 else at)  # the same place again sets the same bit
+            page = at >> at.dtype.type(15)
             cuts = np.flatnonzero(np.diff(page.astype(np.int64), prepend=-1))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
                 seen = np.zeros(32768, np.uint8)
-                seen[(at[a:b] & np.uint64(32767)).astype(np.int64)] = 1
+                seen[at[a:b] & at.dtype.type(32767)] = 1
                 seen = np.packbits(seen, bitorder="little")
                 mine[int(page[a])] = mine[int(page[a])] | seen if int(page[a]) in mine else seen
             held.clear()
