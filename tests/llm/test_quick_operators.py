@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,37 @@ def test_links_do_not_depend_on_the_size_of_a_block(spark, monkeypatch):
     assert found[8] == found[1024] and sum(found[8].values()) > 80_000
 
 
+def test_vectors_are_hashed_once_for_many_blocks(monkeypatch):
+    """What a linked pair costs must not grow with the tables: a block of its own for each pair, none hashed apart."""
+    rng, calls = np.random.default_rng(11), []
+    turn = embeddings.rotated
+    monkeypatch.setattr(embeddings, "rotated", lambda x, seed: calls.append(seed) or turn(x, seed))
+    base = rng.normal(size=(300, 64)).astype(np.float32)
+    x = np.repeat(base, 2, axis=0) * np.tile([1, 2], 300)[:, None].astype(np.float32)
+    raw = [v.tobytes() for v in x]
+    names = embeddings.buckets(embeddings._unit(raw, "<f4"), 3, 11, 3).view(np.int64)
+    calls.clear()
+    rows = sorted((int(name), k) for k in range(600) for name in names[k, [0, 7]].reshape(-1))  # in two tables, so that each pair is met six times
+    z = pa.array(np.zeros(len(rows), np.int32))
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), z, z, z, pa.array([r[1] for r in rows]), pa.array(np.ones(len(rows), np.int64)), pa.array([raw[r[1]] for r in rows], pa.binary())], names=["bucket", "i", "j", "mine", "key", "n", "raw"])
+    found = pa.Table.from_batches(embeddings._compare(0.9, 3, 3, "<f4")(iter([batch.slice(0, 500), batch.slice(500)]))).to_pydict()
+    assert sorted(found["key"]) == list(range(600)) and set(found["links"]) == {1}  # once each
+    assert all(other == key - key % 2 for key, other in zip(found["key"], found["other"]))
+    assert len(calls) < 300 / 10
+
+
+def test_vectors_of_floats_and_of_doubles_link_alike(spark):
+    rng = np.random.default_rng(12)
+    base = np.float32(rng.normal(size=(40, 24)))
+    rows = [(k, [float(v) for v in np.float32(base[k % 40] * (1 + k % 3) + rng.normal(size=24) * 0.1)]) for k in range(200)]
+    rows += [(900, None), (901, [0.0] * 24), (902, [1.0] * 23 + [None]), (903, [float("inf")] * 24), (904, []), (905, [1.0, 2.0]), (906, [2.0, 4.0])]
+    got = [sorted(map(tuple, embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)).collect())) for kind in ("float", "double")]
+    x = np.array([r[1] for r in rows[:200]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert got[0] == got[1] and [r[1] for r in got[0]] == [*want.tolist(), 0, 0, 0, 0, 0, 1, 1]
+
+
 def test_a_small_language_keeps_its_words(spark):
     rows = [(k, "kana kona zupa", "aa") for k in range(200)] + [(900, "zupar kanal", "bb"), (901, "zupar", None), (902, "kanal zupa kanal", None), (903, "x" * 63 + "zup", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
