@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.operators import spectra
+from tessitura.sources import shared
+
+#: The least part of a beat is a microsecond over at most this; tempi of up to two decimals below 655 are so exact, others within 1e-10 microseconds a beat or so.
+FINEST = 1 << 16
+#: The bits of a time, in microseconds, within which onsets meet each other; those above which phases of a node are summed in bins; the level of the node of all later onsets.
+LEAF, LARGE, ALL = 13, 20, 63
+#: Bins of phases of the largest nodes.
+BINS = 512
 
 
 def autocorrelation(onsets: DataFrame, bin_us: int, max_lag: int) -> DataFrame:
@@ -33,17 +44,73 @@ def first_downbeat(onsets: DataFrame, bpm: float, window_us: int = 2_000_000) ->
 
     A later onset within 0.15 beats of the grid adds 1 less its distance; of equal scores the
     earliest onset wins; without an onset in the window it is the track's first.
+
+    Times are whole microseconds and so are counted in whole parts of a beat (FINEST), and onsets are not
+    paired: those after the window are one node of a track, those within it are in the nodes
+    of a tree by their time, where a grid asks the right half of each node that has it in its left one, and only
+    times of one leaf (LEAF) meet. Distances that are the limit to the last digit, which
+    rounding decides, are looked up by their phase. Distinct times are checkpointed.
     """
-    marks = onsets.select("track_id", "t_us")
-    early = marks.where(F.col("t_us") < window_us).distinct().withColumnRenamed("t_us", "at")
-    beat = ((F.col("t_us") - F.col("at")) / F.lit(1e6)) / F.lit(60.0 / bpm)
-    far = F.abs(beat - F.rint(beat))
-    scored = marks.join(early, "track_id").where("t_us >= at").groupBy("track_id", "at").agg(F.round(F.sum(F.when(far < 0.15, 1 - far).otherwise(0.0)), 6).alias("score"))
+    beat = (Fraction(60_000_000) / Fraction(str(float(bpm)))).limit_denominator(FINEST)
+    turn, parts = beat.numerator, beat.denominator
+    reach = (3 * turn - 1) // 20  # less than 0.15 beats
+    counts = shared.cut(onsets.groupBy("track_id", F.col("t_us").cast("long").alias("t_us")).agg(F.count("*").alias("n")))
+    first = counts.groupBy("track_id").agg(F.min("t_us").alias("first"))
+    marks = counts.where("t_us is not null").join(first, "track_id").select("track_id", "t_us", "n", (F.col("t_us") - F.col("first")).alias("since"), F.pmod(F.col("t_us") * parts, F.lit(turn)).alias("phase"), F.length(F.bin(window_us - 1 - F.col("first"))).alias("bits"))
+    early = marks.where(F.col("t_us") < window_us).withColumn("leaf", F.shiftright("since", LEAF))
+    terms = _grid_sums(marks, early, window_us, turn, reach)
+    later = early.select("track_id", "leaf", "t_us", "phase", "n")
+    met = early.select("track_id", "leaf", F.col("t_us").alias("at"), F.col("phase").alias("from")).join(later, ["track_id", "leaf"]).where("t_us >= at")
+    around = F.pmod(F.col("phase") - F.col("from"), F.lit(turn))
+    off = F.least(around, turn - around)
+    terms = terms.unionByName(met.select("track_id", "at", F.when(off <= reach, F.col("n") * (turn - off)).otherwise(0).alias("term")))
+    if 3 * turn % 20 == 0:
+        limit = 3 * turn // 20
+        ends = F.array(*[F.pmod(F.col("phase") + d, F.lit(turn)) for d in (-limit, limit)])
+        met = early.select("track_id", F.col("t_us").alias("at"), F.explode(ends).alias("phase")).join(marks, ["track_id", "phase"]).where("t_us >= at")
+        beats = ((F.col("t_us") - F.col("at")) / F.lit(1e6)) / F.lit(60.0 / bpm)
+        terms = terms.unionByName(met.where(F.abs(beats - F.rint(beats)) < 0.15).select("track_id", "at", (F.col("n") * (turn - limit)).alias("term")))
+    scored = terms.groupBy("track_id", "at").agg(F.round(F.sum("term") / F.lit(float(turn)), 6).alias("score"))
     best = scored.groupBy("track_id").agg(F.max(F.struct("score", (-F.col("at")).alias("early"))).alias("b")).select("track_id", (-F.col("b.early")).alias("found"))
-    first = marks.groupBy("track_id").agg(F.min("t_us").alias("first"))
     return first.join(best, "track_id", "left").select("track_id", F.coalesce("found", "first").alias("downbeat_us"))
 
 
+def _grid_sums(marks: DataFrame, early: DataFrame, window_us: int, turn: int, reach: int) -> DataFrame:
+    """track_id, at and term, the sums over the marks of a node that lie within reach of the grid from ``at``, of turn less their distance.
+
+    A sum is made of running counts and running sums of phases at both ends of the reach and
+    before its middle. Phases run on past one turn, so that no reach is cut; those of a large
+    node are summed in bins, so that none is one task.
+    """
+    node = ["track_id", "level", "node"]
+    levels = F.concat(F.when(F.col("bits") > LEAF, F.sequence(F.lit(LEAF), F.col("bits") - 1)).otherwise(F.array().cast("array<int>")), F.array(F.lit(ALL)))
+    rows = early.withColumn("level", F.explode(levels))
+    rows = rows.withColumn("asks", (F.col("level") == ALL) | (F.expr("shiftright(since, level) & 1") == 0))
+    rows = rows.withColumn("node", F.when(F.col("level") == ALL, F.lit(0).cast("long")).otherwise(F.expr("shiftright(since, level + 1)")))
+    late = marks.where(F.col("t_us") >= window_us).withColumns({"level": F.lit(ALL), "asks": F.lit(False), "node": F.lit(0).cast("long")})
+    rows = rows.select(*node, "asks", "t_us", "phase", "n").unionByName(late.select(*node, "asks", "t_us", "phase", "n"))
+    x = F.col("phase")
+    middle = F.when(x <= reach, x + turn).otherwise(x)
+    ask = lambda k, place: F.struct(F.lit(k).alias("ask"), place.alias("x"))
+    asked = F.array(ask(1, middle + reach), ask(2, middle - 1), ask(3, middle - reach - 1))
+    given = F.when(x <= 2 * reach, F.array(ask(0, x), ask(0, x + turn))).otherwise(F.array(ask(0, x)))
+    rows = rows.withColumn("p", F.explode(F.when(F.col("asks"), asked).otherwise(given)))
+    bins = F.when(F.col("level") == ALL, BINS).when(F.col("level") > LARGE, F.least(F.lit(BINS), F.expr(f"shiftleft(1, least(level - {LARGE}, 16))"))).otherwise(1)
+    rows = rows.select(*node, "t_us", F.col("p.ask").alias("ask"), F.col("p.x").alias("x"), F.when(F.col("asks"), 0).otherwise(F.col("n")).alias("n"), bins.alias("bins"))
+    rows = rows.withColumn("bin", F.floor(F.col("x") * F.col("bins") / (2 * turn)).cast("int"))
+    sums = rows.where("bins > 1").groupBy(*node, "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("nx"))
+    below = W.partitionBy(*node).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*node, "bin", F.sum("n").over(below).alias("n_below"), F.sum("nx").over(below).alias("nx_below"))
+    upto = W.partitionBy(*node, "bin").orderBy("x", "ask").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.join(sums, [*node, "bin"], "left")
+    n = F.sum("n").over(upto) + F.coalesce("n_below", F.lit(0))
+    nx = F.sum(F.col("n") * F.col("x")).over(upto) + F.coalesce("nx_below", F.lit(0))
+    rows = rows.select("track_id", F.col("t_us").alias("at"), "ask", "x", n.alias("n"), nx.alias("nx")).where("ask > 0")
+    n, nx, x = F.col("n"), F.col("nx"), F.col("x")
+    term = F.when(F.col("ask") == 1, (turn + x - reach) * n - nx).when(F.col("ask") == 2, 2 * nx - 2 * (x + 1) * n).otherwise((x + reach + 1 - turn) * n - nx)
+    return rows.select("track_id", "at", term.alias("term"))
+
+
 def tempogram(curve: DataFrame, value: str, per_second: float, low: int = 60, high: int = 160, window: float = 8.0, hop: float = 4.0) -> DataFrame:
     """track_id, start (seconds), bpm and strength of overlapping windows of a curve (track_id, frame_idx without gaps).
 

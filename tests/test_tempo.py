@@ -113,3 +113,61 @@ def test_correlation_whatever_the_chunk(spark, chunk):
         assert np.allclose(r["r"][: len(full)], full) and r["n"] == len(x)
     got = {r["track_id"]: r["bpm"] for r in tempo.correlated_tempi(rows, "x", 20.0).where("strength > 0.5").collect()}
     assert got[2] == 100.0
+
+
+def plain_downbeat(times, bpm, window):
+    """What the grid of each early onset gathers, in the order of the sums; the track's first where there is none."""
+    times = np.array(sorted(times))
+    found = []
+    for at in sorted({int(t) for t in times if t < window}):
+        beats = ((times[times >= at] - at) / 1e6) / (60.0 / bpm)
+        far = np.abs(beats - np.rint(beats))
+        found.append((round(float(np.where(far < 0.15, 1 - far, 0).sum()), 6), -at))
+    return -max(found)[1] if found else int(times[0])
+
+
+@pytest.mark.parametrize("bpm,window", [(67.0, 30_000_000), (67.0, 9_000), (120.0, 2_000_000), (97.53, 3_000_000_000), (70.58823529411765, 5_000_000), (133.3, 1 << 24)])
+def test_downbeats_equal_all_pairs(spark, bpm, window):
+    rng = random.Random(f"{bpm} {window}")
+    beat = 60e6 / bpm
+    tracks = {
+        1: [rng.randrange(0, window * 2) for _ in range(400)],
+        2: [rng.randrange(-window, window) for _ in range(300)],  # before 0, and none after the window
+        3: [rng.randrange(window, window * 3) for _ in range(50)],  # none in it
+        4: [round(333 + k * beat) + rng.choice([0, 0, 1, -1, round(0.15 * beat), round(0.15 * beat) - 1, -round(0.15 * beat)]) for k in range(300)] * 2,  # at the limit
+        5: [rng.randrange(min(window, 5000)) for _ in range(300)] + [10**10 + 7 * k for k in range(100)],
+        6: [window - 1] * 9 + [window] * 3,
+        7: [0],
+    }
+    rows = [(track, t) for track, times in tracks.items() for t in times]
+    table = spark.createDataFrame([*rows, (8, None), (None, 5), (None, 3), (1, None)], ONSETS).repartition(3)
+    want = {track: plain_downbeat(times, bpm, window) for track, times in tracks.items()}
+    assert {r["track_id"]: r["downbeat_us"] for r in tempo.first_downbeat(table, bpm, window).collect()} == {**want, 8: None, None: 3}
+
+
+def test_downbeats_at_the_limit_are_rounded_as_their_distances(spark):
+    """15/100 of a beat, 134328.36 microseconds at 67, is met by whole beats besides: what rounds below it counts."""
+    least = 9_000_000 * pow(67, -1, 60_000_000) % 60_000_000
+    spread = [least + 60_000_000 * k for k in range(80)]
+    far = [abs(b - round(b)) for b in ((d / 1e6) / (60.0 / 67.0) for d in spread)]
+    assert 0 < sum(f < 0.15 for f in far) < len(far)
+    tracks = {k: [0, 1, d, d + 1 + 400_000 * (k % 2)] for k, d in enumerate(spread)}
+    table = spark.createDataFrame([(k, t) for k, times in tracks.items() for t in times], ONSETS)
+    assert {r["track_id"]: r["downbeat_us"] for r in tempo.first_downbeat(table, 67.0, 1_000_000).collect()} == {k: plain_downbeat(times, 67.0, 1_000_000) for k, times in tracks.items()}
+
+
+def rows_out(plan):
+    """The most rows that a step of an executed plan gave out."""
+    found = plan.metrics().get("numOutputRows")
+    inner = [getattr(plan, name)() for name, kind in (("finalPhysicalPlan", "AdaptiveSparkPlan"), ("plan", "QueryStage")) if kind in plan.nodeName()]
+    children = plan.children()
+    inner += [children.apply(k) for k in range(children.size())]
+    return max([found.get().value() if found.isDefined() else 0, *map(rows_out, inner)])
+
+
+def test_downbeats_do_not_pair_early_onsets_with_all(spark):
+    rng = random.Random(3)
+    table = spark.createDataFrame([(1, t) for t in rng.sample(range(20_000_000), 10_000)], ONSETS)
+    found = tempo.first_downbeat(table, 67.0, 2_000_000)
+    found.collect()
+    assert 10_000 < rows_out(found._jdf.queryExecution().executedPlan()) < 200_000  # about 1,000 times 9,500 pairs
