@@ -287,6 +287,26 @@ def test_vectors_are_hashed_once_for_many_blocks(monkeypatch):
     assert len(calls) < 300 / 10
 
 
+def test_links_do_not_depend_on_the_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(13)
+    x = np.float32(rng.normal(size=(12, 16)).repeat(10, axis=0) + rng.normal(size=(120, 16)) * 0.2)
+    raw = [v.tobytes() for v in x] + [v.tobytes() for v in x[:20, :8]]
+    codes = [embeddings.buckets(embeddings._unit(part, "<f4"), 1, 4, 2).view(np.int64) for part in (raw[:120], raw[120:])]
+    rows = sorted((int(name), k) for k, own in enumerate([*codes[0], *codes[1]]) for name in set(own.reshape(-1).tolist()))
+    z = pa.array(np.zeros(len(rows), np.int32))
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), z, z, z, pa.array([r[1] for r in rows]), pa.array(np.ones(len(rows), np.int64)), pa.array([raw[r[1]] for r in rows], pa.binary())], names=["bucket", "i", "j", "mine", "key", "n", "raw"])
+    found = []
+    for at_a_time, pairs, each in ((4096, 1 << 20, len(rows)), (1, 1, 3), (7, 20, 1), (50, 5, 10)):
+        monkeypatch.setattr(embeddings, "ROWS", at_a_time)
+        monkeypatch.setattr(embeddings, "PAIRS", pairs)
+        count = Counter()
+        for out in embeddings._compare(0.9, 1, 2, "<f4")(batch.slice(k, each) for k in range(0, len(rows), each)):
+            for key, links in zip(out.column("key").to_pylist(), out.column("links").to_pylist(), strict=True):
+                count[key] += links
+        found.append(count)
+    assert found[0] == found[1] == found[2] == found[3] and sum(found[0].values()) > 200
+
+
 def test_vectors_of_floats_and_of_doubles_link_alike(spark):
     rng = np.random.default_rng(12)
     base = np.float32(rng.normal(size=(40, 24)))
