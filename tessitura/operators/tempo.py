@@ -70,7 +70,7 @@ def first_downbeat(onsets: DataFrame, bpm: float, window_us: int = 2_000_000) ->
         met = early.select("track_id", F.col("t_us").alias("at"), F.explode(ends).alias("phase")).join(marks, ["track_id", "phase"]).where("t_us >= at")
         beats = ((F.col("t_us") - F.col("at")) / F.lit(1e6)) / F.lit(60.0 / bpm)
         terms = terms.unionByName(met.where(F.abs(beats - F.rint(beats)) < 0.15).select("track_id", "at", (F.col("n") * (turn - limit)).alias("term")))
-    scored = terms.groupBy("track_id", "at").agg(F.round(F.sum("term") / F.lit(float(turn)), 6).alias("score"))
+    scored = terms.repartition("track_id", "at").groupBy("track_id", "at").agg(F.round(F.sum("term") / F.lit(float(turn)), 6).alias("score"))
     best = scored.groupBy("track_id").agg(F.max(F.struct("score", (-F.col("at")).alias("early"))).alias("b")).select("track_id", (-F.col("b.early")).alias("found"))
     return first.join(best, "track_id", "left").select("track_id", F.coalesce("found", "first").alias("downbeat_us"))
 
@@ -98,6 +98,7 @@ def _grid_sums(marks: DataFrame, early: DataFrame, window_us: int, turn: int, re
     bins = F.when(F.col("level") == ALL, BINS).when(F.col("level") > LARGE, F.least(F.lit(BINS), F.expr(f"shiftleft(1, least(level - {LARGE}, 16))"))).otherwise(1)
     rows = rows.select(*node, "t_us", F.col("p.ask").alias("ask"), F.col("p.x").alias("x"), F.when(F.col("asks"), 0).otherwise(F.col("n")).alias("n"), bins.alias("bins"))
     rows = rows.withColumn("bin", F.floor(F.col("x") * F.col("bins") / (2 * turn)).cast("int"))
+    rows = rows.repartition(*node, "bin")  # Spark takes the union as dealt by track, but its two parts may be cut apart by their sizes
     sums = rows.where("bins > 1").groupBy(*node, "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("nx"))
     below = W.partitionBy(*node).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*node, "bin", F.sum("n").over(below).alias("n_below"), F.sum("nx").over(below).alias("nx_below"))
